@@ -7,6 +7,7 @@ its segmentations, by a forward pass, and a text's that of its words. The vocabu
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -25,7 +26,9 @@ from lattica.llm.common import map_batches, small_batches, staged, text_column
 SAMPLE, ROUNDS = 800, 2
 SMOOTHING = 0.02
 UNKNOWN = "und"
-MEMORY = 600_000
+MEMORY = 1_000_000
+#: Letters of a word up to which probabilities can't vanish in double precision but for rare scripts.
+SHORT = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EVERY = 8
 
@@ -46,6 +49,7 @@ class Vocabulary:
                 self.automaton.add_word(model.id_to_piece(i), i)
                 self.length[i] = len(model.id_to_piece(i))
         self.automaton.make_automaton()
+        self.lengths = np.array([self.length.get(i, 0) for i in range(self.size)])
 
     def arcs(self, word: str) -> tuple[int, list[list[tuple[int, tuple[int, ...]]]]]:
         """Length, and for each end the (start, pieces) that lead there; a character without a piece of its own goes by its bytes."""
@@ -186,7 +190,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     own = Scorer(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best = [own.best(t) for t in batch.column("__text").to_pylist()]
+        best = own.best_of(batch.column("__text").to_pylist())
         return pa.RecordBatch.from_arrays(
             [batch.column(id_col), pa.array([x for x, _ in best], pa.string()), pa.array([x for _, x in best], pa.float64()), *(batch.column(c) for c in keep)],
             names=[id_col, "lang_pred", "score", *keep],
@@ -195,6 +199,40 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(rows, run, f"`{id_col}` {kinds[id_col]}, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
+def many_log_probabilities(voc: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """word_log_probabilities of many words: one pass of the automaton, then the forward sums of all words side by side."""
+    text = "\0".join("▁" + w for w in words) + "\0"
+    found = np.fromiter(itertools.chain.from_iterable(voc.automaton.iter(text)), np.int64).reshape(-1, 2)
+    end, piece = found[:, 0] + 1, found[:, 1]
+    length = voc.lengths[piece]
+    lengths = np.array([len(w) + 2 for w in words])
+    first = np.cumsum(lengths) - lengths
+    inside = np.ones(len(text), bool)
+    inside[first + lengths - 1] = False
+    inside[end[length == 1] - 1] = False  # such a character has a piece of its own
+    bare = np.flatnonzero(inside)
+    if len(bare):
+        kinds = sorted({text[i] for i in bare.tolist()})
+        rows = np.stack([np.prod(p[[voc.byte[b] for b in c.encode("utf-8", "replace")]], axis=0) for c in kinds])
+        at = {c: len(p) + i for i, c in enumerate(kinds)}
+        p = np.concatenate([p, rows])
+        end = np.concatenate([end, bare + 1])
+        piece = np.concatenate([piece, [at[text[i]] for i in bare.tolist()]])
+        length = np.concatenate([length, np.ones(len(bare), np.int64)])
+    step = end - first[np.searchsorted(first, end - 1, "right") - 1]
+    order = np.lexsort((end, step))
+    end, piece, start, step = end[order], piece[order], (end - length)[order], step[order]
+    sums = np.zeros((len(text) + 1, p.shape[1]))
+    sums[first] = 1.0
+    cuts = np.flatnonzero(np.diff(step, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(step)], strict=True):
+        e = end[a:b]
+        heads = np.flatnonzero(np.diff(e, prepend=-1))
+        sums[e[heads]] = np.add.reduceat(sums[start[a:b]] * p[piece[a:b]], heads)
+    with np.errstate(divide="ignore"):
+        return np.log(sums[first + lengths - 1])
+
+
 class Scorer:
     """A model and the memory of the words seen; only the model travels."""
 
@@ -207,24 +245,39 @@ class Scorer:
     def __setstate__(self, model: Model) -> None:
         self.__init__(model)
 
-    def best(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
+    def _learn(self, words: set[str]) -> None:
         if not self.known:
-            self.voc, self.rows = vocabulary(self.model.path), {}
-            self.table = np.zeros((1 << 12, len(self.model.langs)))
+            self.voc, self.table = vocabulary(self.model.path), np.zeros((1 << 14, len(self.model.langs)))
+        at = len(self.known)
+        while at + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        short = [w for w in words if len(w) <= SHORT]
+        for i in range(0, len(short), 4096):
+            part = short[i : i + 4096]
+            rows = many_log_probabilities(self.voc, self.model.p, part)
+            for j in np.flatnonzero(~np.isfinite(rows).all(1)).tolist():
+                rows[j] = word_log_probabilities(self.voc, self.model.p, part[j])
+            self.table[at + i : at + i + len(part)] = rows
+        self.known.update(zip(short, range(at, at + len(short))))
+        for w in words:
+            if len(w) > SHORT:
+                self.table[len(self.known)] = word_log_probabilities(self.voc, self.model.p, w)
+                self.known[w] = len(self.known)
+
+    def best_of(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        lists = [words_of(t) if t else [] for t in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.known) > MEMORY:
             self.known = {}
-        places = []
-        for w in words:
-            at = self.known.get(w)
-            if at is None:
-                at = self.known[w] = len(self.known)
-                if at == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[at] = word_log_probabilities(self.voc, self.model.p, w, self.rows)
-            places.append(at)
-        total = self.table[places].sum(0)
-        top = int(total.argmax())
-        return self.model.langs[top], float(1 / np.exp(np.minimum(0, total - total[top])).sum())
+        if new := set().union(*lists).difference(self.known):
+            self._learn(new)
+        out, known = [], self.known
+        for words in lists:
+            if not any(c.isalpha() for w in words for c in w):
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.table[[known[w] for w in words]].sum(0)
+            top = int(total.argmax())
+            out.append((self.model.langs[top], float(1 / np.exp(np.minimum(0, total - total[top])).sum())))
+        return out
