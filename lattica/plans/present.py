@@ -83,7 +83,7 @@ def columns(entries: Iterable[Near], pk: set[str], fk: Mapping[str, str]) -> lis
     out = []
     for e in sorted(entries, key=lambda e: _value(e.node, "ordinal") or 0):
         name, default = e.node["name"], _value(e.node, "default")
-        marks = ["[PK]"] * (name in pk) + [f"[FK→{fk[name]}]"] * (name in fk) + ["[NN]"] * (_value(e.node, "nullable") is False and name not in pk)
+        marks = ["[PK]"] * (name in pk) + [f"[FK→{fk.get(name)}]"] * (name in fk) + ["[NN]"] * (_value(e.node, "nullable") is False and name not in pk)
         out.append("  ".join([f"  {name}", _value(e.node, "data_type") or "unknown", *marks, *([f"DEFAULT {default}"] if default is not None else [])]))
     return ["COLUMNS", *out] if out else []
 
