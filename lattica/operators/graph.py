@@ -135,12 +135,20 @@ class Path:
     inferred: bool = False
 
 
+def inferred_links(edges: DataFrame) -> DataFrame:
+    """(src, dst, src_column, dst_column): inferred references, from the tables that have their columns."""
+    owner = edges.where("kind = 'has_column'").select(F.col("src").alias("table"), F.col("dst").alias("column"))
+    rows = edges.where("kind = 'inferred_reference'").select("src", "dst", "attrs.src_column", "attrs.dst_column")
+    rows = rows.join(owner.toDF("a", "src"), "src").join(owner.toDF("b", "dst"), "dst")
+    return rows.select(F.col("a").alias("src"), F.col("b").alias("dst"), "src_column", "dst_column")
+
+
 def join_steps(edges: DataFrame, allow_inferred: bool = False) -> DataFrame:
     """(a, b): tables that a whole reference links, both ways, distinct."""
-    whole = edges.where("kind = 'references' AND attrs.aggregate")
+    whole = edges.where("kind = 'references' AND attrs.aggregate").select("src", "dst")
     if allow_inferred:
-        whole = whole.unionByName(edges.where("kind = 'inferred_reference'"))
-    ends = whole.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        whole = whole.union(inferred_links(edges).select("src", "dst"))
+    ends = whole.toDF("a", "b")
     return ends.union(whole.select("dst", "src")).where("a <> b").distinct()
 
 
@@ -164,7 +172,7 @@ def join_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, allow_in
             break
         levels.append(found)
         if not found.where(F.col("node") == end).isEmpty():
-            return Path(True, _hops(edges, levels, end), [], [])
+            return _hops(edges, levels, end, allow_inferred)
         visited = visited.union(found.select("node"))
         frontier = found.select("node", "name")
     near = [_one_hop(edges, x) for x in (start, end)]
@@ -177,23 +185,30 @@ def _one_hop(edges: DataFrame, node: str) -> list[str]:
     return [r.id for r in other.where(F.col("id") != node).distinct().orderBy("id").collect()]
 
 
-def _hops(edges: DataFrame, levels: list[DataFrame], end: str) -> list[tuple[str, str, list[tuple[str, str]]]]:
+def _hops(edges: DataFrame, levels: list[DataFrame], end: str, allow_inferred: bool) -> Path:
     at, way = end, [end]
     for level in reversed(levels):
         at = level.where(F.col("node") == at).first().before
         way.insert(0, at)
     pairs = list(zip(way[:-1], way[1:], strict=True))
-    spark = edges.sparkSession
-    hops = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "hop INT, a STRING, b STRING"))  # as many rows as hops
-    cols = hop_columns(edges, hops).collect()
-    return [(a, b, sorted((r["from"], r["to"]) for r in cols if r.hop == i)) for i, (a, b) in enumerate(pairs)]
-
-
-def hop_columns(edges: DataFrame, hops: DataFrame) -> DataFrame:
-    """(hop, from, to) for hops (hop, a, b): the column pairs of all references from a to b, else those back, swapped."""
-    pair = edges.where("kind = 'references' AND attrs.src_column IS NOT NULL").select("src", "dst", "attrs.src_column", "attrs.dst_column")
-    there = hops.join(pair, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).select("hop", F.lit(0).alias("back"), F.col("src_column").alias("from"), F.col("dst_column").alias("to"))
-    back = hops.join(pair, (F.col("b") == F.col("src")) & (F.col("a") == F.col("dst"))).select("hop", F.lit(1).alias("back"), F.col("dst_column").alias("from"), F.col("src_column").alias("to"))
+    hops = F.broadcast(edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "hop INT, a STRING, b STRING"))  # as many rows as hops
+    declared = edges.where("kind = 'references' AND attrs.src_column IS NOT NULL").select("src", "dst", "attrs.src_column", "attrs.dst_column")
+    cols: dict[int, list[tuple[str, str]]] = {}
+    for r in hop_columns(declared, hops).collect():
+        cols.setdefault(r.hop, []).append((r["from"], r["to"]))
+    guessed: dict[int, list[tuple[str, str]]] = {}
+    if allow_inferred and len(cols) < len(pairs):
+        for r in hop_columns(inferred_links(edges), hops).collect():
+            if r.hop not in cols:
+                guessed.setdefault(r.hop, []).append((r["from"], r["to"]))
+    known = cols | guessed
+    return Path(True, [(a, b, sorted(known.get(i, []))) for i, (a, b) in enumerate(pairs)], [], [], inferred=bool(guessed))
+
+
+def hop_columns(links: DataFrame, hops: DataFrame) -> DataFrame:
+    """(hop, from, to) for hops (hop, a, b): the column pairs of all links (src, dst, src_column, dst_column) from a to b, else those back, swapped."""
+    there = hops.join(links, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).select("hop", F.lit(0).alias("back"), F.col("src_column").alias("from"), F.col("dst_column").alias("to"))
+    back = hops.join(links, (F.col("b") == F.col("src")) & (F.col("a") == F.col("dst"))).select("hop", F.lit(1).alias("back"), F.col("dst_column").alias("from"), F.col("src_column").alias("to"))
     both = there.unionByName(back)
     use = F.min("back").over(Window.partitionBy("hop"))
     return both.withColumn("use", use).where("back = use").select("hop", "from", "to").distinct()

@@ -266,6 +266,10 @@ def test_inference(spark):
     got = {(n[r.src], n[r.dst]): round(r.score, 9) for r in g.edges.where("kind = 'inferred_reference'").collect()}
     assert got == {("db.orders.customerId", "db.customers._id"): 0.8, ("db.orders.id_product", "db.products._id"): 0.9}
     assert infer.infer_references(g.nodes, g.edges, threshold=0.85).count() == 1
+    by = {v: k for k, v in n.items()}
+    assert not graph.join_path(g.nodes, g.edges, by["db.customers"], by["db.products"]).found
+    path = graph.join_path(g.nodes, g.edges, by["db.customers"], by["db.products"], allow_inferred=True)
+    assert path.inferred and [(n[a], n[b], c) for a, b, c in path.hops] == [("db.customers", "db.orders", [("_id", "customerId")]), ("db.orders", "db.products", [("id_product", "_id")])]
 
 
 def catalog_of(spark, raw):
