@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import bytebpe, langid, minhash, mixing, secret_scan
@@ -16,34 +16,53 @@ from lattica.llm.common import staged, table
 from lattica.llm.queries import domains
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no name of theirs can clash with an operator's."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__any")).alias("__rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, some replaced."""
+    kinds = dict(docs.dtypes)
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"__rest.{c}") for c in docs.columns} | {c: x for c, x in new.items() if c in kinds}
+    return rows.select(*[x.cast(kinds[c]).alias(c) for c, x in own.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without text or without a letter go. The language found is written to lang."""
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = langid.predict(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = langid.predict(_packed(docs), model, keep=("text", "__rest"))
+    return _unpacked(found.where(F.col("lang_pred") != langid.UNKNOWN), docs, lang=F.col("lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the smallest id."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
-    kept = docs.join(staged(gone), "doc_id", "left_anti")
-    return kept.withColumn("__n", once).where("__n = 1 OR doc_id IS NULL").drop("__n").select(docs.columns)
+    """One document of each class of near-duplicates: that of the smallest id. Rows without an id stay.
+
+    Of rows that share an id the one with the longest text stays; only those rows are sorted for it.
+    """
+    found = staged(minhash.near_duplicates(docs).select("doc_id", "kept"))
+    gone = staged(found.where("NOT kept").select("doc_id").distinct())
+    again = staged(found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    several = _packed(kept.join(again, "doc_id", "left_semi")).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(_unpacked(several, docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret and linked part of a credential masked, and n_chars counted anew."""
-    found = secret_scan.find_secrets(docs, keep=[c for c in docs.columns if c != "doc_id"])
-    hit = F.size("found") > 0
-    text = secret_scan.redacted(F.col("text"), F.col("found"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, with every secret and linked part of a credential masked, and n_chars of those counted anew."""
+    found = secret_scan.find_secrets(_packed(docs), keep=["text", "__rest"])
+    found = found.select("doc_id", secret_scan.redacted(F.col("text"), F.col("found")).alias("text"), "__rest", (F.size("found") > 0).alias("__hit"))
+    new = {"n_chars": F.when(F.col("__hit"), F.length("text")).otherwise(F.col("__rest.n_chars"))} if "n_chars" in docs.columns else {}
+    return _unpacked(found, docs, **new)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its rate says, so that the domains' tokens meet their targets."""
     labels = domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_to_targets(docs, labels, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return mixed.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    mixed = mixing.mix_to_targets(_packed(docs), labels, keep=("text", "__rest"))
+    return _unpacked(mixed.where("copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

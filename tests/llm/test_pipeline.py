@@ -31,3 +31,33 @@ def test_pipeline_keeps_and_drops_what_it_should(spark, tmp_path):
         assert by[i].decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
         assert by[i].ids_sha256 == hashlib.sha256(bpe.packed(texts[i])).hexdigest()
     assert by[104].decoded_sha256 == hashlib.sha256((prose(900, 70) + " [SECRET]").encode()).hexdigest()
+
+
+ODD = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, spans STRING, found LONG, score STRING, lang_pred INT, copies INT, kept STRING, __text STRING, id STRING"
+
+
+def odd_rows():
+    tail = ("a", 1, "b", 2, 3, "c", "d", "e")
+    rows = [(i, prose(i, 40 + i), None if i % 5 == 0 else "en", None, None, *tail) for i in range(30)]
+    return rows + [(None, prose(60, 50), "en", "s", 9, *tail), (None, None, None, None, None, *tail), (40, "", None, None, 0, *tail), (41, None, None, None, 0, *tail), (3, rows[3][1], "en", "s", 2, *tail), (3, "short text", "en", "s", 2, *tail), (42, prose(5, 9000), "en", "s", 1, *tail)]
+
+
+def test_each_stage_takes_odd_rows_and_none(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 1), (5, None, None), (5, 1, 0)], "doc_id LONG, quality INT, toxic INT").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, sf = spark.createDataFrame(odd_rows(), ODD), str(tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if name != "byte_bpe":
+            assert none.dtypes == docs.dtypes
+    read = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    known = stages["language_id"](spark, docs, sf)
+    assert Counter(r.doc_id for r in known.collect()) == Counter(r[0] for r in odd_rows() if r[1])
+    once = stages["minhash_dedup"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in once) == Counter({**dict.fromkeys([*range(30), 40, 41, 42], 1), None: 2})
+    assert next(r for r in once if r.doc_id == 3).text == odd_rows()[3][1]
+    assert read(stages["secret_scan"](spark, docs, sf)) == read(docs)
+    mixed = stages["mixing"](spark, docs, sf)
+    assert set(read(mixed)) <= set(read(docs)) and mixed.count() > 0
+    assert stages["byte_bpe"](spark, docs, sf).count() == len(odd_rows())
