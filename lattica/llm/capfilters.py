@@ -84,7 +84,7 @@ def near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (a @ b.T) / np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1))) >= threshold
 
 
-def _spanning(ok: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(ok: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Few links that connect what the links ok (rows a, columns b) connect."""
     x, y = np.nonzero(ok)
     if len(x) <= len(a) + len(b):
@@ -163,7 +163,7 @@ def near_embeddings(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
                     h[i, np.searchsorted(known, side[i])] = 1
             first = ok & ~((has[0] @ has[1].T) > 0)
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        x, y = _spanning(ok, a, b)
+        x, y = spanning(ok, a, b)
         ids = np.concatenate([a, b, x])
         links = np.concatenate([first @ nb, na @ first, np.zeros(len(x), np.int64)])
         to = np.concatenate([np.full(len(a) + len(b), -1, np.int64), y])

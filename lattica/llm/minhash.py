@@ -13,8 +13,10 @@ report, as each leaves out only shingles of less than half of it among its own;
 Similarity is the weighted Jaccard similarity, the sum of the smaller weights over the sum of the larger ones. It is
 computed exactly for every pair that sampling proposes: texts that agree in all samples of a band are in one bucket.
 Texts with the same words are one from the start. In a bucket all others are compared with the one of the smallest id.
-Those that aren't similar to it are compared with every member that isn't in their class by then, so that no link
-between classes is lost; pairs within a class are never listed.
+That settles groups of copies. Where some aren't similar to it, as where texts share a passage only, each of those is
+compared with all of the bucket that aren't in its class by then. That is done tile by tile, a tile being two parts of a
+bucket, of bounded size and dealt by a hash; a tile gives a few links that connect what its similar texts connect, so
+pairs are neither listed nor cut off.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_batches, small_batches, staged, text_column
+from lattica.llm.capfilters import spanning
+from lattica.llm.common import map_batches, map_groups, small_batches, staged, text_column
 from lattica.llm.components import components
 from lattica.llm.words import Shingles, fingerprints, mix, shingles_of, words_of
 
 COMMON, THRESHOLD, BANDS, ROWS = 0.01, 0.8, 12, 4
+#: Texts on a side of a tile, in expectation, and shared shingles that are compared at once.
+TILE, WIDTH = 512, 4096
 _CHUNK = 4096
 _U = np.uint64
 
@@ -173,10 +179,8 @@ def frequent_shingles(docs: DataFrame, n: int, text_col: str = "__text") -> dict
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """(a, b, ok) for each pair (a, b), a the member and b the one that it is compared with."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = staged(texts.join(need, "id"))
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """(a, b) of those pairs (a, b) that are similar; texts has (id, text)."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = []
@@ -194,12 +198,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
                 x, y = s.edges[back[i]], s.edges[back[i] + 1]
                 cut += [Shingles(s.hashes[x:y], s.times[x:y], np.array([0, y - x])), w[x:y]]
             ok.append(similarity(*cut) >= threshold)
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(map_batches(both.select("a", "b", "ta", "tb"), check, "a long, b long, ok boolean"))
+    return staged(map_batches(both.select("a", "b", "ta", "tb"), check, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _plausible(a: str, b: str, threshold: float) -> Column:
+    """Weights of the two texts may reach the threshold: similarity is at most their ratio."""
+    return F.least(a, b) >= (threshold - 1e-9) * F.greatest(a, b)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
+def _items(s: Shingles, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, weight): a shingle that stands n times in a text is n items, so that shared items are the smaller count."""
+    each = weights.of(s) / s.times
+    text = np.repeat(np.arange(len(s.edges) - 1), np.diff(s.edges))
+    nth = np.arange(int(s.times.sum())) - np.repeat(np.cumsum(s.times) - s.times, s.times)
+    item = np.repeat(s.hashes, s.times) + np.where(nth > 0, mix(nth.astype(_U)), _U(0))
+    return np.repeat(text, s.times), item, np.repeat(each, s.times)
+
+
+def similarities(a: Shingles, b: Shingles, weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarity of each text of a with each of b."""
+    (ta, ia, wa), (tb, ib, wb) = _items(a, weights), _items(b, weights)
+    na, nb = len(a.edges) - 1, len(b.edges) - 1
+    shared = np.intersect1d(ia, ib)
+    low = np.zeros((na, nb))
+    for at in range(0, len(shared), WIDTH):
+        part = shared[at : at + WIDTH]
+        sides = []
+        for t, i, w, n in ((ta, ia, wa, na), (tb, ib, np.ones(len(ib)), nb)):
+            place = np.minimum(np.searchsorted(part, i), len(part) - 1)
+            hit = part[place] == i
+            m = np.zeros((n, len(part)))
+            m[t[hit], place[hit]] = w[hit]
+            sides.append(m)
+        low += sides[0] @ sides[1].T
+    total = np.bincount(ta, wa, na)[:, None] + np.bincount(tb, wb, nb) - low
+    return np.divide(low, total, out=np.zeros_like(low), where=total > 0)
+
+
+def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links: DataFrame, weights: Weights, threshold: float, tile: int) -> DataFrame:
+    """Links (a, b) between texts of one bucket and of different classes, of which one wasn't similar to the bucket's first."""
+    classes = components(links.toDF("u", "v")).select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    flags = failed.select("band", "h", "rep", F.lit(1).alias("bad")).distinct()
+    rows = buckets.select("band", "h", "rep").join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").join(flags, ["band", "h", "rep"], "left")
+    rows = staged(rows.join(classes, "rep", "left").select("band", "h", "rep", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("c", "rep").alias("c")))
+    parts = staged(rows.groupBy("band", "h").agg(F.ceil(F.sum("bad") / tile).cast("int").alias("pa"), F.ceil(F.count("*") / tile).cast("int").alias("pb")))
+    rows = rows.join(parts, ["band", "h"])
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.where("bad = 1").select("band", "h", "rep", "c", F.lit(True).alias("left"), part("pa").alias("i"), upto("pb").alias("j"))
+    b = rows.select("band", "h", "rep", "c", F.lit(False).alias("left"), upto("pa").alias("i"), part("pb").alias("j"))
+    dealt = a.unionByName(b).join(texts, F.col("rep") == F.col("id")).drop("id")
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        x, y = t.filter(t["left"]), t.filter(pc.invert(t["left"]))
+        if not len(x) or not len(y):
+            return None
+        open_ = x["c"].to_numpy()[:, None] != y["c"].to_numpy()
+        if not open_.any():
+            return None
+        ok = open_ & (similarities(*(shingles_of(words_of(z["text"])) for z in (x, y)), weights) >= threshold)
+        u, v = spanning(ok, x["rep"].to_numpy(), y["rep"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"]) if len(u) else None
+
+    return staged(map_groups(dealt, ["band", "h", "i", "j"], compare, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_words, kept) for each row of docs.
 
     class_id is the smallest id of the texts that a row's text is linked with, directly or through others; kept tells the
@@ -208,7 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     is kept if its id is the class's; rows that share an id are one node, so their texts' classes are one. Rows with a
     null id have a null class and are kept.
 
-    Texts are shuffled once, those of proposed pairs once more; frequent shingles are a table whose size does not depend
+    Texts are shuffled once, those of proposed pairs once more in each round; frequent shingles are a table whose size does not depend
     on the number of texts. Links and classes stay distributed.
     """
     spark = docs.sparkSession
@@ -221,32 +291,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words_of(batch.column("__text"))
         s = shingles_of(w)
-        band = sampler.bands(s, weights.of(s), rows).view(np.int64)
+        each = weights.of(s)
+        total = np.zeros(len(each) + 1)
+        np.cumsum(each, out=total[1:])
+        band = sampler.bands(s, each, rows).view(np.int64)
         x, y = fingerprints(w)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(w.count), pa.array(x), pa.array(y), pa.FixedSizeListArray.from_arrays(pa.array(band.ravel()), bands).cast(pa.list_(pa.int64()))],
-            names=["id", "n_words", "x", "y", "bands"],
+            [batch.column("id"), pa.array(w.count), pa.array(x), pa.array(y), pa.array(total[s.edges[1:]] - total[s.edges[:-1]]), _lists(band)],
+            names=["id", "n_words", "x", "y", "w", "bands"],
         )
 
-    signed = staged(map_batches(base, sign, "id long, n_words long, x long, y long, bands array<long>"))
+    signed = staged(map_batches(base, sign, "id long, n_words long, x long, y long, w double, bands array<long>"))
     usable = signed.where("n_words > 0 AND id IS NOT NULL")
-    first = staged(usable.groupBy("x", "y").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    buckets = staged(first.select("rep", F.posexplode("bands").alias("band", "h")))
-    leaders = staged(buckets.groupBy("band", "h").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", "leader"))
+    first = staged(usable.groupBy("x", "y").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.max("w").alias("w")))
+    buckets = staged(first.select("rep", "w", F.posexplode("bands").alias("band", "h")))
+    leaders = staged(buckets.groupBy("band", "h").agg(F.min_by(F.struct("rep", "w"), "rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", F.col("leader.rep").alias("leader"), F.col("leader.w").alias("lw")))
     starred = staged(buckets.join(leaders, ["band", "h"]).where("rep <> leader"))
-    checked = _verified(starred.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), base.select("id", F.col("__text").alias("text")), weights, threshold)
+    members = starred.select("rep").union(starred.select("leader")).distinct().withColumnRenamed("rep", "id")
+    # A merge join at every size: the texts of all documents are shuffled once, here.
+    texts = staged(base.select("id", F.col("__text").alias("text")).join(members.hint("merge"), "id"))
+    close = starred.where(_plausible("w", "lw", threshold)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    links = _verified(close, texts, weights, threshold)
     # Rows that share an id link their texts.
-    same_id = usable.select("id", "x", "y").distinct().join(first.select("x", "y", "rep"), ["x", "y"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    links = checked.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = components(links)
-    failed = starred.join(checked.where("NOT ok").select(F.col("a").alias("rep"), F.col("b").alias("leader")), ["rep", "leader"])
-    failed = staged(failed.join(classes.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").select("band", "h", "rep", F.coalesce("c", "rep").alias("c")))
+    same_id = usable.select("id", "x", "y").distinct().join(first.select("x", "y", "rep"), ["x", "y"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    failed = staged(starred.join(links.select(F.col("a").alias("rep"), F.col("b").alias("leader")), ["rep", "leader"], "left_anti").select("band", "h", "rep", "w", "leader", "lw"))
     if failed.take(1):
-        others = starred.join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").join(classes.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").select("band", "h", F.col("rep").alias("other"), F.coalesce("c", "rep").alias("c2"))
-        more = failed.join(others, ["band", "h"]).where("c <> c2").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-        more = _verified(staged(more), base.select("id", F.col("__text").alias("text")), weights, threshold)
-        links = links.union(more.where("ok").select("a", "b"))
-    classes = components(links.union(same_id))
+        links = links.unionByName(_failed_links(buckets, failed, texts, links, weights, threshold, tile))
+    classes = components(links.unionByName(same_id).toDF("u", "v"))
     node = F.coalesce("rep", "id")
     out = signed.join(first.select("x", "y", "rep"), ["x", "y"], "left").withColumn("node", F.when((F.col("n_words") > 0) & F.col("id").isNotNull(), node).otherwise(F.col("id")))
     out = out.join(classes, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
