@@ -15,6 +15,7 @@ from lattica.functions import text
 from lattica.functions.ids import canonical_qname, edge_id, node_id
 from lattica.model import ATTRS, EDGES, LEVEL_KEY, NODES, PAYLOAD, Graph, GraphError, Scope
 from lattica.operators.infer import infer_references
+from lattica.plans.cut import staged
 
 OMITTED = "not indexed by configuration"
 #: Children by section: kind, list in the raw object, kind of the edge from the parent.
@@ -236,18 +237,25 @@ def omitted_kinds(scope: Scope) -> tuple[tuple[str, str], ...]:
 
 
 def normalize(objects: DataFrame, engine: str, scope: Scope = Scope()) -> Graph:
-    """The graph of a catalog: validate, exclude, nodes, references, inference, in that order."""
+    """The graph of a catalog: validate, exclude, nodes, references, inference, in that order.
+
+    What several parts of the graph are made of (objects, nodes, resolved references) is written once and read again.
+    """
+    objects = staged(objects)
     validate(objects, engine)
     included, excluded = split_excluded(objects, scope)
     primary, again = _first(primary_nodes(included, scope), "pos")
+    primary = staged(primary)
     owners = included.join(primary.select("pos"), "pos", "left_semi")
     children, again_below = _first(child_nodes(owners, scope), "pos", "section", "idx")
+    children = staged(children)
     columns = [f.strip().split(" ")[0] for f in ("id", "kind", "schema", "name", "qname", "level", "missing", "excluded", "body_hash", "payload")]
     real = primary.select(columns).unionByName(children.select(columns))
     contained = make_edges(children, F.col("edge"), F.col("parent_id"), F.col("id"), ordinal=F.col("ordinal"))
     # An object whose kind is off refers to nothing; a repeated one refers as its first does.
     known = included.join(primary.select("kind", "qname"), ["kind", "qname"], "left_semi")
     found, stubs = resolve(references_of(known), real, excluded)
+    found, stubs = staged(found), staged(stubs)
     edges = contained.unionByName(index_edges(included, real)).unionByName(reference_edges(found))
     nodes = real.unionByName(stubs.select(columns))
     if scope.infer_relationships or real.where("kind IN ('collection', 'field')").limit(1).count():

@@ -28,12 +28,22 @@ _BY_KIND = ("nodes", "edges")
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.refresh()
         newest = max((r.schema_version for r in self._commits()), default=0)
         if newest > SCHEMA_VERSION:
             raise GraphError(f"the store has schema version {newest}; this library knows {SCHEMA_VERSION}")
 
+    def refresh(self) -> None:
+        """Sees what others have committed since."""
+        self._known: list | None = None
+
     def _commits(self) -> list:
-        """Commit records: as many as writes, a few bytes each."""
+        """Commit records: as many as writes, a few bytes each. They are read once, and again after a write."""
+        if self._known is None:
+            self._known = self._read_commits()
+        return self._known
+
+    def _read_commits(self) -> list:
         try:
             return self.spark.read.schema(_COMMITS).parquet(f"{self.path}/_commits").collect()
         except AnalysisException:
@@ -59,6 +69,7 @@ class GraphStore:
             (writer.partitionBy("kind") if table in _BY_KIND else writer).parquet(f"{self.path}/{table}/{folder}")
             records.append((table, version, folder, SCHEMA_VERSION))
         self.spark.createDataFrame(records, _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
+        self.refresh()
 
     @property
     def nodes(self) -> DataFrame:

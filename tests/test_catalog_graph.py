@@ -262,6 +262,7 @@ def test_inference(spark):
     ]}
     engine, objects = catalog_of(spark, raw)
     g = normalize(objects, engine)
+    g.nodes, g.edges = staged(g.nodes), staged(g.edges)
     n = names(g.nodes)
     got = {(n[r.src], n[r.dst]): round(r.score, 9) for r in g.edges.where("kind = 'inferred_reference'").collect()}
     assert got == {("db.orders.customerId", "db.customers._id"): 0.8, ("db.orders.id_product", "db.products._id"): 0.9}
