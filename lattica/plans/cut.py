@@ -1,23 +1,44 @@
-"""Cutting the lineage of iterative queries through the folder that all executors share."""
+"""Cutting the lineage of long queries through the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
+
+    Only where that is unset, as in tests on one machine, a temporary folder stands in.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows of df, written as Parquet below spark.checkpoint.dir and read again.
+    """The rows of df, written as a table in the shared folder and read again.
 
-    A temporary folder stands in only where that setting is unset, as in tests on one machine.
+    That cuts the lineage, survives lost executors, is computed once however often it is read, and gives the optimizer
+    the true size. The tables stay until release().
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    at = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this process has staged; for when no result that rests on it is needed any more."""
+    jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
