@@ -17,7 +17,7 @@ from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, INDEX, PAYLOAD, REF, T
 from lattica.operators import graph, infer, normalize as norm, precheck, sampling, scoring, search as text_search, shape, snapshot
 from lattica.operators.normalize import struct_of
 from lattica.operators.store import _merged
-from lattica.sources import mapping
+from lattica.sources import catalog, mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -711,4 +711,81 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(rows).select("o_orderkey", "correct")
 
 
+@query("""
+WITH l AS (SELECT * FROM lineitem), u AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l)
+SELECT 'node' AS what, 'table' AS kind, (SELECT count(DISTINCT l_orderkey) + count(DISTINCT l_partkey) FROM l)::BIGINT AS n
+UNION ALL SELECT 'node', unnest(['column', 'constraint']), (SELECT count(*) FROM u) UNION ALL SELECT 'node', 'index', (SELECT count(DISTINCT l_orderkey) FROM l)
+UNION ALL SELECT 'edge', unnest(['has_column', 'has_constraint']), (SELECT count(*) FROM u) UNION ALL SELECT 'edge', 'has_index', (SELECT count(DISTINCT l_orderkey) FROM l)
+UNION ALL SELECT 'edge', 'in_index', (SELECT count(*) FROM l) UNION ALL SELECT 'edge', 'references', (SELECT 2 * count(*) FROM l)
+UNION ALL SELECT 'stub', 'table', (SELECT count(DISTINCT l_partkey) FROM l)
+UNION ALL SELECT 'warning', unnest(['column', 'constraint']), (SELECT count(*) FROM l) - (SELECT count(*) FROM u)""")
+def normalized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole normalizer over a table for every order, whose parts are missing and become stubs."""
+    g = norm.normalize(order_objects(spark, sf_dir).drop("qname"), "test")
+    count = lambda df, what, kind: df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    parts = count(g.nodes, "node", F.col("kind")).unionByName(count(g.edges, "edge", F.col("kind"))).unionByName(count(g.stubs, "stub", F.col("kind")))
+    return parts.unionByName(count(g.warnings, "warning", F.regexp_extract("warning", "Duplicate (\\w+)", 1)))
+
+
+@query("SELECT 'depends_on' AS kind, sha1('view customer.' || c_custkey) AS src FROM customer WHERE c_nationkey = 3")
+def inbound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = data_graph(spark, sf_dir)
+    hub = spark.range(1).select(node_id(F.lit("table"), F.lit("nation.3")).alias("id")).first().id
+    return graph.edges_to(edges, hub, ("depends_on", "references")).select("kind", "src")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'BEFORE' WHEN 1 THEN 'AFTER' ELSE 'INSTEAD OF' END AS timing,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'UPDATE' ELSE 'INSERT|DELETE' END AS events, 't' || o_custkey AS target,
+  'BEGIN update x set y = ''END''; insert into z values (' || o_orderkey || '); end' AS action FROM orders""")
+def trigger_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timing, events, table and action block of trigger texts; words in the block and in literals don't count."""
+    k = F.col("o_orderkey")
+    timing = F.when(k % 3 == 0, "before").when(k % 3 == 1, "After").otherwise("instead  of")
+    events = F.when(k % 2 == 0, "update of a").otherwise("insert or DELETE")
+    block = F.concat(F.lit("BEGIN update x set y = 'END'; insert into z values ("), k.cast("string"), F.lit("); end"))
+    sql = F.concat(F.lit("CREATE TRIGGER trg "), timing, F.lit(" "), events, F.lit(" ON t"), F.col("o_custkey").cast("string"), F.lit(" FOR EACH ROW "), block, F.lit(";"))
+    info = mapping.trigger_info(sql, F.lit("other"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", info["timing"].alias("timing"), F.array_join(info["events"], "|").alias("events"), info["table"]["name"].alias("target"), text.action_part(sql).alias("action"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '{"autoIncrement":true}' WHEN 1 THEN '{"generated":true,"generationKind":"STORED","generationExpression":"' || p_brand || '"}'
+  WHEN 2 THEN '{"generated":true,"generationKind":"VIRTUAL","generationExpression":"' || p_brand || '"}' END AS extra FROM part""")
+def column_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.get(F.array(*[F.lit(x) for x in ("auto_increment", "STORED GENERATED", "VIRTUAL GENERATED", "on update")]), F.col("p_size") % 4)
+    return table(spark, sf_dir, "part").select("p_partkey", mapping.mysql_column_extra(said, F.col("p_brand")).alias("extra"))
+
+
+@query("""SELECT conv_id, string_agg(replace(text, chr(10), ' '), '' ORDER BY turn, text) AS value FROM conversations WHERE replace(text, chr(10), ' ') NOT SIMILAR TO '\\s*' GROUP BY conv_id""")
+def reassembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as the chunks of one printed value, with a client's header, rule and row count around them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("n"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
+    noise = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(x).alias("line")) for n, x in ((-2, "JSON_F52E2B61-18A1"), (-1, "-----"), (10**9, "(3 rows affected)"), (10**9 + 1, " "))])).alias("x")).select("conv_id", "x.*")
+    return catalog.reassemble_chunks(c.unionByName(noise), key="conv_id")
+
+
+@query("""SELECT event_id, event_id % 2 = 1 AS flag, CASE WHEN event_id % 3 <> 0 THEN user_id::INT ELSE -1 END AS number FROM events""")
+def checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loosely typed values brought to their types; absent ones are null."""
+    raw = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 < 2, (F.col("event_id") % 2).cast("string")).otherwise((F.col("event_id") % 2 == 1).cast("string")).alias("flag"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).alias("number"))
+    return catalog.checked_rows(raw, "event_id LONG, flag BOOLEAN, number INT").withColumn("number", F.coalesce("number", F.lit(-1)))
+
+
+@query("""SELECT item_id, '{"required":["a"],"properties":{"n":' || length(text) || '}}' AS extra FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, NULL FROM benchmark WHERE item_id % 2 = 1""")
+def validator_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = F.concat(F.lit('{"$jsonSchema":{"title":"t","required":["a"],"properties":{"n":'), F.length("text"), F.lit("}}}"))
+    own = F.when(F.col("item_id") % 2 == 0, has).otherwise(F.lit('{"$jsonSchema":{"title":"t"}}'))
+    return table(spark, sf_dir, "benchmark").select("item_id", mapping.validator_extra(own).alias("extra"))
+
+
+@query("""SELECT 'upsert' AS op, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 10 <> 2 AND (o_orderkey % 10 = 1 OR (o_orderkey % 7 = 0 AND o_orderstatus <> 'P') OR o_orderkey % 11 = 0)""")
+def payload_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With payloads in the hash, a change of type counts as well."""
+    before, after = order_states(spark, sf_dir)
+    typed = after.withColumn("payload", F.col("payload").withField("data_type", F.when(F.substring_index("qname", ".", -1).cast("long") % 11 == 0, F.lit("new"))))
+    _, fresh = snapshot.delta(before, typed, include_payload=True)
+    return fresh.agg(F.count("*").alias("n")).select(F.lit("upsert").alias("op"), "n")
+
+
 FLAGSHIP: Query = impact_region_depth3
