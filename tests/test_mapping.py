@@ -160,4 +160,6 @@ def test_reading(spark, tmp_path):
     dump = catalog.read_dump(spark, str(tmp_path / "dump.json"), {k: families.MSSQL[k] for k in ("tables", "modules")})
     assert dump["tables"].first().table_name == "a" and dump["modules"].count() == 0
     assert set(families.MSSQL_QUERIES) == set(families.MSSQL) and set(families.PG_QUERIES) == set(families.PG) and set(families.mysql_queries("a'b")) == set(families.MYSQL)
+    script = families.dump_script()
+    assert all(f"AS [{k}]" in script for k in families.MSSQL) and script.count("FOR JSON PATH") == len(families.MSSQL) + 1
     assert "'a''b'" in families.mysql_queries("a'b")["tables"]
