@@ -104,7 +104,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = lambda k: F.size(F.filter("__spans", lambda x: x["kind"] == BASE.index(k))).cast("long").alias(f"n_{k}")
     own = [f"__x{i}" for i in range(len(keep))]
     base = with_spans(rows, BASE).select("__id", "__key", "__spans", *own)
-    linked = linked_parts(rows, scope).select(F.col("__id").alias("__id2"), F.col("__key").alias("__key2"), "__linked")
+    linked = staged(linked_parts(rows, scope)).select(F.col("__id").alias("__id2"), F.col("__key").alias("__key2"), "__linked")
     both = base.join(linked, (F.col("__key") == F.col("__key2")) & F.col("__id").eqNullSafe(F.col("__id2")), "left")
     both = both.withColumn("__all", F.when(F.col("__linked").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", "__linked"))))
     return both.select(F.col("__id").alias(id_col), *map(count, BASE), F.sha2(listed(F.col("__spans")), 256).alias("base_sha256"), listed(F.col("__all")).alias("spans"), F.col("__all").alias("found"), *[F.col(f"__x{i}").alias(c) for i, c in enumerate(keep)])
