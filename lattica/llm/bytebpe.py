@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from lattica.llm.common import map_batches, small_batches, text_column
 
 #: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 1_200_000
+MEMORY = 400_000
 
 
 class BytePairs(dict):

@@ -6,8 +6,6 @@ harm.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,8 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.plans.cut import staged
+
+__all__ = ["arrow_schema", "map_batches", "map_groups", "small_batches", "staged", "table", "text_column"]
+
 #: Rows of an Arrow batch, so that a batch of long texts stays within a worker's memory.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,34 +29,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a temporary folder stands in.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read again.
-
-    That cuts the lineage, survives lost executors, is computed once however often it is read, and gives the optimizer
-    the true size.
-    """
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def long_id(name: str) -> Column:
-    return F.col(name).cast("long")
-
-
 def text_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -26,7 +26,7 @@ from lattica.llm.common import map_batches, small_batches, staged, text_column
 SAMPLE, ROUNDS = 800, 2
 SMOOTHING = 0.02
 UNKNOWN = "und"
-MEMORY = 1_000_000
+MEMORY = 250_000
 #: Letters of a word up to which probabilities can't vanish in double precision but for rare scripts.
 SHORT = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
