@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import map_groups, small_batches, staged
 
 #: Rows of a tile's two sides in expectation, and partial lists that are merged at once.
-QUERIES, SHARD, FAN_IN = 8192, 1024, 16
+QUERIES, SHARD, FAN_IN = 8192, 8192, 16
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -81,9 +81,9 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
         q, c = (np.floor(np.clip(matrix(x["v"]) * scale, -1.7e308, 1.7e308)) for x in (ask, have))
         ids, own, keys = have["id"].to_numpy(), ask["id"].to_numpy(), ask["key"].to_numpy()
         out: list[tuple] = []
-        for at in range(0, len(own), 1024):
-            mine = own[at : at + 1024]
-            score = scores(q[at : at + 1024], c)
+        for at in range(0, len(own), 512):
+            mine = own[at : at + 512]
+            score = scores(q[at : at + 512], c)
             same = mine[:, None] == ids
             places = best(score, k + int(same.sum(1).max()))
             rows_at = np.repeat(np.arange(len(mine)), places.shape[1])
@@ -92,7 +92,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
             rows_at, places = rows_at[ok], places[ok]
             nth = np.arange(len(rows_at)) - np.searchsorted(rows_at, rows_at)
             rows_at, places = rows_at[nth < k], places[nth < k]
-            out.append((mine[rows_at], keys[at : at + 1024][rows_at], np.full(len(places), t["shard"][0].as_py(), np.int32), ids[places], score[rows_at, places]))
+            out.append((mine[rows_at], keys[at : at + 512][rows_at], np.full(len(places), t["shard"][0].as_py(), np.int32), ids[places], score[rows_at, places]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "key", "shard", "vec_id", "score"])
 
     found = map_groups(asked.unionByName(given), ["dim", "block", "shard"], tile, "query_id long, key long, shard int, vec_id long, score long")
