@@ -17,6 +17,7 @@ from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, INDEX, PAYLOAD, REF, T
 from lattica.operators import graph, infer, normalize as norm, precheck, sampling, scoring, search as text_search, shape, snapshot
 from lattica.operators.normalize import struct_of
 from lattica.operators.store import _merged
+from lattica.plans.cut import staged
 from lattica.sources import catalog, mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,17 +664,16 @@ def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of regions, nations and suppliers; sequential by definition, so no SQL."""
-    nodes, edges = data_graph(spark, sf_dir)
-    some = nodes.where("kind IN ('table', 'procedure')")
-    return shape.communities(some, edges)[1]
+    """Communities of all kept kinds; sequential by definition, so no SQL."""
+    kept, links = shape.collapse(*data_graph(spark, sf_dir))
+    return shape.communities(staged(kept), staged(links))[1]
 
 
 @query()
 def viewer_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered nodes with their degrees and communities."""
     nodes, edges = data_graph(spark, sf_dir)
-    return shape.data_block(nodes.where("kind IN ('table', 'procedure')"), edges)[0].drop("id")
+    return shape.data_block(nodes, edges)[0].drop("id")
 
 
 @query(f"WITH {_LINKS_SQL} SELECT DISTINCT 'main.' || b AS parent, 'main.' || a AS child FROM l")
