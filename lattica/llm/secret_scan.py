@@ -2,8 +2,8 @@
 
 Strong secrets are found by three fixed patterns. Weak parts (names of accounts, short secrets, endpoints) mean little
 alone, so they are reported only where complementary parts stand within one scope: the parts of each document are put
-into bins of the scope's width and joined with those of the same and the neighbouring bins. A bin holds a bounded number
-of parts, as parts don't overlap within a kind, so no document and no kind makes a quadratic join.
+into all bins of the scope's width that they reach and joined with those of the same and the neighbouring bins. A bin
+holds a bounded number of parts, as parts don't overlap within a kind, so no document and no kind makes a quadratic join.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def linked_parts(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = staged(parts.select("__id", "__key", F.explode_outer("__spans").alias("s"))).where(F.col("s").isNotNull())
     of = lambda kinds: parts.where(F.col("s.kind").isin([orders[k] for k in kinds]))
     secrets = of(SECRETS).select("__id", "__key", F.col("s").alias("a"), F.explode(F.sequence(F.floor(F.col("s.start") / scope) - 1, F.floor(F.col("s.end") / scope) + 1)).alias("bin"))
-    partners = of(PARTNERS).select("__id", "__key", F.col("s").alias("b"), F.explode(F.array_distinct(F.array(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope)))).alias("bin"))
+    partners = of(PARTNERS).select("__id", "__key", F.col("s").alias("b"), F.explode(F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))).alias("bin"))
     x, y = secrets.alias("x"), partners.alias("y")
     near = (F.col("a.start") - F.col("b.end") <= scope) & (F.col("b.start") - F.col("a.end") <= scope)
     pairs = x.join(y, (F.col("x.__key") == F.col("y.__key")) & F.col("x.__id").eqNullSafe(F.col("y.__id")) & (F.col("x.bin") == F.col("y.bin")) & near)

@@ -155,6 +155,17 @@ def test_secret_scan_against_plain_python(spark):
     assert all(r.spans == "" for r in rows if r.doc_id in (7, 8))
 
 
+def test_secrets_within_long_partners(spark):
+    """A secret that stands far from both ends of a partner is within its scope all the same."""
+    names = [k for k, *_ in secret_scan.PATTERNS]
+    url = lambda at, n, part: "https://" + "a" * (at - 9) + "&" + part + "&" + "b" * (n - at - len(part) - 1)
+    texts = [url(700, 1500, "pwd=hunter22"), url(450, 900, "pwd=hunter22"), url(620, 1200, "pwd=hunter22"), "x " * 300 + url(2000, 4000, "pass=abcd1"), url(700, 1500, "token=abcdefgh1"), "user=" + "u" * 1200 + " " + "z" * 190 + " pin=12345", "pin=12345 " + "z" * 210 + " user=" + "u" * 1200]
+    rows = secret_scan.find_secrets(spark.createDataFrame(hostile(list(enumerate(texts))), DOCS), keep=["text"]).collect()
+    for r in rows:
+        assert r.spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in plain_spans(r.text)[1])
+    assert all("endpoint" in r.spans for r in rows if r.doc_id < 5) and all("weak" in r.spans for r in rows if r.doc_id < 4)
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
