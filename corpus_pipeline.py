@@ -8,11 +8,11 @@ from __future__ import annotations
 
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bytebpe, langid, minhash, mixing, secret_scan
-from lattica.llm.common import staged, table
+from lattica.llm.common import staged, table, text_column
 from lattica.llm.queries import domains
 
 
@@ -37,17 +37,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the smallest id. Rows without an id stay.
+    """One row of each class of near-duplicate texts: that of the smallest id, null ones last. Rows without a word stay.
 
-    Of rows that share an id the one with the longest text stays; only those rows are sorted for it.
+    Rows that share an id are told apart by their texts. Repeated rows of one id and text are aggregated, not sorted.
     """
-    found = staged(minhash.near_duplicates(docs).select("doc_id", "kept"))
-    gone = staged(found.where("NOT kept").select("doc_id").distinct())
-    again = staged(found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    several = _packed(kept.join(again, "doc_id", "left_semi")).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(_unpacked(several, docs))
+    found = staged(minhash.text_classes(docs).select("id", "key", "n_words", "best"))
+    pair = [F.col("id").alias("__id"), F.col("key").alias("__key2")]
+    whole = staged(found.where("id IS NOT NULL").groupBy(F.col("id").alias("__id")).agg(F.bool_or("best").alias("some")).where("NOT some").select("__id"))
+    mixed = staged(found.where("NOT best").select(*pair).distinct().join(whole, "__id", "left_anti"))
+    again = staged(found.where("best AND n_words > 0").groupBy(*pair).count().where("count > 1").drop("count"))
+    rows = _packed(docs).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_column("text")))
+    own = F.col("doc_id").cast("long")
+    same = (F.col("__key") == F.col("__key2")) & own.eqNullSafe(F.col("__id"))
+    kept = rows.join(whole, own == F.col("__id"), "left_anti")
+    if mixed.take(1):
+        kept = kept.join(mixed, same, "left_anti")
+    if not again.take(1):
+        return _unpacked(kept, docs)
+    once = kept.join(again, same, "left_semi").groupBy("doc_id", "__key").agg(F.first(F.struct("text", "__rest")).alias("__row"))
+    once = once.select("doc_id", "__row.text", "__row.__rest")
+    return _unpacked(kept.join(again, same, "left_anti").select(once.columns).unionByName(once), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

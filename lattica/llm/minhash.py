@@ -269,14 +269,19 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
     return staged(map_groups(dealt, ["band", "h", "i", "j"], compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_words, kept) for each row of docs.
+def _key() -> Column:
+    """Tells rows apart by id and text, together with the id."""
+    return F.xxhash64("id", "__text")
+
 
-    class_id is the smallest id of the texts that a row's text is linked with, directly or through others; kept tells the
-    row whose id that is. Texts link if their similarity reaches the threshold, or if they have the same words in the
-    same order. Texts without any word, null ones among them, link with nothing. Repeated rows are in one class, and each
-    is kept if its id is the class's; rows that share an id are one node, so their texts' classes are one. Rows with a
-    null id have a null class and are kept.
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, n_words, class_id, best) for each row of docs.
+
+    A class is a set of texts that are linked, directly or through others; class_id is the smallest id of its rows, null
+    if none has one. Texts link if their similarity reaches the threshold, or if they have the same words in the same
+    order; a shared id links nothing. best tells the rows whose id and key (a hash of id and text) are the class's first,
+    by id with null ones last, then fingerprint. Texts without any word, null ones among them, link with nothing; their
+    rows are all best.
 
     Texts are shuffled once, those of proposed pairs once more in each round; frequent shingles are a table whose size does not depend
     on the number of texts. Links and classes stay distributed.
@@ -297,28 +302,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         band = sampler.bands(s, each, rows).view(np.int64)
         x, y = fingerprints(w)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(w.count), pa.array(x), pa.array(y), pa.array(total[s.edges[1:]] - total[s.edges[:-1]]), _lists(band)],
-            names=["id", "n_words", "x", "y", "w", "bands"],
+            [batch.column("id"), batch.column("key"), pa.array(w.count), pa.array(x), pa.array(y), pa.array(total[s.edges[1:]] - total[s.edges[:-1]]), _lists(band)],
+            names=["id", "key", "n_words", "x", "y", "w", "bands"],
         )
 
-    signed = staged(map_batches(base, sign, "id long, n_words long, x long, y long, w double, bands array<long>"))
-    usable = signed.where("n_words > 0 AND id IS NOT NULL")
-    first = staged(usable.groupBy("x", "y").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.max("w").alias("w")))
-    buckets = staged(first.select("rep", "w", F.posexplode("bands").alias("band", "h")))
-    leaders = staged(buckets.groupBy("band", "h").agg(F.min_by(F.struct("rep", "w"), "rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", F.col("leader.rep").alias("leader"), F.col("leader.w").alias("lw")))
-    starred = staged(buckets.join(leaders, ["band", "h"]).where("rep <> leader"))
-    members = starred.select("rep").union(starred.select("leader")).distinct().withColumnRenamed("rep", "id")
-    # A merge join at every size: the texts of all documents are shuffled once, here.
-    texts = staged(base.select("id", F.col("__text").alias("text")).join(members.hint("merge"), "id"))
+    signed = staged(map_batches(base.withColumn("key", _key()), sign, "id long, key long, n_words long, x long, y long, w double, bands array<long>"))
+    usable = signed.where("n_words > 0")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "x", "y", "key")
+    first = usable.groupBy("x", "y").agg(F.min(order).alias("at"), F.first("bands").alias("bands"), F.max("w").alias("w"))
+    # A text's number tells it from others of its id; it is written once and only compared for being equal or less.
+    first = staged(first.withColumn("rep", F.monotonically_increasing_id()))
+    buckets = staged(first.select("rep", "w", F.coalesce("at.id", F.lit(2**63 - 1)).alias("low"), F.posexplode("bands").alias("band", "h")))
+    leaders = staged(buckets.groupBy("band", "h").agg(F.min_by(F.struct("rep", "w"), "low").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", F.col("leader.rep").alias("leader"), F.col("leader.w").alias("lw")))
+    starred = staged(buckets.drop("low").join(leaders, ["band", "h"]).where("rep <> leader"))
+    members = starred.select("rep").union(starred.select("leader")).distinct().join(first.select("rep", F.col("at.id").alias("of"), F.col("at.key").alias("key")), "rep")
+    # A merge join at every size: the texts of all documents are shuffled once, here. Repeated rows give one text.
+    texts = base.select("id", "__text", _key().alias("key")).join(members.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("of")))
+    texts = staged(texts.groupBy("key", "rep").agg(F.first("__text").alias("text")).select(F.col("rep").alias("id"), "text"))
     close = starred.where(_plausible("w", "lw", threshold)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(close, texts, weights, threshold)
-    # Rows that share an id link their texts.
-    same_id = usable.select("id", "x", "y").distinct().join(first.select("x", "y", "rep"), ["x", "y"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     failed = staged(starred.join(links.select(F.col("a").alias("rep"), F.col("b").alias("leader")), ["rep", "leader"], "left_anti").select("band", "h", "rep", "w", "leader", "lw"))
     if failed.take(1):
         links = links.unionByName(_failed_links(buckets, failed, texts, links, weights, threshold, tile))
-    classes = components(links.unionByName(same_id).toDF("u", "v"))
-    node = F.coalesce("rep", "id")
-    out = signed.join(first.select("x", "y", "rep"), ["x", "y"], "left").withColumn("node", F.when((F.col("n_words") > 0) & F.col("id").isNotNull(), node).otherwise(F.col("id")))
-    out = out.join(classes, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
-    return out.select(F.col("id").alias(id_col), "class_id", "n_words", F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
+    linked = staged(components(links.toDF("u", "v")).join(first.select(F.col("rep").alias("node"), "at"), "node"))
+    lowest = linked.groupBy("component").agg(F.min("at").alias("best"))
+    of = linked.select(F.col("node").alias("rep"), "component").join(lowest, "component").select("rep", "best")
+    labels = first.select("x", "y", "rep", "at").join(of, "rep", "left").select("x", "y", F.coalesce("best", "at").alias("best"))
+    out = signed.select("id", "key", "n_words", "x", "y").join(labels, ["x", "y"], "left")
+    some = F.col("n_words") > 0
+    best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    return out.select("id", "key", "n_words", F.when(some, F.col("best.id")).otherwise(F.col("id")).alias("class_id"), F.when(some, best).otherwise(True).alias("best"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_words, kept) for each row of docs.
+
+    class_id is that of text_classes; kept tells the row whose id that is. Repeated rows are in one class, and each is kept
+    if its id is the class's; texts that share an id and aren't linked otherwise are apart, each with its own class. Rows
+    with a null id link others, but have a null class and are kept; text_classes tells which of them repeat others.
+    """
+    found = text_classes(docs, threshold, bands, rows, tile, id_col, text_col)
+    class_id = F.when(F.col("id").isNotNull(), F.col("class_id"))
+    return found.select(F.col("id").alias(id_col), class_id.alias("class_id"), "n_words", F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))

@@ -4,7 +4,7 @@ from collections import Counter
 import public_tokenizers as P
 
 import corpus_pipeline
-from lattica.llm import bytebpe
+from lattica.llm import bytebpe, minhash
 from lattica.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.helpers import prose
 
@@ -61,3 +61,15 @@ def test_each_stage_takes_odd_rows_and_none(spark, tmp_path):
     mixed = stages["mixing"](spark, docs, sf)
     assert set(read(mixed)) <= set(read(docs)) and mixed.count() > 0
     assert stages["byte_bpe"](spark, docs, sf).count() == len(odd_rows())
+
+
+def test_dedup_goes_by_texts_not_ids(spark, tmp_path):
+    x, y = prose(700, 80), prose(701, 90)
+    rows = [(7, x), (7, y), (8, x + " more"), (9, y + " more"), (3, prose(702, 70)), (3, "short text"), (3, "short text"), (5, prose(703, 50)), (None, prose(704, 60)), (None, prose(704, 60)), (None, prose(703, 50) + " more"), (None, None), (None, None), (6, ""), (6, "")]
+    rows += [(1000, prose(1000 + i, 40)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = Counter((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, str(tmp_path)).collect())
+    gone = [(8, x + " more"), (9, y + " more"), (3, "short text"), (None, prose(704, 60)), (None, prose(703, 50) + " more")]
+    assert got == Counter(rows) - Counter(gone)
+    found = {(r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(docs).collect() if r.doc_id in (3, 7, 8, 9)}
+    assert found == {(3, 3, True), (7, 7, True), (8, 7, False), (9, 7, False)}
