@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.components import components
 from lattica.plans.cut import staged
 
 # Kinds that stay on top by default, those of columns, and the heavy ones.
@@ -84,19 +85,8 @@ def min_degree_core(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[Dat
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
-    both = staged(both.union(both.select("b", "a")).distinct())
-    label = staged(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        low = both.join(label, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("low"))
-        # A label's own label is as good, so chains shrink by half each round.
-        step = label.join(low, "id", "left").select("id", F.least("component", "low").alias("component"))
-        root = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        step = staged(step.join(root, "component").select("id", F.col("root").alias("component")))
-        changed = step.select("id", F.col("component").alias("c")).join(label, "id").where("c <> component").limit(1).count()
-        label = step
-        if not changed:
-            return label
+    found = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("node", "id")
+    return staged(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
 def _propagate(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,10 +13,14 @@ _written: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder stands in.
+    Where that is unset and the master is this machine, as in tests, a temporary folder stands in. Elsewhere executors
+    would not see one another's files, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
         at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -26,19 +30,40 @@ def staged(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again.
 
     That cuts the lineage, survives lost executors, is computed once however often it is read, and gives the optimizer
-    the true size. The tables stay until release().
+    the true size. The tables stay until discard() or release().
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _written.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes what this process has staged; for when no result that rests on it is needed any more."""
+def discard(*frames: DataFrame) -> None:
+    """Deletes staged tables whose rows have been read for the last time; other frames are left alone."""
+    for df in frames:
+        at = getattr(df, "_staged_at", None)
+        if at in _written:
+            _delete(df.sparkSession, [at])
+
+
+def mark() -> int:
+    """The present state, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes what this process has staged since a mark; for when no result that rests on it is needed any more."""
+    gone = [at for at in _written[since:] if keep is None or at != getattr(keep, "_staged_at", None)]
+    return _delete(spark, gone)
+
+
+def _delete(spark: SparkSession, gone: list[str]) -> int:
     jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for at in gone:
+        _written.remove(at)
+        path = jvm.org.apache.hadoop.fs.Path(at)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
