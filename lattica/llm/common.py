@@ -15,30 +15,44 @@ from pyspark.sql import types as T
 
 from lattica.plans.cut import staged
 
-__all__ = ["arrow_schema", "map_batches", "map_groups", "small_batches", "staged", "table", "text_column"]
+__all__ = ["arrow_schema", "map_batches", "map_groups", "slices", "small_batches", "staged", "table", "text_column"]
 
-#: Rows of an Arrow batch, so that a batch of long texts stays within a worker's memory.
-BATCH_ROWS = 128
+#: Bytes that Spark hands to a worker at once, and rows and bytes of a slice that an operator works on; one row is a slice, however long.
+BATCH_BYTES, SLICE_ROWS, SLICE_BYTES = 4 << 20, 128, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch. All operators set the one value, so it doesn't matter when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in small parts, in order; empty batches are left out."""
+    for batch in batches:
+        rest = [batch] if batch.num_rows else []
+        while rest:
+            part = rest.pop()
+            n = part.num_rows
+            if n == 1 or (n <= rows and part.nbytes <= SLICE_BYTES):
+                yield part
+            else:
+                rest += [part.slice(n // 2), part.slice(0, n // 2)]
 
 
 def text_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one result, or none, for each batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """mapInArrow with one result, or none, for each slice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in slices(batches, rows):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

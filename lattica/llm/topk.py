@@ -38,16 +38,19 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best(score: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the places of its k highest scores, ties to smaller ids (they ascend), best first."""
+    """Of each row the places of its k highest scores, ties to smaller ids (they ascend), best first.
+
+    ~x falls as x grows and, unlike -x, has a value for the least of all integers.
+    """
     if score.shape[1] > 4 * k:
         # All that reach the k-th score stay, so ties are settled by id below.
-        floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        floor = ~np.partition(~score, k - 1, axis=1)[:, k - 1]
         out = []
         for row, least in zip(score, floor, strict=True):
             at = np.flatnonzero(row >= least)
-            out.append(at[np.argsort(-row[at], kind="stable")][:k])
+            out.append(at[np.argsort(~row[at], kind="stable")][:k])
         return np.stack(out)
-    return np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.argsort(~score, axis=1, kind="stable")[:, :k]
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = QUERIES, shard: int = SHARD) -> DataFrame:
@@ -62,7 +65,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
     blocks, tiles have about the same size whatever the data, and only k rows of each query leave a tile. The lists of
     sixteen shards at a time are merged until one is left.
     """
-    small_batches(table.sparkSession, 4096)
+    small_batches(table.sparkSession)
     rows = vectors(table.withColumn("__is_query", F.coalesce(is_query, F.lit(False))), id_col, vector_col, "__is_query")
     rows = staged(rows.withColumn("dim", F.size("v")))
     sizes = {r.dim: (-(-r.q // queries), -(-r.n // shard)) for r in rows.groupBy("dim").agg(F.sum(F.col("__is_query").cast("int")).alias("q"), F.count("*").alias("n")).collect()}

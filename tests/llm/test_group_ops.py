@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.llm import capfilters, minhash, mixing, sharding, topk, words
-from lattica.llm.components import components
+from lattica.plans.components import components
 from tests.llm.helpers import DOCS, hostile, prose
 
 
@@ -164,18 +164,72 @@ def test_embedding_links_against_all_pairs(spark):
     assert [r.n_links for r in got if r.vec_id == 5] == [1, 1]
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
     assert capfilters.near_embeddings(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [1.0, 0.0])], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    assert sorted(map(tuple, capfilters.near_embeddings(twice).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def at_cosine(rng, x, cosine):
+    x = capfilters.unit_vectors(x)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * capfilters.unit_vectors(y)
+
+
+def test_planted_embedding_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((3000, 64))
+    for k, c in enumerate((0.9001, 0.91, 0.93, 0.96, 0.99)):
+        v[1000 + 200 * k : 1200 + 200 * k] = at_cosine(rng, v[200 * k : 200 + 200 * k], c)
+    v[2500:2900] = at_cosine(rng, np.repeat(v[2400:2401], 400, 0), 0.955)  # a group, larger than a tile below
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = {r.vec_id: r for r in capfilters.near_embeddings(df, 0.9, tile=128).collect()}
+    u = capfilters.unit_vectors(v)
+    ok = u @ u.T >= 0.9
+    np.fill_diagonal(ok, False)
+    assert ok.sum() > 2000
+    assert all(got[i].n_links <= ok[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * ok.sum()
+    want = classes_of(3000, np.argwhere(ok).tolist())
+    assert sum(got[i].component_id == want[i] for i in got) >= 2990
+
+
+def test_filters_hold_recall_at_every_size_and_length():
+    rng = np.random.default_rng(12)
+    for n, dim in ((10, 64), (500, 64), (5_000, 64), (50_000, 64), (1_000_000, 64), (10_000_000, 64), (5_000, 3), (5_000, 9), (5_000, 300)):
+        code = capfilters.Filters(n, dim, 0.9)
+        for c in (0.9, 0.95, 0.99):
+            x = rng.standard_normal((1500, dim))
+            a, b = code.decode(capfilters.unit_vectors(x)), code.decode(at_cosine(rng, x, c))
+            assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.98, (n, dim, c)
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(13)
+    for dim in (1, 2, 7, 64):
+        u = capfilters.unit_vectors(rng.standard_normal((300, dim)) ** 3)
+        for t in (-0.5, 0.0, 0.9):
+            maybe, sure = capfilters.maybe_near(capfilters.sketches(u), capfilters.sketches(u), t), capfilters.near(u, u, t)
+            assert not (sure & ~maybe).any()
+            assert dim < 64 or t < 0.9 or maybe.sum() < 1.1 * sure.sum()
 
 
 def test_filters_decode_all_directions():
-    code = capfilters.Filters(4000, 16, 0.9)
-    rng = np.random.default_rng(2)
-    u = capfilters.unit_vectors(rng.standard_normal((50, 16)))
-    cuts = list(zip(code.cuts[:-1], code.cuts[1:], strict=True))
-    a, b = ((u @ code.turn)[:, i:j] @ c.T for (i, j), c in zip(cuts, code.codes, strict=True))
-    every = (a[:, :, None] + b[:, None, :]).reshape(50, -1)
+    code = capfilters.Filters(40_000, 16, 0.9)
+    u = capfilters.unit_vectors(np.random.default_rng(2).standard_normal((50, 16)))
+    cuts, every = list(zip(code.cuts[:-1], code.cuts[1:], strict=True)), []
+    for turn, parts in code.codes:
+        a, b = ((u @ turn)[:, i:j] @ c.T for (i, j), c in zip(cuts, parts, strict=True))
+        every.append((a[:, :, None] + b[:, None, :]).reshape(50, -1))
+    every = np.concatenate(every, 1)
     assert [x.tolist() for x in code.decode(u)] == [np.flatnonzero(row >= code.height).tolist() for row in every]
 
 
+def test_best_takes_the_least_integer_last():
+    least = -(1 << 63)
+    assert topk.best(np.array([[least, 5, 3]]), 2).tolist() == [[1, 2]]
+    assert topk.best(np.array([[least, 5, 3, least, 4, 1, 0, 2, 9]]), 2).tolist() == [[8, 1]]
+
+
 def test_top_k_against_all_products(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((700, 8)).round(1)
