@@ -1,14 +1,15 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five words in a row. A shingle's weight in a text is how often it stands there, times an inverse document
-frequency that only tells frequent shingles from the rest:
+Shingles are five words in a row. A shingle's weight in a text is how often it stands there, times its inverse document
+frequency, with df(s) the number of texts that have it and N the number of texts with words:
 
-    idf(s) = (1 + min(1, ln(1 + N / df(s)) / ln(1 + 1 / COMMON))) / 2
+    idf(s) = 2 - ln df(s) / ln N
 
-so that of a shingle in less than the share COMMON of all N texts is 1, and that of one in all of them about 0.58. By
-that, only shingles of at least COMMON * N texts need a count, and there are at most (mean shingles of a text) / COMMON
-of them, whatever N is. They are found exactly: a shingle with that share of all texts has half of it in what tasks
-report, as each leaves out only shingles of less than half of it among its own; what remains is then counted in full.
+from 2 for a shingle of one text to 1 for one of all texts. Document frequencies of all shingles of all texts are counted
+in a table of fixed size, by hash. A place of the table also counts what else falls there, about the mean m of all places;
+so df(s) is what it counts less m + 3 sqrt(m), and at least 1. Where there are far fewer shingles than places that is the
+true count; with more, shingles of less than about 3 sqrt(m) texts pass for ones of a single text (33 texts of 256,000 in
+the test tables, 250 of 15 million), and all more frequent ones have their own weights.
 
 Similarity is the weighted Jaccard similarity, the sum of the smaller weights over the sum of the larger ones. It is
 computed exactly for every pair that sampling proposes: texts that agree in all samples of a band are in one bucket.
@@ -30,35 +31,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.capfilters import spanning
-from lattica.llm.common import map_batches, map_groups, small_batches, staged, text_column
-from lattica.plans.components import components
+from lattica.llm.common import map_batches, map_groups, slices, small_batches, staged, text_column
 from lattica.llm.words import Shingles, fingerprints, mix, shingles_of, words_of
+from lattica.plans.components import components
+from lattica.plans.cut import discard
 
-COMMON, THRESHOLD, BANDS, ROWS = 0.01, 0.8, 12, 4
+THRESHOLD, BANDS, ROWS = 0.8, 12, 4
+#: Places of the table of document frequencies, a power of two; parts that it is summed in, and tables summed at once.
+PLACES, PARTS, FAN_IN = 1 << 21, 64, 64
 #: Texts on a side of a tile, in expectation, and shared shingles that are compared at once.
-TILE, WIDTH = 512, 4096
+TILE, WIDTH = 256, 4096
 _CHUNK = 4096
 _U = np.uint64
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.minimum(1, np.log1p(n / np.maximum(df, 1)) / math.log1p(1 / COMMON))) / 2
+    return 2 - np.minimum(1, np.log(df) / math.log(max(n, 2)))
+
+
+def places_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(65 - PLACES.bit_length())).astype(np.int64)
 
 
 class Weights:
-    """The shingles that are frequent in a corpus, ascending, with their weights; all others weigh 1."""
+    """The inverse document frequencies of n texts, from the counts of the table's places.
+
+    Frequencies are held to an eighth of an octave, in a byte a place.
+    """
 
-    def __init__(self, frequent: dict[int, int], n: int) -> None:
-        self.hashes = np.array(sorted(frequent), np.uint64)
-        self.values = idf(np.array([frequent[int(h)] for h in self.hashes], float), n)
+    def __init__(self, counts: np.ndarray, n: int) -> None:
+        mean = counts.sum() / len(counts)
+        df = np.maximum(1, counts - math.floor(mean + 3 * math.sqrt(mean)))
+        self.eighths = np.rint(8 * np.log2(df)).clip(0, 255).astype(np.uint8)
+        self.idf = idf(np.exp2(np.arange(256) / 8), n)
 
     def of(self, s: Shingles) -> np.ndarray:
-        out = s.times.astype(float)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, s.hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == s.hashes
-            out[hit] *= self.values[at[hit]]
-        return out
+        return s.times * self.idf[self.eighths[places_of(s.hashes)]]
 
 
 class Sampler:
@@ -138,69 +146,74 @@ def similarity(a: Shingles, wa: np.ndarray, b: Shingles, wb: np.ndarray) -> floa
     return low / total if total else 0.0
 
 
-def frequent_shingles(docs: DataFrame, n: int, text_col: str = "__text") -> dict[int, int]:
-    """Of every shingle that at least COMMON * n texts have: their number, exactly."""
-
-    def report(batches):
-        # Blocks of texts, not too small, so that "half the share of a block" leaves few.
-        held: list[np.ndarray] = []
-        texts = 0
+def document_frequencies(docs: DataFrame, text_col: str = "__text") -> tuple[np.ndarray, int]:
+    """The counts of the table's places, and the number of texts with words.
 
-        def flush():
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            some = times >= max(1, COMMON / 2 * texts)
-            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(times[some])], names=["h", "n"])
-
-        for batch in batches:
-            s = shingles_of(words_of(batch.column(0)))
-            held.append(s.hashes)
-            texts += batch.num_rows
-            if texts >= 2000 or sum(map(len, held)) >= 4_000_000:
-                yield flush()
-                held, texts = [], 0
-        if held:
-            yield flush()
-
-    reported = docs.select(text_col).mapInArrow(report, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    candidates = np.sort(np.array([r.h for r in reported.where(F.col("n") >= COMMON / 2 * n).select("h").collect()], np.int64).view(np.uint64))
-    if not len(candidates):
-        return {}
+    Each task sums its own table; tables are summed part by part, FAN_IN at a time, so what a task holds is bounded, and
+    what reaches the driver is one table.
+    """
 
     def count(batches):
-        seen = np.zeros(len(candidates), np.int64)
-        for batch in batches:
-            h = shingles_of(words_of(batch.column(0))).hashes
-            at = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
-            seen += np.bincount(at[candidates[at] == h], minlength=len(candidates))
-        yield pa.RecordBatch.from_arrays([pa.array(candidates.view(np.int64)), pa.array(seen)], names=["h", "n"])
-
-    counted = docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return {r.h % (1 << 64): r.n for r in counted.where(F.col("n") >= COMMON * n).collect()}
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """(a, b) of those pairs (a, b) that are similar; texts has (id, text)."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sides = []
-        for c in ("a", "b"):
-            ids = batch.column(c).to_numpy()
-            own, back = np.unique(ids, return_inverse=True)
-            first = np.zeros(len(own), np.int64)
-            first[back] = np.arange(len(ids))
-            s = shingles_of(words_of(batch.column("t" + c).take(pa.array(first))))
-            sides.append((s, weights.of(s), back))
-        ok = []
-        for i in range(batch.num_rows):
-            cut = []
-            for s, w, back in sides:
-                x, y = s.edges[back[i]], s.edges[back[i] + 1]
-                cut += [Shingles(s.hashes[x:y], s.times[x:y], np.array([0, y - x])), w[x:y]]
-            ok.append(similarity(*cut) >= threshold)
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return staged(map_batches(both.select("a", "b", "ta", "tb"), check, "a long, b long"))
+        total, held, waiting, texts = np.zeros(PLACES, np.int32), [], 0, 0
+        for batch in slices(batches):
+            w = words_of(batch.column(0))
+            held.append(places_of(shingles_of(w).hashes))
+            waiting += len(held[-1])
+            texts += int((w.count > 0).sum())
+            if waiting > PLACES:
+                total += np.bincount(np.concatenate(held), minlength=PLACES).astype(np.int32)
+                held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=PLACES).astype(np.int32)
+        rows = [(i, x.astype("<i8").tobytes()) for i, x in enumerate(np.split(total, PARTS)) if x.any()] + [(-1, np.array([texts], "<i8").tobytes())]
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "counts"])
+
+    def add(t: pa.Table) -> pa.RecordBatch:
+        total = sum(np.frombuffer(x, "<i8") for x in t["counts"].to_pylist())
+        return pa.RecordBatch.from_arrays([t["part"].combine_chunks().slice(0, 1), t["task"].combine_chunks().slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "task", "counts"])
+
+    tables = staged(docs.select(text_col).mapInArrow(count, "part int, counts binary").withColumn("task", F.spark_partition_id()))
+    left = (tables.agg(F.max("task")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // FAN_IN)
+        more = map_groups(tables.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")), ["part", "task"], add, "part int, task int, counts binary")
+        old, tables = tables, staged(more)
+        discard(old)
+    out, n = np.zeros((PARTS, PLACES // PARTS), np.int64), 0
+    for r in tables.collect():
+        if r.part < 0:
+            n = int(np.frombuffer(r.counts, "<i8")[0])
+        else:
+            out[r.part] = np.frombuffer(r.counts, "<i8")
+    discard(tables)
+    return out.ravel(), n
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float, tile: int) -> DataFrame:
+    """(a, b) of those pairs (a, b, n) that are similar; texts has (id, text), n tells how many pairs share b at most.
+
+    Texts meet their b in groups of bounded size: a b of many pairs is dealt to parts, and its text goes to each.
+    """
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / tile)).cast("int"))
+    many = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "text")
+    one = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+
+    def check(t: pa.Table) -> pa.RecordBatch | None:
+        first = pc.is_null(t["a"])
+        s = shingles_of(words_of(t.filter(first)["text"]))
+        near = []
+        for part in slices(t.filter(pc.invert(first)).to_batches()):
+            x = shingles_of(words_of(part.column("text")))
+            w, to, wf = weights.of(x), np.minimum(np.searchsorted(s.hashes, x.hashes), len(s.hashes) - 1), weights.of(s)
+            low = np.where(s.hashes[to] == x.hashes, np.minimum(w, wf[to]), 0)
+            of = np.repeat(np.arange(part.num_rows), np.diff(x.edges))
+            low, own = (np.bincount(of, y, part.num_rows) for y in (low, w))
+            near.append(part.column("a").filter(pa.array(low >= threshold * (own + wf.sum() - low))))
+        out = pa.concat_arrays(near)
+        return pa.RecordBatch.from_arrays([out, pa.array(np.full(len(out), t["b"][0].as_py(), np.int64))], names=["a", "b"])
+
+    return staged(map_groups(many.unionByName(one), ["b", "part"], check, "a long, b long"))
 
 
 def _plausible(a: str, b: str, threshold: float) -> Column:
@@ -246,9 +259,9 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
     classes = components(links.toDF("u", "v")).select(F.col("node").alias("rep"), F.col("component").alias("c"))
     flags = failed.select("band", "h", "rep", F.lit(1).alias("bad")).distinct()
     rows = buckets.select("band", "h", "rep").join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").join(flags, ["band", "h", "rep"], "left")
-    rows = staged(rows.join(classes, "rep", "left").select("band", "h", "rep", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("c", "rep").alias("c")))
-    parts = staged(rows.groupBy("band", "h").agg(F.ceil(F.sum("bad") / tile).cast("int").alias("pa"), F.ceil(F.count("*") / tile).cast("int").alias("pb")))
-    rows = rows.join(parts, ["band", "h"])
+    kept = staged(rows.join(classes, "rep", "left").select("band", "h", "rep", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("c", "rep").alias("c")))
+    parts = staged(kept.groupBy("band", "h").agg(F.ceil(F.sum("bad") / tile).cast("int").alias("pa"), F.ceil(F.count("*") / tile).cast("int").alias("pb")))
+    rows = kept.join(parts, ["band", "h"])
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = rows.where("bad = 1").select("band", "h", "rep", "c", F.lit(True).alias("left"), part("pa").alias("i"), upto("pb").alias("j"))
@@ -266,7 +279,9 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
         u, v = spanning(ok, x["rep"].to_numpy(), y["rep"].to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"]) if len(u) else None
 
-    return staged(map_groups(dealt, ["band", "h", "i", "j"], compare, "a long, b long"))
+    found = staged(map_groups(dealt, ["band", "h", "i", "j"], compare, "a long, b long"))
+    discard(kept, parts)
+    return found
 
 
 def _key() -> Column:
@@ -283,14 +298,13 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     by id with null ones last, then fingerprint. Texts without any word, null ones among them, link with nothing; their
     rows are all best.
 
-    Texts are shuffled once, those of proposed pairs once more in each round; frequent shingles are a table whose size does not depend
-    on the number of texts. Links and classes stay distributed.
+    Texts are shuffled once, those of proposed pairs once more in each round; document frequencies are a table whose size
+    does not depend on the number of texts. Links and classes stay distributed.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_column(text_col).alias("__text"))
-    n = base.count()
-    weights = Weights(frequent_shingles(base, n), n)
+    weights = Weights(*document_frequencies(base))
     sampler = Sampler(bands * rows)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -313,17 +327,18 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     # A text's number tells it from others of its id; it is written once and only compared for being equal or less.
     first = staged(first.withColumn("rep", F.monotonically_increasing_id()))
     buckets = staged(first.select("rep", "w", F.coalesce("at.id", F.lit(2**63 - 1)).alias("low"), F.posexplode("bands").alias("band", "h")))
-    leaders = staged(buckets.groupBy("band", "h").agg(F.min_by(F.struct("rep", "w"), "low").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", F.col("leader.rep").alias("leader"), F.col("leader.w").alias("lw")))
+    leaders = staged(buckets.groupBy("band", "h").agg(F.min_by(F.struct("rep", "w"), "low").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "h", F.col("leader.rep").alias("leader"), F.col("leader.w").alias("lw"), "n"))
     starred = staged(buckets.drop("low").join(leaders, ["band", "h"]).where("rep <> leader"))
     members = starred.select("rep").union(starred.select("leader")).distinct().join(first.select("rep", F.col("at.id").alias("of"), F.col("at.key").alias("key")), "rep")
     # A merge join at every size: the texts of all documents are shuffled once, here. Repeated rows give one text.
     texts = base.select("id", "__text", _key().alias("key")).join(members.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("of")))
     texts = staged(texts.groupBy("key", "rep").agg(F.first("__text").alias("text")).select(F.col("rep").alias("id"), "text"))
-    close = starred.where(_plausible("w", "lw", threshold)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _verified(close, texts, weights, threshold)
+    close = starred.where(_plausible("w", "lw", threshold)).groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("n").alias("n"))
+    links = _verified(close, texts, weights, threshold, tile)
     failed = staged(starred.join(links.select(F.col("a").alias("rep"), F.col("b").alias("leader")), ["rep", "leader"], "left_anti").select("band", "h", "rep", "w", "leader", "lw"))
     if failed.take(1):
         links = links.unionByName(_failed_links(buckets, failed, texts, links, weights, threshold, tile))
+    discard(buckets, leaders, starred, texts, failed)
     linked = staged(components(links.toDF("u", "v")).join(first.select(F.col("rep").alias("node"), "at"), "node"))
     lowest = linked.groupBy("component").agg(F.min("at").alias("best"))
     of = linked.select(F.col("node").alias("rep"), "component").join(lowest, "component").select("rep", "best")
