@@ -91,6 +91,7 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l
   least(e.vec_id, coalesce(low.low, e.vec_id)) = e.vec_id AS kept
 FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.node = e.vec_id
 """,
+    "op5_license_scan": licenses.sql(),
     "op8_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

@@ -73,31 +73,79 @@ def plain_base(text):
 
 
 def plain_templates(ws):
-    labels = set()
+    """Labels and greatest containment over all blocks, at every start."""
+    labels, most = set(), 0.0
     for label, template in licenses.TEMPLATES:
-        t = set(plain_base(template)[0])
-        for start in range(0, max(1, len(ws)), licenses.STRIDE):
-            if len(t & set(ws[start : start + licenses.WINDOW])) >= licenses.THRESHOLD * len(t) - 1e-9:
-                labels.add(label)
-    return labels
-
-
-def test_license_scan_against_all_windows(spark):
-    mit, bsd = (t for label, t in licenses.TEMPLATES if label in ("mit", "bsd"))
-    cut = mit.split()
+        t = plain_base(template)[0]
+        window, t = licenses.window_of(len(t)), set(t)
+        best = max(len(t & set(ws[start : start + window])) / len(t) for start in range(max(1, len(ws) - window + 1)))
+        if best >= licenses.THRESHOLD - 1e-9:
+            labels.add(label)
+            most = max(most, best)
+    return labels, most
+
+
+def license_texts():
+    whole = max((t for label, t in licenses.TEMPLATES if label == "mit"), key=len)
+    mit, bsd = ([t for label, t in licenses.TEMPLATES if label == x][0] for x in ("mit", "bsd"))
+    cut, rng = mit.split(), random.Random(2)
+    apart = prose(8, 160).split()  # all distinct words of a template, spread over 120 words from word 40 on
+    for i, w in enumerate(dict.fromkeys(plain_base(bsd)[0])):
+        apart[40 + i * 6] = w
     texts = [
         (1, None), (2, ""), (3, prose(3, 300)), (4, "The GNU general-Public LICENSE. mit license, MIT License"), (5, prose(4, 150) + " " + mit + " " + prose(5, 150)),
         (6, prose(6, 90) + " " + " ".join(cut[: len(cut) * 9 // 10]).upper() + " " + prose(7, 9)), (7, " ".join(cut[: len(cut) // 2])), (8, bsd + "\n" * 50 + "cc by"), (8, bsd + "\n" * 50 + "cc by"), (None, "apache license"),
+        (9, " ".join(apart)), (10, prose(12, 77) + " " + whole + prose(13, 50)), (11, "mit license " * 40 + prose(14, 3)),
     ]
+    for i in range(40):
+        words = " ".join(rng.choice(licenses.TEMPLATES)[1] for _ in range(2)).split()
+        texts.append((20 + i, " ".join(x for w in words for x in ([w] if rng.random() < 0.85 else []) + prose(rng.randrange(99), 3).split()[: rng.randint(0, 2)])))
+    return texts
+
+
+def test_license_scan_against_all_windows(spark):
+    texts = license_texts()
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(spark.createDataFrame(hostile(texts), DOCS)).collect()}
     for i, t in texts:
         ws, base = plain_base(t)
         r = got[i, len(ws)]
         starts, labels = [k for k, _ in base], {x for _, x in base}
+        more, most = plain_templates(ws)
         assert (r.n_base, r.first_word, r.last_word) == (len(base), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted(labels))
-        assert r.labels == ",".join(sorted(labels | plain_templates(ws)))
-        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+        assert r.labels == ",".join(sorted(labels | more)), i
+        assert r.score == (1.0 if base else most)
+    assert got[9, 160].labels == "bsd" and got[9, 160].score == 1.0
+    assert "mit" in {r.labels for r in got.values()} and any(r.labels and r.score < 1 for r in got.values())
+
+
+def test_license_sql_says_the_same(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = hostile(license_texts())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))
+    want = con.sql(licenses.sql()).fetchall()
+    got = licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).drop("blocks").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_templates_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("own", "alpha beta gamma delta"), (None, "x"), ("no words", "!!"), ("null", None)], "label STRING, text STRING")
+    docs = spark.createDataFrame([(1, "zz delta x gamma beta alpha"), (2, "alpha beta")], "doc_id LONG, text STRING")
+    assert sorted((r.doc_id, r.labels, r.score) for r in licenses.scan_licenses(docs, table).collect()) == [(1, "own", 1.0), (2, "", 0.0)]
+    monkeypatch.setattr(licenses, "MOST", 1)
+    with pytest.raises(ValueError, match="more than 1 templates"):
+        licenses.read_templates(table)
+
+
+def test_places_in_a_text_of_one_phrase_are_found_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    found = licenses.places([b"mit", b"license"] * 40_000)
+    assert [i for i, _ in found] == list(range(0, 80_000, 2)) and time.perf_counter() - began < 0.5
 
 
 def test_license_join_is_exact():
@@ -105,16 +153,19 @@ def test_license_join_is_exact():
     vocabulary = [f"w{i}" for i in range(30)]
     templates = [(str(k), " ".join(rng.sample(vocabulary, 8))) for k in range(12)]
     for trial in range(200):
-        ws = [rng.choice([*vocabulary, "z"]).encode() for _ in range(rng.randint(0, 60))]
-        known = licenses.Templates(templates, {w.encode(): rng.randint(0, 9) for w in vocabulary}, 0.7)
-        got = {(k, i) for k, i, _, _ in known.matches(ws, 16, 8)}
+        ws = [rng.choice([*vocabulary, "z", "y"]).encode() for _ in range(rng.randint(0, 60))]
+        known = licenses.Templates(templates, {w.encode(): rng.randint(0, 9) for w in vocabulary}, 0.7, lambda n: 2 * n)
+        got = {(k, s) for k, a, b, _, _ in known.matches(ws) for s in range(a, b + 1)}
         want = set()
         for k, (_, t) in enumerate(templates):
             need = {x.encode() for x in t.split()}
-            for start in range(0, len(ws), 8):
-                if (start == 0 or start + 8 < len(ws)) and len(need & set(ws[start : start + 16])) >= 0.7 * len(need) - 1e-9:
+            for start in range(max(1, len(ws) - 15)):
+                if len(need & set(ws[start : start + 16])) >= 0.7 * len(need) - 1e-9:
                     want.add((k, start))
         assert got == want, trial
+        for k, a, b, window, c in known.matches(ws):
+            need = {x.encode() for x in templates[k][1].split()}
+            assert c == max(len(need & set(ws[s : s + window])) for s in range(a, b + 1)) / len(need)
 
 
 SECRETS = [
