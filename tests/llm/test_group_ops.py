@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -330,6 +331,9 @@ def test_resharding(spark, tmp_path):
     assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in assigned.where(F.col("shard").isin(which)).collect())
 
 
+VOCABULARY = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+
 def test_mixing_meets_targets(spark):
     good, poor, toxic = (lambda i: prose(i, 40)), (lambda i: "!! 123 " * 10 + prose(i, 10)), (lambda i: prose(i, 30) + " vile nasty vile")
     rows, labels = [], []
@@ -340,14 +344,39 @@ def test_mixing_meets_targets(spark):
             labels.append((i, d))
     rows += [(700, None), (701, ""), (702, prose(1, 5000)), (3, rows[3][1]), (None, "x y")]
     docs = spark.createDataFrame(hostile(rows), DOCS)
-    marked = spark.createDataFrame([*labels, (None, 1), (5, None)], "id LONG, domain INT")
-    out = mixing.mix_to_targets(docs, marked, (0.7, 0.2, 0.1), keep=["text", "rank"]).collect()
-    assert len(out) == len(rows) and all(r["rank"] == 7 and r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) and abs(sum(r.posterior) - 1) < 1e-9 for r in out)
-    got = np.array([sum(r.rate * r.n_tokens * r.posterior[d] for r in out) for d in range(3)])
-    assert np.allclose(got / got.sum(), (0.7, 0.2, 0.1), atol=0.01)
+    marked = spark.createDataFrame([*labels, (None, 1), (5, None), (2, 2), (2, 1)], "id LONG, domain INT")
+    for targets in ((0.7, 0.2, 0.1), (0.1, 0.6, 0.3), (0.05, 0.05, 0.9)):
+        out = mixing.mix_to_targets(docs, marked, targets, VOCABULARY, keep=["text", "rank"]).collect()
+        assert len(out) == len(rows) and all(r["rank"] == 7 and r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) and abs(sum(r.posterior) - 1) < 1e-9 for r in out)
+        got = np.array([sum(r.rate * r.n_tokens * r.posterior[d] for r in out) for d in range(3)])
+        assert np.allclose(got, np.array(targets) * sum(r.n_tokens for r in out), rtol=0.002) and np.abs(out[0].misfit).max() < 0.001
+    mixing.tokens_of(pa.array(["x"]), VOCABULARY)
+    lib = mixing._loaded[VOCABULARY]
+    assert all(r.n_tokens == len(lib.encode_ordinary(r.text or "")) for r in out)
     by = {r.doc_id: r for r in out}
     truth = {i: d for i, d in labels}
     assert np.mean([int(np.argmax(by[i].posterior)) == d for i, d in truth.items()]) > 0.97
-    assert mixing.mix_to_targets(docs.limit(0), marked).count() == 0
-    even = mixing.mix_to_targets(docs, marked.limit(0)).collect()
+    assert mixing.mix_to_targets(docs.limit(0), marked, (0.5, 0.3, 0.2), VOCABULARY).count() == 0
+    even = mixing.mix_to_targets(docs, marked.limit(0), (0.5, 0.3, 0.2), VOCABULARY).collect()
     assert len(even) == len(rows) and len({tuple(r.posterior) for r in even}) == 1
+    assert np.abs(even[0].misfit).max() > 0.1  # documents that are all alike can't be mixed to that
+
+
+def test_rates_are_those_of_plain_least_squares(spark):
+    """Against plain projected gradient over documents, with tiny steps: where targets can be met, and where not."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(0, 300, 400)
+    for low, targets, whole in ((0.0, (0.5, 0.3, 0.2), None), (0.0, (0.9, 0.02, 0.08), 1.0), (0.25, (0.96, 0.02, 0.02), None)):
+        p = rng.dirichlet((0.4, 0.3, 0.2), 400) * (1 - 3 * low) + low
+        rows = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, n, strict=True)], "posterior ARRAY<DOUBLE>, n_tokens LONG").repartition(5)
+        steps, misfit = mixing.fit_rates(rows, targets, whole=whole)
+        share = (p * n[:, None]).T / n.sum()
+        goal = np.array(targets) * (1 if whole is None else whole * share[0].sum() / targets[0])
+        a = share / goal[:, None]
+        plain = np.ones(400)
+        for _ in range(40_000):
+            plain = np.maximum(0, plain - a.T @ (a @ plain - 1) / np.linalg.norm(a @ a.T, 2))
+        x = mixing._rates(p, steps)
+        assert (x >= 0).all() and np.allclose(misfit, a @ x - 1, atol=1e-4)
+        assert ((a @ x - 1) ** 2).sum() <= ((a @ plain - 1) ** 2).sum() + 0.03
+        assert np.abs(misfit).max() < 1e-3 or np.abs(a @ plain - 1).max() > 0.5
