@@ -6,14 +6,17 @@ return the columns of documents.
 
 from __future__ import annotations
 
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bytebpe, langid, minhash, mixing, secret_scan
 from lattica.llm.common import staged, table, text_column
-from lattica.llm.queries import domains
+from lattica.llm.queries import bpe, domains
+from lattica.plans.cut import mark, release
+
+#: Shares of the corpus's tokens by domain (good, poor, toxic), of as many tokens as keep good text at the rate WHOLE.
+TARGETS, WHOLE = (0.86, 0.12, 0.02), 1.05
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -68,16 +71,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its rate says, so that the domains' tokens meet their targets."""
+    """Each document as many times as its rate says, so that the domains' tokens meet TARGETS; good ones stay whole."""
     labels = domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_to_targets(_packed(docs), labels, keep=("text", "__rest"))
+    mixed = mixing.mix_to_targets(_packed(docs), labels, TARGETS, bpe(), whole=WHOLE, keep=("text", "__rest"))
     return _unpacked(mixed.where("copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bytebpe.encode_and_decode(docs, path, public_tokenizers.PATTERN).drop("ids")
+    return bytebpe.encode_and_decode(docs, *bpe()).drop("ids")
 
 
 STAGES = [
@@ -96,7 +98,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        before = mark()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs)
+            release(spark, before, keep=docs)  # what the stage needed on its way
     return docs
