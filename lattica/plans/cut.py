@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again.
 
     That cuts the lineage, survives lost executors, is computed once however often it is read, and gives the optimizer
@@ -34,7 +34,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", compression).partitionBy(*partition_by).parquet(at)
     _written.append(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
