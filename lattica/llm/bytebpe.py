@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from lattica.llm.common import map_batches, small_batches, text_column
 
-#: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Distinct pieces whose ids a worker remembers, the most bytes of one, and pairs of tokens; beyond it a memory starts anew.
+MEMORY, LONGEST, PAIRS = 400_000, 64, 1_000_000
 
 
 class BytePairs(dict):
@@ -72,6 +72,8 @@ class BytePairs(dict):
                 before, a = a, split_a[1]
             else:
                 before, b = b + 1, split_b[0]
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         self.fits[left, right] = answer
         return answer
 
@@ -104,9 +106,12 @@ class BytePairs(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        out = self[piece] = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        data = piece.encode()
+        out = np.array(self.encode(data), "<u4").tobytes()
+        if len(data) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = out
         return out
 
     def packed(self, text: str) -> bytes:

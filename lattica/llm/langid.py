@@ -20,13 +20,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_batches, small_batches, staged, text_column
+from lattica.llm.common import map_batches, slices, small_batches, staged, text_column
 
 #: Documents of each language, in expectation, that a model is fitted on; and rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 800, 2
 SMOOTHING = 0.02
 UNKNOWN = "und"
-MEMORY = 250_000
+#: Words, and letters of them, that a worker remembers; beyond it the memory starts anew.
+MEMORY, LETTERS = 250_000, 16_000_000
 #: Letters of a word up to which probabilities can't vanish in double precision but for rare scripts.
 SHORT = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -105,23 +106,37 @@ def word_log_probabilities(voc: Vocabulary, p: np.ndarray, word: str, rows: dict
     return [math.log(x) + s if x > 0 else -1e9 for x, s in zip(sums[n], scale)]
 
 
-def expected_pieces(voc: Vocabulary, p: np.ndarray, word: str) -> dict[int, float]:
-    """How often each piece stands in a segmentation of the word, in expectation under one language's probabilities."""
+def expected_pieces(voc: Vocabulary, p: list[float], word: str) -> dict[int, float]:
+    """How often each piece stands in a segmentation of the word, in expectation under one language's probabilities.
+
+    Sums forward and back are divided by running factors, one a position, so that long words can't make them vanish: f[i]
+    is the true sum over the product of the factors up to i, and back[i] the true one over that of the factors after i.
+    """
     n, to = voc.arcs(word)
     q = {pieces: math.prod(p[i] for i in pieces) for arcs in to for _, pieces in arcs}
-    forward, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    f, factor = [1.0] + [0.0] * n, [1.0] * (n + 1)
     for end in range(1, n + 1):
-        forward[end] = sum(forward[s] * q[x] for s, x in to[end])
-    for end in range(n, 0, -1):
+        total = 0.0
         for s, x in to[end]:
-            back[s] += back[end] * q[x]
+            y = f[s] * q[x]
+            for i in range(s + 1, end):
+                y /= factor[i]
+            total += y
+        factor[end] = total or 1.0
+        f[end] = total / factor[end]
     out: dict[int, float] = {}
-    if forward[n] > 0:
-        for end in range(1, n + 1):
-            for s, x in to[end]:
-                share = forward[s] * q[x] * back[end] / forward[n]
-                for i in x:
-                    out[i] = out.get(i, 0.0) + share
+    if f[n] <= 0:
+        return out
+    back = [0.0] * n + [1.0]
+    for end in range(n, 0, -1):
+        for s, x in to[end]:
+            y = back[end] * q[x]
+            for i in range(s + 1, end + 1):
+                y /= factor[i]
+            back[s] += y
+            share = f[s] * y
+            for i in x:
+                out[i] = out.get(i, 0.0) + share
     return out
 
 
@@ -129,8 +144,8 @@ def train(docs: DataFrame, path: str, lang_col: str = "lang", id_col: str = "doc
     """A model of every non-null value of lang_col.
 
     Of each language about `sample` documents are used, those with the smallest hashes of their ids, of the share that
-    the counts over all documents give; that bounds the work by the number of languages. Words of over 64 letters
-    are left out of the fit. Without any labelled text the model has no languages.
+    the counts over all documents give; that bounds the work by the number of languages. Without any labelled text the
+    model has no languages.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), text_column(text_col).alias("__text")).where(F.col("__lang").isNotNull())
@@ -142,12 +157,10 @@ def train(docs: DataFrame, path: str, lang_col: str = "lang", id_col: str = "doc
     place = F.pmod(F.xxhash64(F.col("__id")), F.lit(1 << 30)) / (1 << 30)
 
     def count_words(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in words_of(text):
-                    if len(w) <= 64:
-                        seen[lang, w] += 1
+                seen.update((lang, w) for w in words_of(text))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen]), pa.array([w for _, w in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -237,7 +250,7 @@ class Scorer:
     """A model and the memory of the words seen; only the model travels."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.letters = model, {}, 0
 
     def __getstate__(self) -> Model:
         return self.model
@@ -248,6 +261,7 @@ class Scorer:
     def _learn(self, words: set[str]) -> None:
         if not self.known:
             self.voc, self.table = vocabulary(self.model.path), np.zeros((1 << 14, len(self.model.langs)))
+        self.letters += sum(map(len, words))
         at = len(self.known)
         while at + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -268,8 +282,8 @@ class Scorer:
         lists = [words_of(t) if t else [] for t in texts]
         if not self.model.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self.known) > MEMORY:
-            self.known = {}
+        if len(self.known) > MEMORY or self.letters > LETTERS:
+            self.known, self.letters = {}, 0
         if new := set().union(*lists).difference(self.known):
             self._learn(new)
         out, known = [], self.known

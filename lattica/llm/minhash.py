@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
 
     Texts meet their b in groups of bounded size: a b of many pairs is dealt to parts, and its text goes to each.
     """
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / tile)).cast("int"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") * 4 / tile)).cast("int"))
     many = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "text")
     one = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 

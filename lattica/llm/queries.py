@@ -73,8 +73,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     old = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS))
-    moved = sharding.reshard(docs, old, OLD_SHARDS, SHARDS)
-    return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    moved, _ = sharding.reshard(docs, old, OLD_SHARDS, SHARDS)
+    text = F.coalesce("text", F.lit(""))  # as the new files have it
+    return moved.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,7 +8,7 @@ holds a bounded number of parts, as parts don't overlap within a kind, so no doc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,38 @@ PATTERNS = (
 )
 BASE = ("assign", "access", "hex")
 SECRETS, PARTNERS = ("assign", "hex", "weak"), ("access", "identifier", "endpoint")
-_BLOCK = 64
+#: Values that are summed at a time, and characters of a piece of a long text.
+_BLOCK, _PIECE = 64, 1024
 
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
+def _most(x: Column) -> Column:
+    return F.coalesce(F.array_max(x), F.lit(0).cast("long"))
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once, however often and in whichever inner function it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _with_before(values: Column, fold: Callable[[Column], Column], use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(before), where before(i) is the fold (the sum, say) of the values before the i-th, from 0.
+
+    Folds of blocks of values, and of the blocks before each block, are kept, so before(i) looks at one block only.
+    """
+
+    def before(v: Column, earlier: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        return fold(F.array(F.get(earlier, block), fold(F.slice(v, block * _BLOCK + 1, i % _BLOCK))))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / _BLOCK).cast("int")), lambda b: fold(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+    upto = lambda f: F.transform(F.sequence(F.lit(0), F.size(f) - 1), lambda b: fold(F.slice(f, F.lit(1), b)))
+    return _let(values, lambda v: _let(blocks(v), lambda f: _let(upto(f), lambda earlier: use(lambda i: before(v, earlier, i)))))
+
+
 def with_spans(df: DataFrame, kinds: Sequence[str], text: str = "__text") -> DataFrame:
     """Adds __spans: array of (start, kind's place in PATTERNS, end) of every span of the kinds, in code points.
 
@@ -51,17 +76,20 @@ def with_spans(df: DataFrame, kinds: Sequence[str], text: str = "__text") -> Dat
         found = F.col(text).rlike(pattern)
         df = df.select("*", F.when(found, F.regexp_extract_all(text, p, F.lit(0))).otherwise(none).alias("__m"), F.when(found, F.split(text, pattern, -1)).otherwise(none).alias("__p"), (F.when(found, F.regexp_extract_all(text, p, F.lit(group))).otherwise(none) if group else F.lit(None).cast("array<string>")).alias("__g"))
         df = df.select(*names, *kept, F.transform("__m", lambda x: F.length(x).cast("long")).alias("__m"), F.transform("__p", lambda x: F.length(x).cast("long")).alias("__p"), (F.transform("__g", lambda x: F.length(x).cast("long")) if group else F.transform("__m", lambda x: F.length(x).cast("long"))).alias("__g"))
-        df = df.select("*", F.zip_with("__m", "__p", lambda m, q: m + q).alias("__s"))
-        df = df.select("*", F.transform(F.sequence(F.lit(0), F.floor(F.size("__m") / _BLOCK).cast("int")), lambda b: _sum(F.slice("__s", F.lit(1), b * _BLOCK))).alias("__b"))
+        # There is one part more than matches, at the end, where __m is null.
+        each = F.arrays_zip("__m", "__p", "__g")
 
-        def span(m: Column, i: Column) -> Column:
-            block = F.floor(i / _BLOCK).cast("int")
-            start = F.get("__b", block) + _sum(F.slice("__s", block * _BLOCK + 1, i % _BLOCK)) + F.get("__p", i)
-            return F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + m).alias("end"), F.get("__g", i).alias("g"))
+        def spans(before: Callable[[Column], Column], order: int = order) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                start = before(i) + x["__p"]
+                return F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + x["__m"]).alias("end"), x["__g"].alias("g"))
 
-        spans = F.filter(F.transform("__m", span), lambda x: x["g"] >= least)
+            return F.transform(each, span)
+
+        found = _with_before(F.zip_with("__m", "__p", lambda m, q: m + q), _sum, spans)
+        found = F.filter(found, lambda x: F.coalesce(x["g"] >= least, F.lit(False)))
         kept.append(f"__k{order}")
-        df = df.select(*names, *kept[:-1], F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias(kept[-1]))
+        df = df.select(*names, *kept[:-1], F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias(kept[-1]))
     return df.select(*names, F.array_sort(F.concat(*kept)).alias("__spans"))
 
 
@@ -110,16 +138,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.select(F.col("__id").alias(id_col), *map(count, BASE), F.sha2(listed(F.col("__spans")), 256).alias("base_sha256"), listed(F.col("__all")).alias("spans"), F.col("__all").alias("found"), *[F.col(f"__x{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, overlapping ones as one, replaced by MASK; null stays null."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        part = F.when(new, F.concat(F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["done"], part).alias("done"))
-
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
-
+def with_redacted(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
+    """Adds the text with each span, overlapping ones as one, replaced by MASK; null stays null.
 
+    A span begins a mask if it starts at or after the end of all before it. What stands between masks is taken from short
+    pieces of the text, so many spans in a long text take time in proportion.
+    """
+    some = F.size(spans) > 0
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def kept(x: Column, t: Column) -> Column:
+        first, last = (F.floor(x[c] / _PIECE).cast("int") for c in ("from", "to"))
+        near = F.array_join(F.slice(t, first + 1, last - first + 1), "")
+        return F.substring(near, (x["from"] - first * _PIECE + 1).cast("int"), (x["to"] - x["from"]).cast("int"))
+
+    ends = F.transform(spans, lambda x: x["end"])
+    stands = _with_before(ends, _most, lambda before: F.transform(spans, lambda x, i: F.struct(before(i).alias("from"), x["start"].alias("to"))))
+    rest = F.struct(_most(ends).alias("from"), F.length(text).cast("long").alias("to"))
+    between = F.concat(F.filter(stands, lambda x: x["to"] >= x["from"]), F.array(rest))
+    new = _let(pieces, lambda t: F.array_join(F.transform(between, lambda x: kept(x, t)), MASK))
+    return df.withColumn(name, F.when(some, new).otherwise(F.col(text)))

@@ -1,9 +1,9 @@
 """Resharding by minimum-cost flow: as few bytes as possible move from old shards to new ones of equal capacity.
 
-Old shards are cut into a fixed number of blocks by a hash. The blocks' sizes, a table of fixed size, go to the driver;
-a minimum-cost flow from old sizes to new capacities (a byte that stays costs nothing) says how many bytes go where. On
-each old shard's line of blocks the flows are intervals; a document goes where the middle of its bytes lies, so only
-blocks at a border are looked into, and the sizes come out equal but for a part of a document at each border.
+Old shards are cut into lines of rows by a hash. The lines' sizes go to the driver; a minimum-cost flow from old sizes to
+new capacities (a byte that stays costs nothing) says how many bytes go where. Along each old shard's lines the flows are
+intervals; a document goes where the middle of its bytes lies, so only lines at a border are looked into, and the sizes
+come out equal but for a part of a document at each border. Then the shards that lose or gain rows are written anew.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import staged, text_column
+from lattica.plans.cut import discard
 
-BLOCKS = 256
+#: Lines that an old shard is cut into, at least, and rows of a line, in expectation at most.
+LINES, LINE_ROWS = 256, 100_000
 
 
 def cheapest_flow(supply: Sequence[int], demand: Sequence[int], cost: Callable[[int, int], int]) -> dict[tuple[int, int], int]:
@@ -57,66 +59,78 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """(id, size, text_crc32, old_shard, shard, slot) for each row of docs.
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), lines: int = LINES, line_rows: int = LINE_ROWS) -> tuple[DataFrame, list[int]]:
+    """((id, size, text_crc32, old_shard, shard, slot, text, *keep) for each row of docs, and the shards written anew).
 
     size is the text's bytes in UTF-8 plus 16; a null text has none and the checksum of the empty text. The law is
     `bytes`: shards 0 to shards - 1 get sizes as equal as whole documents allow. slot numbers a shard's rows from 0
-    without gaps. old_shard must give 0 to old_shards - 1; null counts as 0. Repeated rows are rows like others; null
-    ids too. An empty table gives no rows. Two sums by block, each of at most old_shards x blocks rows plus the borders,
-    reach the driver; rows are shuffled once, by block, without their texts.
+    without gaps. old_shard must give 0 to old_shards - 1; null counts as 0. Repeated rows are rows like others, and null
+    ids too. Equal texts aren't kept together, as a group of a third of all rows would fit no shard. An empty table gives
+    no rows.
+
+    The rows of a shard that loses or gains some are written into a folder of its own, and come from there; the others are
+    left where they are. Rows are shuffled once, by ranges of lines, so that a task writes for few shards. A line of far
+    more rows than others (equal rows have one hash) is cut further by row. Sums by line reach the driver: at most
+    old_shards x lines, or 5 for each line_rows rows, whichever is more.
     """
-    spark = docs.sparkSession
-    text = text_column(text_col)
-    rows = docs.select(F.col(id_col).alias("__id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"))
-    rows = rows.withColumn("h", F.xxhash64("__id", "crc")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    rows = staged(rows)
-    sums = {(r.old, r.block): r.size for r in rows.groupBy("old", "block").agg(F.sum("size").alias("size")).collect()}
-    supply = [sum(sums.get((i, b), 0) for b in range(blocks)) for i in range(old_shards)]
+    text = F.col(text_col).cast("string")
+    whole = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("crc"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(keep)])
+    own = ["__text", *[f"__x{i}" for i in range(len(keep))]]
+    rows = staged(rows.withColumn("h", F.xxhash64("__id", "crc")).withColumn("nr", F.monotonically_increasing_id()), compression="zstd")
+    lines = max(lines, -(-rows.count() // (old_shards * line_rows)))
+    rows_of = rows.withColumn("line", F.pmod("h", F.lit(lines)).cast("int"))
+    found = rows_of.groupBy("old", "line").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    usual = max(line_rows // 25, 4 * sum(r.n for r in found) // max(1, old_shards * lines))
+    sums = {(r.old, r.line, 0): r["size"] for r in found if r.n <= usual}
+    hot = rows.sparkSession.createDataFrame([(r.old, r.line, -(-r.n // usual)) for r in found if r.n > usual], "old int, line int, parts int")
+    rows_of = rows_of.join(F.broadcast(hot), ["old", "line"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nr"), F.col("parts"))).cast("int")).drop("parts")
+    if any(r.n > usual for r in found):
+        cut = rows_of.join(F.broadcast(hot), ["old", "line"], "left_semi").groupBy("old", "line", "part").agg(F.sum("size").alias("size"))
+        sums |= {(r.old, r.line, r.part): r["size"] for r in cut.collect()}
+    supply = [0] * old_shards
+    for (i, *_), n in sums.items():
+        supply[i] += n
     flow = cheapest_flow(supply, capacities(sum(supply), shards), lambda i, j: int(i != j))
-    pieces = []  # old shard, block, from, to (bytes from the block's start), new shard
-    for i in range(old_shards):
-        own = sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j))
-        start, done = 0, 0
-        at = 0
-        for b in range(blocks):
-            end = start + sums.get((i, b), 0)
-            while end > start and at < len(own):
-                stop = done + flow[i, own[at]]
-                pieces.append((i, b, max(done, start) - start, min(stop, end) - start, own[at]))
-                if stop > end:
-                    break
-                done, at = stop, at + 1
-            start = end
-    pieces = [p for p in pieces if p[2] < p[3]]
-    goes = F.broadcast(spark.createDataFrame(pieces, "old int, block int, low long, high long, shard int"))
-    line = Window.partitionBy("old", "block").orderBy("h", "__id", "crc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("middle", F.sum("size").over(line) - F.floor(F.col("size") / 2) - 1).join(goes, ["old", "block"]).where("low <= middle AND middle < high")
-    order = Window.partitionBy("old", "block", "shard").orderBy("middle")
-    placed = staged(placed.withColumn("nth", F.row_number().over(order) - 1))
-    counts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect()
+    affected = sorted({x for pair in flow if pair[0] != pair[1] for x in pair})
+    goes = rows.sparkSession.createDataFrame(_pieces(sums, flow), "old int, line int, part int, low long, high long, shard int")
+    key = ["old", "line", "part"]
+    along = Window.partitionBy(*key).orderBy("h", "__id", "crc", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = rows_of.repartitionByRange(*key).withColumn("middle", F.sum("size").over(along) - F.floor(F.col("size") / 2) - 1)
+    placed = dealt.join(F.broadcast(goes), key).where("low <= middle AND middle < high")
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "shard").orderBy("middle", "nr")) - 1)
+    placed = placed.select("__id", "size", "crc", *key, "nth", *own, "shard")
+    rewritten = staged(placed.where(F.col("shard").isin(affected)), "shard", compression="zstd")
+    if set(affected) >= set(range(shards)):
+        discard(rows)
+    else:
+        rewritten = rewritten.unionByName(placed.where(~F.col("shard").isin(affected)))
     before, offsets = [0] * shards, []
-    for r in sorted(counts, key=lambda r: (r.shard, r.old, r.block)):
-        offsets.append((r.shard, r.old, r.block, before[r.shard]))
+    for r in sorted(rewritten.groupBy("shard", *key).agg(F.count("*").alias("n")).collect()):
+        offsets.append((r.shard, r.old, r.line, r.part, before[r.shard]))
         before[r.shard] += r.n
-    offset = F.broadcast(spark.createDataFrame(offsets, "shard int, old int, block int, offset long"))
-    return placed.join(offset, ["shard", "old", "block"]).select(F.col("__id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot"))
-
-
-def affected(assigned: DataFrame) -> list[int]:
-    """Shards whose files must be written anew: those that lose or gain a row."""
-    moved = assigned.where("old_shard <> shard")
-    both = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard")))
-    return sorted(r.shard for r in both.distinct().collect())
-
-
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", files: int = 8) -> list[int]:
-    """Writes the affected shards of docs below path, one folder a shard and several files in each, and leaves the rest.
-
-    docs must have unique, non-null ids here, as a row is found again by its id.
-    """
-    which = affected(assigned)
-    where = assigned.where(F.col("shard").isin(which)).select(id_col, "shard", "slot")
-    rows = docs.join(where, id_col).repartition("shard", F.pmod("slot", F.lit(files)))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return which
+    offset = rows.sparkSession.createDataFrame(offsets, "shard int, old int, line int, part int, offset long")
+    out = rewritten.join(F.broadcast(offset), ["shard", *key])
+    slot = (F.col("offset") + F.col("nth")).cast("long").alias("slot")
+    return out.select(F.col("__id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", slot, F.col("__text").alias(text_col), *[F.col(f"__x{i}").alias(c) for i, c in enumerate(keep)]), affected
+
+
+def _pieces(sums: dict[tuple[int, int, int], int], flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(old shard, line, part, from, to, new shard), in bytes from the line's start: what stays first, then by new shard."""
+    out = []
+    own: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), n in flow.items():
+        own.setdefault(i, []).append((j, n))
+    for i, to in own.items():  # the next one is the last
+        to.sort(key=lambda x: (x[0] == i, -x[0]))
+    left: dict[int, tuple[int, int]] = {}
+    for (i, line, part), size in sorted(sums.items()):
+        start = 0
+        while start < size:
+            j, n = left.pop(i, None) or own[i].pop()
+            end = min(size, start + n)
+            out.append((i, line, part, start, end, j))
+            if start + n > end:
+                left[i] = (j, start + n - end)
+            start = end
+    return out

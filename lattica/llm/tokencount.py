@@ -3,8 +3,8 @@
 A huge text is encoded in chunks that overlap. The piece offsets of two neighbours are compared in the overlap, and the
 texts are spliced at the first offset where both have a border and where the border is proven stable: a blank after
 another character. No piece of the vocabulary has a blank after another character (checked on loading), so no merge ever
-reaches over such a border, whatever stands on either side. Where an overlap has no such offset it is widened, up to the
-end of the text, and then the chunk is not cut at all.
+reaches over such a border, whatever stands on either side. Where an overlap has no such offset, or its offsets can't be
+told, it is widened to twice its length, up to the end of the text, and then the chunk is not cut at all.
 """
 
 from __future__ import annotations
@@ -53,9 +53,7 @@ class Counter:
                     return total + len(self.model.encode(text[at + skip :], num_threads=1))
                 left, sure = self._borders(text[at + skip : stop], at + skip)
                 right, sure_too = self._borders(text[at + self.chunk : stop], at + self.chunk)
-                if not (sure and sure_too):
-                    return total + len(self.model.encode(text[at + skip :], num_threads=1))
-                for both in np.intersect1d(left, right).tolist():
+                for both in np.intersect1d(left, right).tolist() if sure and sure_too else ():
                     if at + self.chunk < both < stop and text[both] == " " and text[both - 1] not in (" ", BLANK):
                         cut = both
                         break
@@ -72,7 +70,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, chunk: int = CHU
     """(id, n_bytes, n_tokens, over_limit) for each row of docs.
 
     A null text counts as empty, with no tokens; repeated rows and null ids come out as they went in. Nothing is
-    shuffled, and a worker encodes one chunk at a time.
+    shuffled, and a worker encodes one chunk at a time, which grows only where a text has no border to cut at.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(id_col, text_column(text_col).alias("__text"))

@@ -305,12 +305,14 @@ def test_flow_is_cheapest():
         assert stable
 
 
-def test_resharding(spark, tmp_path):
-    texts = [(i, prose(i, 5 + i % 60)) for i in range(600)] + [(600, None), (601, ""), (602, prose(9, 4000)), (None, "x"), (5, prose(5, 10)), (5, prose(5, 10))]
+def test_resharding(spark):
+    texts = [(i, prose(i, 5 + i % 60)) for i in range(600)] + [(600, None), (601, ""), (602, prose(9, 4000)), (None, "x"), *[(5, prose(5, 10))] * 300]
     docs = spark.createDataFrame(hostile(texts), DOCS)
     old = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.col("doc_id") % 7)
-    got = sharding.reshard(docs, old, 7, 10).collect()
-    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((i or -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts)
+    moved, affected = sharding.reshard(docs, old, 7, 10, keep=["rank"], lines=16, line_rows=500)
+    got = moved.collect()
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32, r.text or "") for r in got) == sorted((i or -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), t or "") for i, t in texts)
+    assert all(r["rank"] == 7 for r in got) and affected == list(range(10))
     sizes, slots = Counter(), defaultdict(list)
     for r in got:
         sizes[r.shard] += r["size"]
@@ -323,12 +325,17 @@ def test_resharding(spark, tmp_path):
         supply[r.old_shard] += r["size"]
         stay[r.old_shard] += r["size"] * (r.old_shard == r.shard)
     assert all(stay[i] >= min(supply[i], cap) - 2 * largest for i in supply)
-    assert sharding.reshard(docs.limit(0), F.lit(0), 3, 4).count() == 0
-    few = docs.where("doc_id BETWEEN 10 AND 400").dropDuplicates(["doc_id"])
-    assigned = sharding.reshard(few, old, 7, 10)
-    which = sharding.rewrite(few, assigned, str(tmp_path / "shards"))
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in assigned.where(F.col("shard").isin(which)).collect())
+    assert sharding.reshard(docs.limit(0), F.lit(0), 3, 4)[0].count() == 0
+
+
+def test_shards_that_neither_lose_nor_gain_are_left_alone(spark):
+    docs = spark.createDataFrame([(i, "x" * 84) for i in range(60)], "doc_id LONG, text STRING")
+    old = F.when(F.col("doc_id") < 20, 0).when(F.col("doc_id") < 30, 1).otherwise(2)  # 2,000, 1,000 and 3,000 bytes
+    moved, affected = sharding.reshard(docs, old, 3, 3)
+    assert affected == [1, 2]
+    rows = moved.collect()
+    assert Counter(r.shard for r in rows) == {0: 20, 1: 20, 2: 20} and all(r.shard == 0 for r in rows if r.old_shard == 0)
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(20)) for s in range(3))
 
 
 VOCABULARY = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
