@@ -65,7 +65,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret and linked part of a credential masked, and n_chars of those counted anew."""
     found = secret_scan.find_secrets(_packed(docs), keep=["text", "__rest"])
-    found = found.select("doc_id", secret_scan.redacted(F.col("text"), F.col("found")).alias("text"), "__rest", (F.size("found") > 0).alias("__hit"))
+    found = secret_scan.with_redacted(found.select("doc_id", F.col("text").alias("__text"), "found", "__rest"), "__text", "found", "text")
+    found = found.select("doc_id", "text", "__rest", (F.size("found") > 0).alias("__hit"))
     new = {"n_chars": F.when(F.col("__hit"), F.length("text")).otherwise(F.col("__rest.n_chars"))} if "n_chars" in docs.columns else {}
     return _unpacked(found, docs, **new)
 
