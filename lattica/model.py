@@ -63,6 +63,10 @@ class GraphError(ValueError):
     """A request or an input that the graph cannot serve."""
 
 
+class UnsupportedError(GraphError):
+    """A dialect that no catalog can be read from."""
+
+
 @dataclass(frozen=True)
 class Scope:
     """What of a catalog becomes graph: levels by kind, names to leave out, and whether references are inferred.

@@ -77,8 +77,9 @@ class Impact:
 
 def pivots_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(pivot, start, column): a column starts at the table that has it, the first by id."""
-    owner = edges.where("kind = 'has_column'").groupBy(F.col("dst").alias("pivot")).agg(F.min("src").alias("owner"))
-    rows = ids.select(F.col("id").alias("pivot")).distinct().join(owner, "pivot", "left")
+    wanted = ids.select(F.col("id").alias("pivot")).distinct()
+    owner = edges.where("kind = 'has_column'").select(F.col("dst").alias("pivot"), "src").join(wanted, "pivot", "left_semi").groupBy("pivot").agg(F.min("src").alias("owner"))
+    rows = wanted.join(owner, "pivot", "left")
     kinds = nodes.select(F.col("id").alias("pivot"), F.col("kind").alias("pivot_kind"), F.col("name").alias("pivot_name"))
     rows = rows.join(kinds, "pivot", "left")
     owned = (F.col("pivot_kind") == "column") & F.col("owner").isNotNull()
@@ -152,11 +153,11 @@ def join_steps(edges: DataFrame, allow_inferred: bool = False) -> DataFrame:
     return ends.union(whole.select("dst", "src")).where("a <> b").distinct()
 
 
-def join_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, allow_inferred: bool = False, max_hops: int = 64) -> Path:
+def join_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, allow_inferred: bool = False, max_hops: int | None = None) -> Path:
     """The shortest join path between two tables, with the columns of each hop.
 
     Undirected, breadth first; of several discoverers the first by (qname, id). Each level is staged, so the path is read
-    back by one lookup for each hop. allow_inferred also follows inferred references, which by default is not done.
+    back by one lookup for each hop; it goes on until nothing new is found, or for max_hops if given. allow_inferred also follows inferred references, which by default is not done.
     """
     if start == end:
         return Path(True, [], [], [])
@@ -164,7 +165,7 @@ def join_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, allow_in
     steps = staged(join_steps(edges, allow_inferred).join(names.select(F.col("id").alias("a"), F.col("qname").alias("a_name")), "a").join(names.select(F.col("id").alias("b"), F.col("qname").alias("b_name")), "b"))
     frontier = names.where(F.col("id") == start).select(F.col("id").alias("node"), F.col("qname").alias("name"))
     visited, levels = frontier.select("node"), []
-    while len(levels) < max_hops:
+    while max_hops is None or len(levels) < max_hops:
         step = frontier.join(steps, F.col("node") == F.col("a")).select("a", "a_name", F.col("b").alias("node"), F.col("b_name").alias("name"))
         step = step.join(visited, "node", "left_anti")
         found = staged(step.groupBy("node", "name").agg(F.min_by("a", F.struct(F.expr("a_name COLLATE UNICODE"), "a")).alias("before")))

@@ -59,9 +59,11 @@ def occurrences(words: Column, phrase: list[str], prefix: bool = False) -> Colum
     return F.when(F.array_contains(words, phrase[0]), found).otherwise(0) if n > 1 else found
 
 
-def search(docs: DataFrame, query: str, limit: int = LIMIT, offset: int = 0, prefix: bool = False, exact_column: bool = False) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int | None = LIMIT, offset: int = 0, prefix: bool = False, exact_column: bool = False) -> DataFrame:
     """(id, score, matched, total) of the page of documents that hold any of the query's terms, best first, ties by id.
 
+    Without a limit all come, unsorted.
+
     docs comes from index(). A term is an exact word or, split by its own punctuation, an exact phrase within a column;
     prefix lets its last word go on. matched is the column that is told as the place of the match: body, comment, qname
     in that order, where only the first term is bound to the column; exact_column asks all terms of the column itself.
@@ -90,7 +92,8 @@ def search(docs: DataFrame, query: str, limit: int = LIMIT, offset: int = 0, pre
     matched = F.when(told("body"), F.lit("body")).when(told("comment"), F.lit("comment")).otherwise(F.lit("qname"))
     hits = tf.where(any_hit).select("id", score.alias("score"), matched.alias("matched"))
     total = hits.agg(F.count("*").alias("total"))
-    return hits.orderBy(F.desc("score"), "id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    page = hits if limit is None else hits.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))
 
 
 def suggestions(nodes: DataFrame, term: str, distance: int = DISTANCE, cap: int = SUGGESTIONS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.components import components
 from lattica.plans.cut import staged
+from lattica.plans.numbering import with_row_numbers
 
 # Kinds that stay on top by default, those of columns, and the heavy ones.
 STRUCTURAL = ("database", "schema", "table", "view", "procedure", "function", "sequence", "collection")
@@ -127,7 +128,7 @@ def communities(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     rows = connected(nodes, edges).join(links, "id", "left").select("component", "id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
     labels = staged(rows.groupBy("component").applyInPandas(_propagate, "id STRING, label STRING"))
     first = labels.groupBy("label").agg(F.min("id").alias("first"))
-    number = first.select("label", (F.row_number().over(Window.orderBy("first")) - 1).alias("community"))  # one row a community
+    number = with_row_numbers(first, ["first"], "community").select("label", "community")
     of = labels.join(number, "label").select("id", "community")
     several = nodes.select(F.count_distinct("schema") > 1).first()[0]
     key = F.coalesce("schema", F.lit("")) if several else F.split_part("name", F.lit("_"), F.lit(1))
@@ -143,8 +144,7 @@ def data_block(nodes: DataFrame, edges: DataFrame, **options) -> tuple[DataFrame
     kept, links = collapse(nodes, edges, **options)
     kept, links = staged(kept), staged(links)
     of, named = communities(kept, links)
-    order = Window.orderBy("qname", "id")  # a view for eyes: kept nodes are few
-    numbered = kept.withColumn("i", F.row_number().over(order) - 1).join(of, "id", "left").join(degrees(kept, links), "id").select("i", "id", F.col("qname").alias("label"), "kind", F.coalesce("community", F.lit(0)).alias("community"), "degree")
+    numbered = with_row_numbers(kept, ["qname", "id"], "i").join(of, "id", "left").join(degrees(kept, links), "id").select("i", "id", F.col("qname").alias("label"), "kind", F.coalesce("community", F.lit(0)).alias("community"), "degree")
     at = numbered.select("id", "i")
     drawn = links.join(at.select(F.col("id").alias("src"), F.col("i").alias("s")), "src").join(at.select(F.col("id").alias("dst"), F.col("i").alias("t")), "dst").select("s", "t", "kind").orderBy("s", "t", "kind")
     return numbered.orderBy("i"), drawn, named

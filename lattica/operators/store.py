@@ -1,7 +1,8 @@
 """A versioned store of the graph on Parquet.
 
-A write makes a new version in its own folder and becomes visible by one small commit record written last; readers take
-the newest committed version, so a job that dies in between leaves the old one. Nodes and edges are partitioned by kind.
+A write puts tables into folders of their own, and all of them become visible by one small commit record written last;
+readers take the newest committed version, so a job that dies in between leaves the old one. Snapshots and their manifests
+are added to, never rewritten: a commit adds a folder, and all are read. Nodes and edges are partitioned by kind.
 Everything goes through Spark's readers and writers, so any file system that Spark reads will do.
 """
 
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
 from lattica.operators.search import text_rows
 from lattica.operators.snapshot import content_hash, manifest
+from lattica.plans.cut import discard, staged
 
 SCHEMA_VERSION = 2
 _COMMITS = "table STRING, version LONG, folder STRING, schema_version INT"
 _META = "key STRING, value STRING"
 _SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META}
 _BY_KIND = ("nodes", "edges")
+_ADDED_TO = ("snapshots", "snapshot_objects")
 
 
 class GraphStore:
@@ -46,30 +49,41 @@ class GraphStore:
     def _read_commits(self) -> list:
         try:
             return self.spark.read.schema(_COMMITS).parquet(f"{self.path}/_commits").collect()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a store that nothing was written to yet has no commits
+                raise
             return []
 
-    def _newest(self, table: str) -> tuple[int, str | None]:
-        return max(((r.version, r.folder) for r in self._commits() if r.table == table), default=(0, None))
+    def _folders(self, table: str) -> list[str]:
+        """The folders that hold the table: the newest, or all of one that is added to."""
+        found = sorted((r.version, r.folder) for r in self._commits() if r.table == table)
+        return [folder for _, folder in (found if table in _ADDED_TO else found[-1:])]
 
     def read(self, table: str) -> DataFrame:
-        _, folder = self._newest(table)
-        if folder is None:
-            return self.spark.createDataFrame([], _SCHEMAS[table])
+        return self._read(table, self._folders(table))
+
+    def _read(self, table: str, folders: list[str]) -> DataFrame:
+        empty = self.spark.createDataFrame([], _SCHEMAS[table])
+        if not folders:
+            return empty
+        return self.spark.read.schema(_SCHEMAS[table]).parquet(*[f"{self.path}/{table}/{x}" for x in folders]).select([f.name for f in empty.schema])
+
+    def _put(self, table: str, df: DataFrame, folder: str | None = None) -> tuple[str, int, str, int]:
+        """Writes rows into a new folder that no reader sees yet, and returns the record that a commit takes."""
+        version, folder = max((r.version for r in self._commits() if r.table == table), default=0) + 1, folder or uuid.uuid4().hex
         names = [f.name for f in self.spark.createDataFrame([], _SCHEMAS[table]).schema]
-        return self.spark.read.schema(_SCHEMAS[table]).parquet(f"{self.path}/{table}/{folder}").select(names)
+        writer = df.select(names).write
+        (writer.partitionBy("kind") if table in _BY_KIND else writer).parquet(f"{self.path}/{table}/{folder}")
+        return table, version, folder, SCHEMA_VERSION
+
+    def _commit(self, *records: tuple[str, int, str, int]) -> None:
+        """All that the records name becomes visible at once."""
+        self.spark.createDataFrame(list(records), _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
+        self.refresh()
 
     def _write(self, **tables: DataFrame) -> None:
         """Several tables in one commit."""
-        records = []
-        for table, df in tables.items():
-            version, folder = self._newest(table)[0] + 1, uuid.uuid4().hex
-            names = [f.name for f in self.spark.createDataFrame([], _SCHEMAS[table]).schema]
-            writer = df.select(names).write
-            (writer.partitionBy("kind") if table in _BY_KIND else writer).parquet(f"{self.path}/{table}/{folder}")
-            records.append((table, version, folder, SCHEMA_VERSION))
-        self.spark.createDataFrame(records, _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
-        self.refresh()
+        self._commit(*[self._put(table, df) for table, df in tables.items()])
 
     @property
     def nodes(self) -> DataFrame:
@@ -113,11 +127,19 @@ class GraphStore:
         """Nodes of ids (id) go, and all edges at them; returns how many nodes went."""
         n = self.nodes.join(ids, "id", "left_semi").count()
         if n:
-            gone = ids.select("id").distinct()
-            edges = self.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
-            self._write(nodes=self.nodes.join(gone, "id", "left_anti"), edges=edges)
+            self._write(nodes=self.nodes.join(ids.select("id").distinct(), "id", "left_anti"), edges=without_ends(self.edges, ids))
         return n
 
+    def apply(self, fresh: DataFrame, gone: DataFrame) -> tuple[int, int]:
+        """Upserts nodes and deletes those of ids (id) with their edges, in one commit; returns how many of each."""
+        fresh = staged(fresh)
+        upserted, deleted = fresh.count(), self.nodes.join(gone, "id", "left_semi").count()
+        if upserted or deleted:
+            kept = self.nodes.join(gone.select("id").distinct(), "id", "left_anti")
+            self._write(nodes=_merged(kept, fresh), **({"edges": without_ends(self.edges, gone)} if deleted else {}))
+        discard(fresh)
+        return upserted, deleted
+
     def meta(self, key: str) -> str | None:
         row = self.read("meta").where(F.col("key") == key).first()
         return row.value if row else None
@@ -131,15 +153,30 @@ class GraphStore:
         return self.read("snapshots").orderBy("seq")
 
     def snapshot_objects(self, snapshot_id: str) -> DataFrame:
-        return self.read("snapshot_objects").where(F.col("snapshot_id") == snapshot_id).orderBy("qname", "node_id")
+        """A snapshot's manifest has a folder of its own."""
+        own = [x for x in self._folders("snapshot_objects") if x == snapshot_id]
+        return self._read("snapshot_objects", own).orderBy("qname", "node_id")
 
     def take_snapshot(self, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None = None, include_payload: bool = False) -> str:
         """Writes a snapshot and its manifest of visible nodes in one commit."""
+        ident, records = self._snapshot(self.nodes, engine, engine_version, fingerprint, taken_at, include_payload)
+        self._commit(*records)
+        return ident
+
+    def _snapshot(self, nodes: DataFrame, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None, include_payload: bool) -> tuple[str, list[tuple]]:
         at = taken_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        ident, old = uuid.uuid4().hex, self.read("snapshots")
-        counts = {r.kind: r.n for r in self.nodes.where("NOT missing AND NOT excluded").groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, old.count() + 1)], SNAPSHOTS)
-        self._write(snapshots=old.unionByName(row), snapshot_objects=self.read("snapshot_objects").unionByName(manifest(self.nodes, ident, include_payload)))
+        ident = uuid.uuid4().hex
+        counts = {r.kind: r.n for r in nodes.where("NOT missing AND NOT excluded").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, len(self._folders("snapshots")) + 1)], SNAPSHOTS)
+        return ident, [self._put("snapshots", row), self._put("snapshot_objects", manifest(nodes, ident, include_payload), ident)]
+
+    def advance(self, nodes: DataFrame, edges: DataFrame | None, engine: str, engine_version: str | None, fingerprint: str, include_payload: bool = False) -> str:
+        """Replaces nodes, and edges if given, and takes a snapshot of the new nodes: one commit, so all of it or nothing."""
+        records = [self._put("nodes", nodes)]
+        if edges is not None:
+            records.append(self._put("edges", edges))
+        ident, more = self._snapshot(self._read("nodes", [records[0][2]]), engine, engine_version, fingerprint, None, include_payload)
+        self._commit(*records, *more)
         return ident
 
     def last_snapshot(self, oldest: bool = False):
@@ -147,6 +184,12 @@ class GraphStore:
         return self.read("snapshots").orderBy(F.asc("seq") if oldest else F.desc("seq")).first()
 
 
+def without_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges that have no end among ids (id)."""
+    gone = ids.select("id").distinct()
+    return edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+
+
 def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
     order = [F.desc("__new")] + ([F.desc("attrs.constraint_name")] if "attrs" in new.columns else [F.desc(content_hash())])
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))

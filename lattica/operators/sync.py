@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lattica.model import Scope
 from lattica.operators.normalize import normalize
 from lattica.operators.snapshot import delta, diff
-from lattica.operators.store import GraphStore
+from lattica.operators.store import GraphStore, _merged, without_ends
+from lattica.plans.cut import discard, staged
 
 
 @dataclass
@@ -26,22 +27,23 @@ def sync(store: GraphStore, objects: DataFrame, engine: str, fingerprint: str, s
     """Brings the store to the catalog's state and takes a snapshot; does nothing if the fingerprint is the last one's.
 
     Only new and changed nodes are written, gone ones deleted with their edges. Edges are replaced as a whole, so none
-    outlives its reason; keep_stale_edges adds the fresh ones to the old instead, and only if a node changed.
+    outlives its reason; keep_stale_edges adds the fresh ones to the old instead, and only if a node changed. Nodes, edges,
+    snapshot and manifest become visible by one commit, so a sync that dies leaves the store as it was.
     """
     last = store.last_snapshot()
     if last is not None and last.fingerprint == fingerprint and not force:
         return SyncResult(False, snapshot=last.id)
     graph = normalize(objects, engine, scope)
     gone, fresh = delta(store.nodes, graph.nodes, include_payload)
-    upserted = fresh.count()
-    deleted = store.delete(gone)
+    gone, fresh = staged(gone), staged(fresh)
+    upserted, deleted = fresh.count(), gone.count()
+    nodes = _merged(store.nodes.join(gone, "id", "left_anti"), fresh)
+    edges = _merged(graph.edges.limit(0), graph.edges)
     if keep_stale_edges:
-        if upserted:
-            store.upsert(fresh, graph.edges)
-    else:
-        store.upsert(nodes=fresh)
-        store._write(edges=graph.edges.dropDuplicates(["id"]))
-    ident = store.take_snapshot(engine, engine_version, fingerprint, include_payload=include_payload)
+        kept = without_ends(store.edges, gone)
+        edges = _merged(kept, graph.edges) if upserted else kept
+    ident = store.advance(nodes, edges, engine, engine_version, fingerprint, include_payload)
+    discard(gone, fresh)
     counts = {r.kind: r.n for r in store.nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     return SyncResult(True, upserted, deleted, counts, ident)
 

@@ -6,11 +6,12 @@ import json
 import sqlite3
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.model import RAW_OBJECTS, GraphError
+from lattica.plans.numbering import with_row_numbers
 
 Families = dict[str, DataFrame]
 
@@ -147,10 +148,10 @@ def sample(docs: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
 
 
 def with_positions(objects: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
-    """pos in the order of a catalog: kind, schema, name. A catalog has as many rows as a schema has objects."""
+    """pos in the order of a catalog: kind, schema, name, and the source's own order."""
     rank = F.array_position(F.array(*[F.lit(k) for k in ranks]), F.col("kind"))
-    order = Window.orderBy(rank, F.expr("coalesce(schema, '') COLLATE UNICODE"), F.expr("name COLLATE UNICODE"), "__in")
-    return objects.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    order = (rank, F.expr("coalesce(schema, '') COLLATE UNICODE"), F.expr("name COLLATE UNICODE"), "schema", "name", "__in")
+    return with_row_numbers(objects, order, "pos")
 
 
 def write_raw_catalog(objects: DataFrame, engine: str) -> str:

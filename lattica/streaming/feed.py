@@ -19,15 +19,16 @@ def read_feed(spark, folder: str) -> DataFrame:
 
 
 def apply_batch(store: GraphStore, batch: DataFrame) -> tuple[int, int]:
-    """Applies a batch; of several rows of a node the one with the greatest seq counts. Applying it again changes nothing."""
+    """Applies a batch in one commit; of several rows of a node the one with the greatest seq counts.
+
+    A row without an op is an upsert. A change of the payload, as of a column's type, counts. Applying a batch again
+    changes nothing.
+    """
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
     rows = batch.withColumn("__n", last).where("__n = 1").drop("__n", "seq")
-    fresh = rows.where("op <> 'delete'").drop("op")
-    _, changed = delta(store.nodes, fresh)
-    upserted = changed.count()
-    if upserted:
-        store.upsert(changed)
-    return upserted, store.delete(rows.where("op = 'delete'").select("id"))
+    going = F.coalesce("op", F.lit("upsert")) == "delete"
+    _, changed = delta(store.nodes, rows.where(~going).drop("op"), include_payload=True)
+    return store.apply(changed, rows.where(going).select("id"))
 
 
 def start(feed: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
