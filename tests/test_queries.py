@@ -7,6 +7,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -22,7 +23,7 @@ def rows(frame):
     def plain(x):
         if isinstance(x, float):
             return "null" if math.isnan(x) else f"{x:.9g}"
-        return "null" if x is None else str(x)
+        return "null" if x is None or x is pd.NA else str(x)
 
     return sorted(tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
