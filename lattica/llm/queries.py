@@ -113,4 +113,6 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op9_secret_scan": secret_scan.sql(),
+    "op10_sharding": sharding.sql(OLD_SHARDS, SHARDS),
 }

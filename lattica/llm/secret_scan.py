@@ -158,3 +158,49 @@ def with_redacted(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
     between = F.concat(F.filter(stands, lambda x: x["to"] >= x["from"]), F.array(rest))
     new = _let(pieces, lambda t: F.array_join(F.transform(between, lambda x: kept(x, t)), MASK))
     return df.withColumn(name, F.when(some, new).otherwise(F.col(text)))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql(scope: int = SCOPE) -> str:
+    """The rows of find_secrets without `found`, for a table `documents`, in DuckDB's SQL.
+
+    Its patterns can't look behind. So where a pattern must not follow a letter or digit, the whole text is cut into
+    matches, runs of letters and digits, and what stands between; then a match can only begin where such a run does.
+    """
+    parts = []
+    for order, (_, pattern, group, least) in enumerate(PATTERNS):
+        plain = pattern.replace("(?<![A-Za-z0-9])", "").replace("{32,}+", "{32,}")
+        if plain == pattern.replace("{32,}+", "{32,}"):
+            parts.append(f"""SELECT rid, {order} AS kind, start, start + len(m) AS stop, g FROM (
+  SELECT rid, m, g, coalesce(sum(len(m)) OVER before, 0) + sum(len(p)) OVER upto AS start FROM (
+    SELECT rid, unnest(m) AS m, unnest(p[1:len(m)]) AS p, unnest(g) AS g, generate_subscripts(m, 1) AS i FROM (
+      SELECT rid, regexp_extract_all(t, {_quoted(plain)}, 0) AS m, regexp_split_to_array(t, {_quoted(plain)}) AS p, regexp_extract_all(t, {_quoted(plain)}, {group}) AS g FROM d))
+  WINDOW before AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE len(g) >= {least}""")
+        else:
+            cut = f"(?:{plain})|[A-Za-z0-9]+|[^A-Za-z0-9]+"
+            parts.append(f"""SELECT rid, {order}, start, start + len(m), m FROM (
+  SELECT rid, m, sum(len(m)) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) - len(m) AS start FROM (
+    SELECT rid, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM (SELECT rid, regexp_extract_all(t, {_quoted(cut)}, 0) AS m FROM d)))
+  WHERE regexp_full_match(m, {_quoted(plain)}) AND len(regexp_extract(m, {_quoted(plain)}, {group})) >= {least}""")
+    orders = {k: i for i, (k, *_) in enumerate(PATTERNS)}
+    listed = lambda kinds: ", ".join(str(orders[k]) for k in kinds)
+    names = ", ".join(_quoted(k) for k, *_ in PATTERNS)
+    show = f"string_agg([{names}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT rid, kind::INT AS kind, start::BIGINT AS start, stop::BIGINT AS stop FROM spans),
+pairs AS (
+  SELECT a.rid, a.kind AS ak, a.start AS a0, a.stop AS a1, b.kind AS bk, b.start AS b0, b.stop AS b1 FROM s a JOIN s b ON a.rid = b.rid
+  WHERE a.kind IN ({listed(SECRETS)}) AND b.kind IN ({listed(PARTNERS)}) AND a.start - b.stop <= {scope} AND b.start - a.stop <= {scope}
+), whole AS (
+  SELECT * FROM s WHERE kind < {len(BASE)} UNION SELECT rid, ak, a0, a1 FROM pairs WHERE ak >= {len(BASE)} UNION SELECT rid, bk, b0, b1 FROM pairs WHERE bk >= {len(BASE)}
+), base AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(BASE))}, {show} AS text FROM s WHERE kind < {len(BASE)} GROUP BY rid
+), listed AS (SELECT rid, {show} AS text FROM whole GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base.text, '')) AS base_sha256, coalesce(listed.text, '') AS spans
+FROM d LEFT JOIN base USING (rid) LEFT JOIN listed USING (rid)
+"""

@@ -77,7 +77,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
     whole = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("crc"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(keep)])
     own = ["__text", *[f"__x{i}" for i in range(len(keep))]]
-    rows = staged(rows.withColumn("h", F.xxhash64("__id", "crc")).withColumn("nr", F.monotonically_increasing_id()), compression="zstd")
+    spread = F.conv(F.substring(F.md5(F.concat_ws(":", "__id", "crc")), 1, 15), 16, 10).cast("long")
+    rows = staged(rows.withColumn("h", spread).withColumn("nr", F.monotonically_increasing_id()), compression="zstd")
     lines = max(lines, -(-rows.count() // (old_shards * line_rows)))
     rows_of = rows.withColumn("line", F.pmod("h", F.lit(lines)).cast("int"))
     found = rows_of.groupBy("old", "line").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -134,3 +135,33 @@ def _pieces(sums: dict[tuple[int, int, int], int], flow: dict[tuple[int, int], i
                 left[i] = (j, start + n - end)
             start = end
     return out
+
+
+def sql(old_shards: int, shards: int, lines: int = LINES) -> str:
+    """What op10 gives for a table `documents`, in DuckDB's SQL, up to old_shards x lines x LINE_ROWS rows.
+
+    With a cost of 0 or 1 the cheapest flow is known: a shard keeps what it can, and what is over goes, in the order of
+    old shards, to what is missing, in the order of new ones. Checksums are worked out byte by byte.
+    """
+    return f"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END FROM steps WHERE k < 8
+), tab AS (SELECT list(v ORDER BY i) AS lookup FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+strings AS (SELECT rid, 0 AS of, t AS s FROM d UNION ALL SELECT rid, 1, doc_id::VARCHAR FROM d WHERE doc_id IS NOT NULL),
+bytes AS (SELECT rid, of, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::UBIGINT) AS bs FROM strings),
+sums AS (SELECT rid, of, len(bs) AS n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bs), lambda c, x: xor(c >> 8, lookup[(xor(c & 255, x) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc FROM bytes, tab),
+r AS (SELECT d.rid, doc_id, a.n + 16 AS size, a.crc, coalesce(b.crc % {old_shards}, 0) AS old, ('0x' || md5(concat_ws(':', doc_id, a.crc))[1:15])::BIGINT AS h FROM d JOIN sums a ON a.rid = d.rid AND a.of = 0 LEFT JOIN sums b ON b.rid = d.rid AND b.of = 1),
+m AS (SELECT *, h % {lines} AS line, sum(size) OVER (PARTITION BY old ORDER BY h % {lines}, h, doc_id NULLS FIRST, crc, rid ROWS UNBOUNDED PRECEDING) - size // 2 - 1 AS middle FROM r),
+total AS (SELECT coalesce(sum(size), 0) AS n FROM r),
+shard AS (SELECT i, n // {shards} + (i < n % {shards})::INT AS cap, coalesce(own, 0) AS own FROM range({max(old_shards, shards)}) x(i) CROSS JOIN total LEFT JOIN (SELECT old, sum(size) AS own FROM r GROUP BY old) ON old = i),
+kept AS (SELECT i, CASE WHEN i < {shards} THEN cap ELSE 0 END AS cap, own, least(own, CASE WHEN i < {shards} THEN cap ELSE 0 END) AS keep FROM shard),
+line AS (SELECT i, keep, own - keep AS over, cap - keep AS room, sum(own - keep) OVER w AS a1, sum(cap - keep) OVER w AS b1 FROM kept WINDOW w AS (ORDER BY i ROWS UNBOUNDED PRECEDING)),
+flow AS (SELECT x.i, y.i AS j, least(x.a1, y.b1) - greatest(x.a1 - x.over, y.b1 - y.room) AS n FROM line x JOIN line y ON x.over > 0 AND y.room > 0 AND least(x.a1, y.b1) > greatest(x.a1 - x.over, y.b1 - y.room)),
+piece AS (
+  SELECT i, i AS j, 0 AS low, keep AS high FROM kept WHERE keep > 0
+  UNION ALL SELECT i, j, keep + before - n, keep + before FROM (SELECT *, sum(n) OVER (PARTITION BY i ORDER BY j ROWS UNBOUNDED PRECEDING) AS before FROM flow) JOIN kept USING (i)
+)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, j::INT AS shard, row_number() OVER (PARTITION BY j ORDER BY old, line, middle) - 1 AS slot, NULL::INT AS grown_shard, old::INT AS old_shard
+FROM m JOIN piece ON i = old AND low <= middle AND middle < high
+"""
