@@ -66,23 +66,28 @@ def assembled(parts: Sequence[DataFrame]) -> DataFrame:
 def body_dependencies(bodies: DataFrame, candidates: DataFrame, dialect: str, strip_comments: bool = False, with_kind: bool = True) -> DataFrame:
     """(schema, name, dependencies) of bodies (schema, name, kind, body) that mention candidates (schema, name, kind, rank).
 
-    The pair with a body is only looked at if the body has the first word of the candidate's name as a word, which a
-    mention needs; so this is an equi-join on words, not all bodies with all candidates. An object isn't its own
-    candidate. Candidates keep their rank's order.
+    A candidate is only looked at for a body that has the first word of its name as a word, which a mention needs; that is
+    an equi-join of words, which carries no bodies. Each body then meets the list of its own candidates once. An object
+    isn't its own candidate. Candidates keep their rank's order.
     """
     masked = text.mask_strings(F.col("body"))
     masked = text.strip_comments(masked) if strip_comments else masked
     rows = bodies.select(F.col("schema").alias("s"), F.col("name").alias("n"), masked.alias("m"))
-    rows = rows.select("s", "n", F.lower("m").alias("m"), text.write_targets(text.canonical(F.col("m"), dialect)).alias("targets"))
+    rows = rows.select("s", "n", F.xxhash64("m").alias("k"), F.lower("m").alias("m"), text.write_targets(text.canonical(F.col("m"), dialect)).alias("targets"))
     words = F.array_distinct(F.regexp_extract_all("m", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
-    exploded = rows.select("s", "n", "m", "targets", F.explode(words).alias("word"))
     qname = text.canonical(F.concat("schema", F.lit("."), "name"), dialect)
     named = candidates.where("schema <> '' AND name <> ''").withColumn("q", qname).withColumn("word", F.regexp_extract(text.simple_name(F.col("q")), "[A-Za-z0-9_]+", 0))
-    found = exploded.join(named, "word").where(~((F.col("s") == F.col("schema")) & (F.col("n") == F.col("name")))).where(text.mentions(F.col("m"), F.col("q")))
-    target = struct_of(REF, schema=F.col("schema"), name=F.col("name"), **({"kind": F.col("kind")} if with_kind else {}))
-    value = struct_of(DEPENDENCY, target=target, access=text.access(F.col("q"), F.col("targets")), confidence=F.lit("parsed"))
-    lists = found.groupBy("s", "n").agg(ordered_list(["rank", "schema", "name"], value).alias("dependencies"))
-    return lists.select(F.col("s").alias("schema"), F.col("n").alias("name"), "dependencies")
+    met = rows.select("s", "n", "k", F.explode(words).alias("word")).join(named, "word").where(~((F.col("s") == F.col("schema")) & (F.col("n") == F.col("name"))))
+    lists = met.groupBy("s", "n", "k").agg(F.collect_list(F.struct("rank", "schema", "name", "kind", "q")).alias("near"))
+    said = F.filter("near", lambda c: F.contains(F.col("m"), F.lower(text.simple_name(c["q"]))) & text.mentions(F.col("m"), c["q"]))
+
+    def value(c: Column) -> Column:
+        target = struct_of(REF, schema=c["schema"], name=c["name"], **({"kind": c["kind"]} if with_kind else {}))
+        return F.struct(c["rank"].alias("rank"), c["schema"].alias("schema"), c["name"].alias("name"), struct_of(DEPENDENCY, target=target, access=text.access(c["q"], F.col("targets")), confidence=F.lit("parsed")).alias("d"))
+
+    found = rows.join(lists, ["s", "n", "k"]).select("s", "n", F.transform(said, value).alias("found")).where(F.size("found") > 0)
+    whole = found.groupBy("s", "n").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return whole.select(F.col("s").alias("schema"), F.col("n").alias("name"), F.transform("found", lambda x: x["d"]).alias("dependencies"))
 
 
 def enriched(deps: DataFrame, used: DataFrame) -> DataFrame:
