@@ -13,6 +13,8 @@ from lattica.functions.text import local_name
 # Okapi constants, page size, greatest distance and number of suggestions.
 K1, B, LIMIT, DISTANCE, SUGGESTIONS = 1.2, 0.75, 20, 2, 5
 COLUMNS = ("qname", "comment", "body")
+#: Parts of a stored index, by term.
+BUCKETS = 64
 
 #: Latin letters with marks and their bare letters, by decomposition.
 _MARKED = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1]
@@ -36,6 +38,22 @@ def index(rows: DataFrame) -> DataFrame:
     return t.withColumn("len", reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]))
 
 
+def postings(rows: DataFrame) -> DataFrame:
+    """(bucket, term, id, col, positions): where each word stands in each column of text rows."""
+    docs = index(rows)
+    words = reduce(DataFrame.unionByName, [docs.select("id", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in COLUMNS])
+    listed = words.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return listed.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "col", "positions")
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def lengths(rows: DataFrame) -> DataFrame:
+    return index(rows).select("id", "len")
+
+
 def phrases(query: str, prefix: bool = False) -> list[list[str]]:
     """Of each blank-separated term its tokens."""
     bare = dict(_MARKED)
@@ -71,22 +89,64 @@ def search(docs: DataFrame, query: str, limit: int | None = LIMIT, offset: int =
     """
     terms = phrases(query)
     if not terms:
-        return docs.select("id", F.lit(0.0).alias("score"), F.lit("qname").alias("matched"), F.lit(0).cast("long").alias("total")).limit(0)
+        return _nothing(docs)
     tf = docs.select("id", "len", *[occurrences(F.col(c), p, prefix).alias(f"{c}_{i}") for i, p in enumerate(terms) for c in COLUMNS])
+    return _ranked(tf, docs, len(terms), limit, offset, exact_column)
+
+
+def search_stored(index_: DataFrame, sizes: DataFrame, query: str, limit: int | None = LIMIT, offset: int = 0, prefix: bool = False, exact_column: bool = False) -> DataFrame:
+    """What search() gives, from postings() and lengths() that were written before: only the query's words are read.
+
+    A phrase stands where the positions of its words, each less its place in the phrase, meet.
+    """
+    terms = phrases(query)
+    if not terms:
+        return _nothing(sizes)
+    words = sorted({w for p in terms for w in p})
+    wanted = F.col("term").isin(words)
+    if prefix:
+        wanted = reduce(lambda a, b: a | b, [F.col("term").startswith(p[-1]) for p in terms], wanted)
+    else:
+        places = index_.sparkSession.createDataFrame([(w,) for w in words], "term STRING").select(bucket_of(F.col("term"))).distinct().collect()
+        wanted = F.col("bucket").isin([r[0] for r in places]) & wanted
+    found = index_.where(wanted)
+    none = F.array().cast("array<int>")
+
+    def positions(word: str, column: str, last: bool) -> Column:
+        fits = F.col("term").startswith(word) if prefix and last else F.col("term") == word
+        return F.flatten(F.collect_list(F.when(fits & (F.col("col") == column), F.col("positions"))))
+
+    def count(i: int, p: list[str], c: str) -> Column:
+        back = lambda k: lambda x: x - k
+        shifted = [F.transform(F.coalesce(f"w_{c}_{i}_{k}", none), back(k)) for k in range(len(p))]
+        return F.size(reduce(F.array_intersect, shifted)) if len(p) > 1 else F.size(F.coalesce(f"w_{c}_{i}_0", none))
+
+    each = [(i, p, c) for i, p in enumerate(terms) for c in COLUMNS]
+    whole = found.groupBy("id").agg(*[positions(w, c, k == len(p) - 1).alias(f"w_{c}_{i}_{k}") for i, p, c in each for k, w in enumerate(p)])
+    tf = whole.select("id", *[count(i, p, c).alias(f"{c}_{i}") for i, p, c in each]).join(sizes, "id")
+    return _ranked(tf, sizes, len(terms), limit, offset, exact_column)
+
+
+def _nothing(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.lit(0.0).alias("score"), F.lit("qname").alias("matched"), F.lit(0).cast("long").alias("total")).limit(0)
+
+
+def _ranked(tf: DataFrame, docs: DataFrame, terms: int, limit: int | None, offset: int, exact_column: bool) -> DataFrame:
+    """The page of tf (id, len, and of each column and term how often it stands there); docs (id, len) are all there are."""
     whole = lambda i: reduce(lambda a, b: a + b, [F.col(f"{c}_{i}") for c in COLUMNS])
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(whole(i) > 0).alias(f"df{i}") for i in range(len(terms))])
-    tf = tf.crossJoin(F.broadcast(stats))  # stats is one row
+    counts = tf.agg(*[F.count_if(whole(i) > 0).alias(f"df{i}") for i in range(terms)])
+    tf = tf.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))).crossJoin(F.broadcast(counts))  # one row each
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         f = whole(i).cast("double")
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg"))))
-    any_hit = reduce(lambda a, b: a | b, [whole(i) > 0 for i in range(len(terms))])
+    any_hit = reduce(lambda a, b: a | b, [whole(i) > 0 for i in range(terms)])
 
     def told(c: str) -> Column:
         first = F.col(f"{c}_0") > 0
-        rest = [(F.col(f"{c}_{i}") if exact_column else whole(i)) > 0 for i in range(1, len(terms))]
+        rest = [(F.col(f"{c}_{i}") if exact_column else whole(i)) > 0 for i in range(1, terms)]
         return reduce(lambda a, b: a | b, [first, *rest])
 
     matched = F.when(told("body"), F.lit("body")).when(told("comment"), F.lit("comment")).otherwise(F.lit("qname"))

@@ -2,7 +2,8 @@
 
 A write puts tables into folders of their own, and all of them become visible by one small commit record written last;
 readers take the newest committed version, so a job that dies in between leaves the old one. Snapshots and their manifests
-are added to, never rewritten: a commit adds a folder, and all are read. Nodes and edges are partitioned by kind.
+are added to, never rewritten: a commit adds a folder, and all are read. Nodes and edges are partitioned by kind. The
+words of all texts are kept by term with the nodes, changed by the same commit, so a search reads its own words alone.
 Everything goes through Spark's readers and writers, so any file system that Spark reads will do.
 """
 
@@ -16,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
-from lattica.operators.search import text_rows
+from lattica.operators.search import lengths, postings, search_stored, text_rows
 from lattica.operators.snapshot import content_hash, manifest
 from lattica.plans.cut import discard, staged
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 _COMMITS = "table STRING, version LONG, folder STRING, schema_version INT"
 _META = "key STRING, value STRING"
-_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META}
-_BY_KIND = ("nodes", "edges")
+_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT"}
+_PARTS = {"nodes": "kind", "edges": "kind", "postings": "bucket"}
 _ADDED_TO = ("snapshots", "snapshot_objects")
 
 
@@ -35,6 +36,15 @@ class GraphStore:
         newest = max((r.schema_version for r in self._commits()), default=0)
         if newest > SCHEMA_VERSION:
             raise GraphError(f"the store has schema version {newest}; this library knows {SCHEMA_VERSION}")
+        if 0 < newest < SCHEMA_VERSION:
+            self._migrate(newest)
+
+    def _migrate(self, version: int) -> None:
+        """Brings a store of an older version to this one, in one commit."""
+        records = []
+        if version < 3:  # no index of words was kept
+            records += self._words(self.nodes, None)
+        self._commit(*records)
 
     def refresh(self) -> None:
         """Sees what others have committed since."""
@@ -73,7 +83,7 @@ class GraphStore:
         version, folder = max((r.version for r in self._commits() if r.table == table), default=0) + 1, folder or uuid.uuid4().hex
         names = [f.name for f in self.spark.createDataFrame([], _SCHEMAS[table]).schema]
         writer = df.select(names).write
-        (writer.partitionBy("kind") if table in _BY_KIND else writer).parquet(f"{self.path}/{table}/{folder}")
+        (writer.partitionBy(_PARTS[table]) if table in _PARTS else writer).parquet(f"{self.path}/{table}/{folder}")
         return table, version, folder, SCHEMA_VERSION
 
     def _commit(self, *records: tuple[str, int, str, int]) -> None:
@@ -111,33 +121,48 @@ class GraphStore:
     def text(self) -> DataFrame:
         return text_rows(self.nodes)
 
+    def _words(self, fresh: DataFrame, gone: DataFrame | None) -> list[tuple]:
+        """Records of the index of words with nodes put in or replaced, and ids (id) taken out; without gone it is made anew."""
+        rows = text_rows(fresh)
+        words, sizes = postings(rows), lengths(rows)
+        if gone is not None:
+            out = fresh.select("id").union(gone.select("id")).distinct()
+            words, sizes = (self.read(t).join(out, "id", "left_anti").unionByName(new) for t, new in (("postings", words), ("lengths", sizes)))
+        return [self._put("postings", words), self._put("lengths", sizes)]
+
+    def search(self, query: str, **options) -> DataFrame:
+        """The page of text_search.search(), from the words that are kept."""
+        return search_stored(self.read("postings"), self.read("lengths"), query, **options)
+
     def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """Rows replace those of the same id; of several in one call one is taken, of edges the last by constraint name."""
-        out = {}
+        records = []
         if nodes is not None:
-            out["nodes"] = _merged(self.nodes, nodes)
+            fresh = staged(_merged(nodes.limit(0), nodes))
+            records += [self._put("nodes", _merged(self.nodes, fresh)), *self._words(fresh, fresh.limit(0))]
+            discard(fresh)
         if edges is not None:
-            out["edges"] = _merged(self.edges, edges)
-        self._write(**out)
+            records.append(self._put("edges", _merged(self.edges, edges)))
+        self._commit(*records)
 
     def replace(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self._write(nodes=_merged(nodes.limit(0), nodes), edges=_merged(edges.limit(0), edges))
+        record = self._put("nodes", _merged(nodes.limit(0), nodes))
+        self._commit(record, self._put("edges", _merged(edges.limit(0), edges)), *self._words(self._read("nodes", [record[2]]), None))
 
     def delete(self, ids: DataFrame) -> int:
         """Nodes of ids (id) go, and all edges at them; returns how many nodes went."""
-        n = self.nodes.join(ids, "id", "left_semi").count()
-        if n:
-            self._write(nodes=self.nodes.join(ids.select("id").distinct(), "id", "left_anti"), edges=without_ends(self.edges, ids))
-        return n
+        return self.apply(self.nodes.limit(0), ids)[1]
 
     def apply(self, fresh: DataFrame, gone: DataFrame) -> tuple[int, int]:
         """Upserts nodes and deletes those of ids (id) with their edges, in one commit; returns how many of each."""
-        fresh = staged(fresh)
+        fresh, gone = staged(fresh), staged(gone.select("id").distinct())
         upserted, deleted = fresh.count(), self.nodes.join(gone, "id", "left_semi").count()
         if upserted or deleted:
-            kept = self.nodes.join(gone.select("id").distinct(), "id", "left_anti")
-            self._write(nodes=_merged(kept, fresh), **({"edges": without_ends(self.edges, gone)} if deleted else {}))
-        discard(fresh)
+            records = [self._put("nodes", _merged(self.nodes.join(gone, "id", "left_anti"), fresh)), *self._words(fresh, gone)]
+            if deleted:
+                records.append(self._put("edges", without_ends(self.edges, gone)))
+            self._commit(*records)
+        discard(fresh, gone)
         return upserted, deleted
 
     def meta(self, key: str) -> str | None:
@@ -170,11 +195,9 @@ class GraphStore:
         row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, len(self._folders("snapshots")) + 1)], SNAPSHOTS)
         return ident, [self._put("snapshots", row), self._put("snapshot_objects", manifest(nodes, ident, include_payload), ident)]
 
-    def advance(self, nodes: DataFrame, edges: DataFrame | None, engine: str, engine_version: str | None, fingerprint: str, include_payload: bool = False) -> str:
-        """Replaces nodes, and edges if given, and takes a snapshot of the new nodes: one commit, so all of it or nothing."""
-        records = [self._put("nodes", nodes)]
-        if edges is not None:
-            records.append(self._put("edges", edges))
+    def advance(self, fresh: DataFrame, gone: DataFrame, edges: DataFrame, engine: str, engine_version: str | None, fingerprint: str, include_payload: bool = False) -> str:
+        """Upserts nodes, deletes those of ids (id), replaces edges, and takes a snapshot: one commit, so all of it or nothing."""
+        records = [self._put("nodes", _merged(self.nodes.join(gone, "id", "left_anti"), fresh)), self._put("edges", edges), *self._words(fresh, gone)]
         ident, more = self._snapshot(self._read("nodes", [records[0][2]]), engine, engine_version, fingerprint, None, include_payload)
         self._commit(*records, *more)
         return ident

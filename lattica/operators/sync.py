@@ -37,12 +37,11 @@ def sync(store: GraphStore, objects: DataFrame, engine: str, fingerprint: str, s
     gone, fresh = delta(store.nodes, graph.nodes, include_payload)
     gone, fresh = staged(gone), staged(fresh)
     upserted, deleted = fresh.count(), gone.count()
-    nodes = _merged(store.nodes.join(gone, "id", "left_anti"), fresh)
     edges = _merged(graph.edges.limit(0), graph.edges)
     if keep_stale_edges:
         kept = without_ends(store.edges, gone)
         edges = _merged(kept, graph.edges) if upserted else kept
-    ident = store.advance(nodes, edges, engine, engine_version, fingerprint, include_payload)
+    ident = store.advance(fresh, gone, edges, engine, engine_version, fingerprint, include_payload)
     discard(gone, fresh)
     counts = {r.kind: r.n for r in store.nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     return SyncResult(True, upserted, deleted, counts, ident)

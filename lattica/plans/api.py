@@ -143,7 +143,7 @@ class GraphApi:
         return {"matched": [r.asDict() for r in p.matched.collect()], "affected": [r.asDict() for r in p.affected.collect()], "whatToTest": [r.qname for r in p.what_to_test.collect()], "unmatched": [r.name for r in p.unmatched.collect()]}
 
     def _search_data(self, query: str) -> dict[str, Any]:
-        hits = text_search.search(text_search.index(self.store.text()), query)
+        hits = self.store.search(query)
         rows = hits.join(self.store.nodes.select("id", "kind", "qname"), "id").orderBy(F.desc("score"), "id").collect()
         return {"term": query, "total": rows[0].total if rows else 0, "hits": [{"qname": r.qname, "kind": r.kind, "score": r.score, "matched": r.matched} for r in rows]}
 
@@ -209,7 +209,7 @@ class GraphApi:
         return present.precheck(rows(p.matched), rows(p.affected), [r.qname for r in p.what_to_test.collect()], [r.name for r in p.unmatched.collect()], detail)
 
     def search(self, query: str, limit: int = text_search.LIMIT, offset: int = 0, detail: str = "normal", prefix: bool = False) -> str:
-        hits = text_search.search(text_search.index(self.store.text()), query, limit, offset, prefix)
+        hits = self.store.search(query, limit=limit, offset=offset, prefix=prefix)
         rows = hits.join(self.store.nodes.select("id", "kind", "qname"), "id").orderBy(F.desc("score"), "id").collect()
         if rows:
             return present.search([r.asDict() for r in rows], rows[0].total, offset, detail)

@@ -288,20 +288,41 @@ def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'newer' AS store, 'refused' AS outcome UNION ALL SELECT 'same', 'opened' UNION ALL SELECT 'none yet', 'opened'""")
+SELECT 'newer' AS store, 'refused' AS outcome, 0::BIGINT AS words UNION ALL SELECT 'same', 'opened', 0 UNION ALL SELECT 'none yet', 'opened', 0
+UNION ALL SELECT 'older', 'opened', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)""")
 def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store that a newer library wrote isn't opened."""
+    """A store that a newer library wrote isn't opened; an older one, without an index of words, gets it."""
     out = []
-    for name, version in (("newer", SCHEMA_VERSION + 1), ("same", SCHEMA_VERSION), ("none yet", None)):
-        store = new_store(spark)
-        if version is not None:
+    for name, version in (("newer", SCHEMA_VERSION + 1), ("same", SCHEMA_VERSION), ("none yet", None), ("older", 2)):
+        store, words = new_store(spark), 0
+        if name == "older":
+            store._commit((*store._put("nodes", place_graph(spark, sf_dir)[0].where("kind = 'table'"))[:3], version))
+        elif version is not None:
             store._commit(("meta", 1, "x", version))
         try:
-            GraphStore(spark, store.path)
-            out.append((name, "opened"))
+            opened = GraphStore(spark, store.path)
+            words = opened.read("lengths").count() if name == "older" else 0
+            out.append((name, "opened", words))
         except GraphError:
-            out.append((name, "refused"))
-    return spark.createDataFrame(out, "store STRING, outcome STRING")
+            out.append((name, "refused", words))
+    return spark.createDataFrame(out, "store STRING, outcome STRING, words LONG")
+
+
+@query("""
+SELECT 'whole words' AS query, count(*)::BIGINT AS hits, 0::BIGINT AS unlike FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'F'
+UNION ALL SELECT 'phrase', count(*), 0 FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' UNION ALL SELECT 'beginnings', count(*), 0 FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') UNION ALL SELECT 'nothing', 0, 0""")
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of the kept words, after changes: how many hits, and how many differ from a search of all texts."""
+    store, o = new_store(spark), table(spark, sf_dir, "orders")
+    nodes = node_rows(o, "procedure", named("orders", "o_orderkey"), body=F.concat_ws(" ", F.lit("Order of"), "o_orderpriority"), comment=F.when(F.col("o_orderstatus") == "F", "finished"))
+    stale = nodes.withColumn("payload", F.col("payload").withField("body", F.lit("urgent urgent stale")))
+    store.upsert(stale.where("payload.comment IS NULL").unionByName(node_rows(spark.range(1), "procedure", F.lit("gone.1"), body=F.lit("urgent"))))
+    store.apply(nodes, spark.range(1).select(node_id(F.lit("procedure"), F.lit("gone.1")).alias("id")))
+    docs, out = staged(text_search.index(store.text())), []
+    for name, query_, prefix in (("whole words", "urgent finished", False), ("phrase", "not-specified", False), ("beginnings", "urg lo", True), ("nothing", "stale", False)):
+        own, plain = (r.select("id", F.round("score", 9).alias("score"), "matched", "total") for r in (store.search(query_, limit=None, prefix=prefix), text_search.search(docs, query_, limit=None, prefix=prefix)))
+        out.append((name, own.count(), own.exceptAll(plain).count() + plain.exceptAll(own).count()))
+    return spark.createDataFrame(out, "query STRING, hits LONG, unlike LONG")
 
 
 def view_objects(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
