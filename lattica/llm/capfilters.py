@@ -302,6 +302,9 @@ def near_embeddings(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
     own = staged(nodes.select("rep", "x", "y", "id", "n").join(links, "rep", "left").join(linked, "rep", "left"))
     lowest = own.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("lowest"))
     own = own.join(lowest, "component", "left").select("x", "y", F.coalesce("lowest", "id").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
-    out = whole.join(own, ["x", "y"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.coalesce("c", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    linked = whole.where("ok").join(own, ["x", "y"]).select("id", "n_links", F.col("c").alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))
+    # Rows that take no part stay out of the join, where they would all have one key.
+    alone = whole.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    out = linked.unionByName(alone).withColumnRenamed("id", id_col)
     discard(coded, alive, found)
     return out

@@ -343,10 +343,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     lowest = linked.groupBy("component").agg(F.min("at").alias("best"))
     of = linked.select(F.col("node").alias("rep"), "component").join(lowest, "component").select("rep", "best")
     labels = first.select("x", "y", "rep", "at").join(of, "rep", "left").select("x", "y", F.coalesce("best", "at").alias("best"))
-    out = signed.select("id", "key", "n_words", "x", "y").join(labels, ["x", "y"], "left")
-    some = F.col("n_words") > 0
-    best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
-    return out.select("id", "key", "n_words", F.when(some, F.col("best.id")).otherwise(F.col("id")).alias("class_id"), F.when(some, best).otherwise(True).alias("best"))
+    worded = signed.where("n_words > 0").select("id", "key", "n_words", "x", "y").join(labels, ["x", "y"])
+    own = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    worded = worded.select("id", "key", "n_words", F.col("best.id").alias("class_id"), own.alias("best"))
+    # Rows without words take no part in the join, where they would all have one key.
+    return worded.unionByName(signed.where("n_words = 0").select("id", "key", "n_words", F.col("id").alias("class_id"), F.lit(True).alias("best")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
