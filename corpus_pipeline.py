@@ -91,7 +91,8 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Learned models decide in two stages, so SQL can't express the rows; a test compares them with a plain version.
+#: Learned models decide in two stages, so SQL can't express the rows. A test works out which rows come out, and their
+#: texts; each stage's operator has its own test against a plain version.
 ORACLE_SQL = None
 
 
