@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bytebpe, capfilters, langid, licenses, minhash, mixing, secret_scan, sharding, tokencount, topk
+from lattica.llm import bytebpe, capfilters, langid, licenses, minhash, mixing, quality, resampling, secret_scan, sharding, tokencount, topk, vectorcodes
 from lattica.llm.common import table
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -78,8 +78,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "n_words")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).drop("failed")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_token_counts, op4_mixing, op5_license_scan, op6_byte_bpe, op7_language_id, op8_topk, op9_secret_scan, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_embedding_dedup, op3_token_counts, op4_mixing, op5_license_scan, op6_byte_bpe, op7_language_id, op8_topk, op9_secret_scan, op10_sharding,
+        op11_importance_resampling, op12_quality_rules, op13_vector_codes,
+    )
 }
 
 ORACLE_SQL = {
@@ -115,4 +131,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op9_secret_scan": secret_scan.sql(),
     "op10_sharding": sharding.sql(OLD_SHARDS, SHARDS),
+    "op11_importance_resampling": resampling.sql(),
+    "op12_quality_rules": quality.sql(),
+    "op13_vector_codes": vectorcodes.sql(),
 }

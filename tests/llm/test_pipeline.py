@@ -11,7 +11,7 @@ from tests.llm.helpers import prose
 
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_dedup", "secret_scan", "mixing", "byte_bpe"]
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
