@@ -27,6 +27,11 @@ def edge_id(kind: Column, src: Column, dst: Column, discriminator: Column | None
     return F.sha1(F.concat(kind, F.lit(" "), src, F.lit(" "), dst, F.lit(" "), F.lit("") if discriminator is None else F.coalesce(discriminator, F.lit(""))))
 
 
+def stable_text(text: Column) -> Column:
+    """The JSON document in text, compact and with sorted keys at every depth; null where there is none. What follows it is ignored."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def stable_json(value: Any) -> str:
     """Compact JSON with sorted keys at every depth; lists keep their order."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

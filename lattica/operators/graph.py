@@ -180,6 +180,89 @@ def join_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, allow_in
     return Path(False, [], *near)
 
 
+@dataclass
+class Paths:
+    """hops (start, end, hop, a, b) of each pair that a path joins; apart (start, end) of the others."""
+
+    hops: DataFrame
+    apart: DataFrame
+
+    def columns(self, edges: DataFrame, allow_inferred: bool = False) -> DataFrame:
+        """(start, end, hop, a, b, columns): the hops with their column pairs, sorted; inferred ones where none is declared."""
+        steps = self.hops.select("a", "b").distinct().withColumn("hop", F.struct("a", "b"))
+        links = edges.where("kind = 'references' AND attrs.src_column IS NOT NULL").select("src", "dst", "attrs.src_column", "attrs.dst_column", F.lit(0).alias("guess"))
+        if allow_inferred:
+            links = links.unionByName(inferred_links(edges).withColumn("guess", F.lit(1)))
+        found = hop_columns(links, steps, "guess").groupBy("hop").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("columns"))
+        found = found.select(F.col("hop.a").alias("a"), F.col("hop.b").alias("b"), "columns")
+        return self.hops.join(found, ["a", "b"], "left").select("start", "end", "hop", "a", "b", "columns")
+
+
+def join_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, allow_inferred: bool = False) -> Paths:
+    """The shortest join path of each of many pairs (start, end), the one that join_path() gives.
+
+    Searches go breadth first from all starts and from all ends at once, a level in turn, so each goes half of the way, and
+    pairs that share an end share its search; ends whose pairs are all settled stop. Where the two searches of a pair meet,
+    nodes of its shortest paths are marked back to the end; the path then goes from the end to the marked node first by
+    (qname, id), and behind the meeting point to the first discoverer, as one search from the start would. Levels are
+    staged, frontiers stay distributed; a yes or no a level reaches the driver. Equal ends have no hops, null ones are left out.
+    """
+    name = F.struct(F.expr("name COLLATE UNICODE"), F.col("node"))
+    names = nodes.select(F.col("id").alias("node"), F.col("qname").alias("name"))
+    steps = staged(join_steps(edges, allow_inferred).join(names.select(F.col("node").alias("b"), F.col("name").alias("b_name")), "b").join(names.select(F.col("node").alias("a"), F.col("name").alias("a_name")), "a"))
+    given = staged(pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct())
+    open_ = staged(given.where("start <> end"))
+    level0 = lambda key: staged(open_.select(F.col(key).alias("root")).distinct().join(names, F.col("root") == F.col("node")).select("root", "node", "name", F.lit(None).cast("string").alias("before")))
+    ahead, back = [level0("start")], [level0("end")]
+    hops = []
+    while True:
+        side, key = (ahead, "start") if len(ahead) <= len(back) else (back, "end")
+        wanted = open_.select(F.col(key).alias("root")).distinct()
+        step = side[-1].join(wanted, "root", "left_semi").join(steps, F.col("node") == F.col("a")).select("root", "a", "a_name", F.col("b").alias("node"), F.col("b_name").alias("name"))
+        # Neighbours of a level are in the one before it, in itself or new.
+        for seen in side[-2:]:
+            step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        side.append(staged(step.groupBy("root", "node", "name").agg(F.min_by("a", F.struct(F.expr("a_name COLLATE UNICODE"), "a")).alias("before"))))
+        met = open_.join(ahead[-1].select(F.col("root").alias("start"), "node", "name"), "start").join(back[-1].select(F.col("root").alias("end"), "node"), ["end", "node"])
+        met = staged(met.select("start", "end", "node", "name"))
+        if not met.isEmpty():
+            hops.append(_walked(met, steps, ahead, back, name))
+            open_ = staged(open_.join(met.select("start", "end").distinct(), ["start", "end"], "left_anti"))
+        if side[-1].isEmpty() or open_.isEmpty():
+            break
+    out = hops[0] if hops else given.select("start", "end", F.lit(0).alias("hop"), F.col("start").alias("a"), F.col("end").alias("b")).limit(0)
+    for more in hops[1:]:
+        out = out.unionByName(more)
+    return Paths(out, open_)
+
+
+def _walked(met: DataFrame, steps: DataFrame, ahead: list[DataFrame], back: list[DataFrame], name: Column) -> DataFrame:
+    """(start, end, hop, a, b) of pairs whose searches meet in met (start, end, node, name), the last levels of both."""
+    links = steps.select(F.col("a").alias("from"), F.col("b").alias("node"))
+    marked = [met]
+    for level in back[-2:0:-1]:  # towards the end, without it
+        near = marked[-1].select("start", "end", F.col("node").alias("from")).join(links, "from").select("start", "end", "node").distinct()
+        marked.append(staged(near.join(level.select(F.col("root").alias("end"), "node", "name"), ["end", "node"])))
+    n, hops = len(ahead) + len(back) - 2, []
+    at = met.select("start", "end", F.col("end").alias("at")).distinct()
+
+    def hop(rows: DataFrame) -> DataFrame:
+        nonlocal at
+        hops.append(rows.select("start", "end", F.lit(n - len(hops) - 1).alias("hop"), F.col("node").alias("a"), F.col("at").alias("b")))
+        return staged(rows.select("start", "end", F.col("node").alias("at")))
+
+    if len(back) > 1:
+        for level in reversed(marked):
+            step = at.join(steps.select(F.col("b").alias("at"), F.col("a").alias("node")), "at").join(level, ["start", "end", "node"])
+            at = hop(staged(step.groupBy("start", "end", "at").agg(F.min_by("node", name).alias("node"))))
+    for level in ahead[:0:-1]:
+        at = hop(at.join(level.select(F.col("root").alias("start"), F.col("node").alias("at"), F.col("before").alias("node")), ["start", "at"]))
+    out = hops[0]
+    for more in hops[1:]:
+        out = out.unionByName(more)
+    return staged(out)
+
+
 def _one_hop(edges: DataFrame, node: str) -> list[str]:
     rows = edges.where("kind = 'references'").where((F.col("src") == node) | (F.col("dst") == node))
     other = rows.select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("id"))
@@ -206,10 +289,13 @@ def _hops(edges: DataFrame, levels: list[DataFrame], end: str, allow_inferred: b
     return Path(True, [(a, b, sorted(known.get(i, []))) for i, (a, b) in enumerate(pairs)], [], [], inferred=bool(guessed))
 
 
-def hop_columns(links: DataFrame, hops: DataFrame) -> DataFrame:
-    """(hop, from, to) for hops (hop, a, b): the column pairs of all links (src, dst, src_column, dst_column) from a to b, else those back, swapped."""
-    there = hops.join(links, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).select("hop", F.lit(0).alias("back"), F.col("src_column").alias("from"), F.col("dst_column").alias("to"))
-    back = hops.join(links, (F.col("b") == F.col("src")) & (F.col("a") == F.col("dst"))).select("hop", F.lit(1).alias("back"), F.col("dst_column").alias("from"), F.col("src_column").alias("to"))
+def hop_columns(links: DataFrame, hops: DataFrame, *first: str) -> DataFrame:
+    """(hop, from, to) for hops (hop, a, b): the column pairs of all links (src, dst, src_column, dst_column) from a to b, else those back, swapped.
+
+    first: columns of links whose smallest values alone count, before the direction.
+    """
+    there = hops.join(links, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).select("hop", F.struct(*first, F.lit(0).alias("back")).alias("back"), F.col("src_column").alias("from"), F.col("dst_column").alias("to"))
+    back = hops.join(links, (F.col("b") == F.col("src")) & (F.col("a") == F.col("dst"))).select("hop", F.struct(*first, F.lit(1).alias("back")).alias("back"), F.col("dst_column").alias("from"), F.col("src_column").alias("to"))
     both = there.unionByName(back)
     use = F.min("back").over(Window.partitionBy("hop"))
     return both.withColumn("use", use).where("back = use").select("hop", "from", "to").distinct()

@@ -1,16 +1,25 @@
-"""A versioned store of the graph on Parquet.
-
-A write puts tables into folders of their own, and all of them become visible by one small commit record written last;
-readers take the newest committed version, so a job that dies in between leaves the old one. Snapshots and their manifests
-are added to, never rewritten: a commit adds a folder, and all are read. Nodes and edges are partitioned by kind. The
-words of all texts are kept by term with the nodes, changed by the same commit, so a search reads its own words alone.
-Everything goes through Spark's readers and writers, so any file system that Spark reads will do.
+"""A store of the graph on Parquet: a log of commits, with changes merged on read.
+
+A commit is a small numbered file that names folders of rows. A change of k rows writes those rows and the keys that they
+replace or delete, and nothing else; a table is its base and the changes since, where a row counts unless a later change
+touches its key. Two writers can't take one number: the later one looks at what the earlier one touched and goes on with
+the next number if that has nothing to do with its own change, else it fails and leaves no trace. From time to time the
+newest changes are put together, and with the base where they have grown beyond a part of it, so that a read meets few of
+them and what is written stays in proportion to what changes.
+
+Snapshots and their manifests are added to. Nodes and edges are partitioned by kind. The words of all texts are kept by term
+and changed by the commit that changes their nodes, so a search reads its own words alone. A job that dies before its
+commit leaves folders that no commit names; vacuum() removes those.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,80 +29,176 @@ from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
 from lattica.operators.search import lengths, postings, search_stored, text_rows
 from lattica.operators.snapshot import content_hash, manifest
 from lattica.plans.cut import discard, staged
+from lattica.plans.log import CommitLog, Folder
 
-SCHEMA_VERSION = 3
-_COMMITS = "table STRING, version LONG, folder STRING, schema_version INT"
+SCHEMA_VERSION = 4
 _META = "key STRING, value STRING"
 _SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT"}
 _PARTS = {"nodes": "kind", "edges": "kind", "postings": "bucket"}
 _ADDED_TO = ("snapshots", "snapshot_objects")
+#: By table, its key and the scope of keys that commits tell as touched.
+_KEYS = {"nodes": ("id", "nodes"), "edges": ("id", "edges"), "postings": ("id", "nodes"), "lengths": ("id", "nodes"), "meta": ("key", "meta")}
+#: Keys by scope. ends are nodes that edges were put at, gone those that were deleted with their edges.
+_TOUCHED = "scope STRING, key STRING"
+#: Scopes that mustn't meet in two changes of which neither saw the other.
+_CLASHES = (("nodes", "nodes"), ("edges", "edges"), ("meta", "meta"), ("ends", "gone"), ("gone", "ends"))
+#: Changes of a table that a read meets at most. The newest are put together with older ones up to GROWTH times their size.
+MOST_CHANGES, GROWTH = 16, 4
+
+
+class ConflictError(GraphError):
+    """Another writer changed what this change rests on; nothing was committed."""
+
+
+class Segment(NamedTuple):
+    """Rows of a table as of a version, and the keys that they replace in what is older."""
+
+    upto: int
+    folder: str | None
+    touched: tuple[str, ...]
+    size: int
+    base: bool
 
 
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._folder = Folder(spark, self.path)
+        self._log = CommitLog(self._folder)
+        self._commits: list[dict] = []
         self.refresh()
-        newest = max((r.schema_version for r in self._commits()), default=0)
+        if not self._commits:
+            self._migrate()
+        newest = max((c["schema"] for c in self._commits), default=0)
         if newest > SCHEMA_VERSION:
             raise GraphError(f"the store has schema version {newest}; this library knows {SCHEMA_VERSION}")
-        if 0 < newest < SCHEMA_VERSION:
-            self._migrate(newest)
-
-    def _migrate(self, version: int) -> None:
-        """Brings a store of an older version to this one, in one commit."""
-        records = []
-        if version < 3:  # no index of words was kept
-            records += self._words(self.nodes, None)
-        self._commit(*records)
-
-    def refresh(self) -> None:
-        """Sees what others have committed since."""
-        self._known: list | None = None
 
-    def _commits(self) -> list:
-        """Commit records: as many as writes, a few bytes each. They are read once, and again after a write."""
-        if self._known is None:
-            self._known = self._read_commits()
-        return self._known
+    # The log
 
-    def _read_commits(self) -> list:
+    def _migrate(self) -> None:
+        """Brings a store of before the log, if there is one, into it by one commit; no rows are written anew."""
         try:
-            return self.spark.read.schema(_COMMITS).parquet(f"{self.path}/_commits").collect()
+            old = self.spark.read.schema("table STRING, version LONG, folder STRING, schema_version INT").parquet(f"{self.path}/_commits").collect()
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # only a store that nothing was written to yet has no commits
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
+            return
+        newest = max(r.schema_version for r in old)
+        if newest >= SCHEMA_VERSION:
+            raise GraphError(f"the store has schema version {newest}, without a log")
+        folders: dict[str, list[str]] = {}
+        for r in sorted(old, key=lambda r: r.version):
+            folders[r.table] = [*(folders.get(r.table, []) if r.table in _ADDED_TO else []), r.folder]
+        base = {t: (x[-1], self._folder.size(f"{t}/{x[-1]}")) for t, x in folders.items() if t not in _ADDED_TO}
+        if newest < 3 and "nodes" in base:  # no index of words was kept
+            rows = text_rows(self._rows("nodes", base["nodes"][0]))
+            base |= {"postings": self._put("postings", postings(rows)), "lengths": self._put("lengths", lengths(rows))}
+        self._commit(base=base, add={t: folders[t] for t in _ADDED_TO if t in folders}, whole=True)
 
-    def _folders(self, table: str) -> list[str]:
-        """The folders that hold the table: the newest, or all of one that is added to."""
-        found = sorted((r.version, r.folder) for r in self._commits() if r.table == table)
-        return [folder for _, folder in (found if table in _ADDED_TO else found[-1:])]
-
-    def read(self, table: str) -> DataFrame:
-        return self._read(table, self._folders(table))
+    def refresh(self) -> None:
+        """Sees what others have committed since."""
+        self._commits += self._log.after(self.version)
 
-    def _read(self, table: str, folders: list[str]) -> DataFrame:
-        empty = self.spark.createDataFrame([], _SCHEMAS[table])
-        if not folders:
-            return empty
-        return self.spark.read.schema(_SCHEMAS[table]).parquet(*[f"{self.path}/{table}/{x}" for x in folders]).select([f.name for f in empty.schema])
-
-    def _put(self, table: str, df: DataFrame, folder: str | None = None) -> tuple[str, int, str, int]:
-        """Writes rows into a new folder that no reader sees yet, and returns the record that a commit takes."""
-        version, folder = max((r.version for r in self._commits() if r.table == table), default=0) + 1, folder or uuid.uuid4().hex
-        names = [f.name for f in self.spark.createDataFrame([], _SCHEMAS[table]).schema]
-        writer = df.select(names).write
-        (writer.partitionBy(_PARTS[table]) if table in _PARTS else writer).parquet(f"{self.path}/{table}/{folder}")
-        return table, version, folder, SCHEMA_VERSION
-
-    def _commit(self, *records: tuple[str, int, str, int]) -> None:
-        """All that the records name becomes visible at once."""
-        self.spark.createDataFrame(list(records), _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
+    @property
+    def version(self) -> int:
+        return self._commits[-1]["version"] if self._commits else 0
+
+    def _segments(self, table: str, version: int | None = None) -> list[Segment]:
+        """The table's base, if it has one, and the changes since, oldest first."""
+        out: list[Segment] = []
+        for c in self._commits:
+            if version is not None and c["version"] > version:
+                break
+            if table in c["base"]:
+                out = [Segment(c["version"], *self._of(c["base"][table]), True)]
+            elif table in c["delta"] or _KEYS[table][1] in c["scopes"]:
+                folder, touched, size = self._of(c["delta"].get(table))
+                out.append(Segment(c["version"], folder, (c["touched"],), size, not out))
+            elif (made := c["merged"].get(table)) and {*made["replaces"]} <= {s.upto for s in out}:
+                first = out[0].base and out[0].upto in made["replaces"]
+                whole = Segment(max(made["replaces"]), made["folder"], tuple(made["touched"]), made["size"], first)
+                out = sorted([*(s for s in out if s.upto not in made["replaces"]), whole])
+        return out
+
+    @staticmethod
+    def _of(entry: Sequence | None) -> tuple[str | None, tuple[str, ...], int]:
+        return (entry[0], (), entry[1]) if entry else (None, (), 0)
+
+    def _added(self, table: str, version: int | None = None) -> list[str]:
+        return [x for c in self._commits if version is None or c["version"] <= version for x in c["add"].get(table, [])]
+
+    def _commit(self, base: dict | None = None, delta: dict | None = None, add: dict | None = None, merged: dict | None = None, touched: DataFrame | None = None, whole: bool = False) -> None:
+        """All of it becomes visible at once, or, if another writer's change is in its way, nothing.
+
+        base and delta: (folder, bytes) by table; add: folders by table. whole: it rests on all that there was.
+        """
+        commit = {"schema": SCHEMA_VERSION, "base": base or {}, "delta": delta or {}, "add": add or {}, "merged": merged or {}, "touched": None, "scopes": [], "whole": whole}
+        if touched is not None:
+            folder = self._put_touched(touched)
+            commit |= {"touched": folder, "scopes": sorted(r.scope for r in self._touched([folder]).select("scope").distinct().collect())}
+        while not self._log.put(self.version + 1, commit):
+            seen = self.version
+            self.refresh()
+            for other in self._commits:
+                if other["version"] > seen and self._clash(commit, other):
+                    raise ConflictError(f"commit {other['version']} of another writer changed what this change rests on")
         self.refresh()
-
-    def _write(self, **tables: DataFrame) -> None:
-        """Several tables in one commit."""
-        self._commit(*[self._put(table, df) for table, df in tables.items()])
+        if not merged:
+            self._tidy()
+
+    def _clash(self, mine: dict, other: dict) -> bool:
+        if other["merged"] or mine["merged"]:
+            return False
+        matters = lambda c: c["whole"] or not {"nodes", "edges"}.isdisjoint(c["scopes"])
+        if (mine["whole"] and matters(other)) or (other["whole"] and matters(mine)):
+            return True
+        pairs = [(a, b) for a, b in _CLASHES if a in mine["scopes"] and b in other["scopes"]]
+        own, theirs = (self._touched([c["touched"]]) for c in (mine, other)) if pairs else (None, None)
+        return any(own.where(F.col("scope") == a).join(theirs.where(F.col("scope") == b), "key", "left_semi").take(1) for a, b in pairs)
+
+    def _put_touched(self, keys: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        keys.distinct().sortWithinPartitions("scope", "key").write.parquet(f"{self.path}/touched/{folder}")
+        return folder
+
+    def _touched(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(_TOUCHED).parquet(*[f"{self.path}/touched/{x}" for x in folders])
+
+    # Reading
+
+    def _rows(self, table: str, *folders: str) -> DataFrame:
+        names = self.spark.createDataFrame([], _SCHEMAS[table]).columns
+        return self.spark.read.schema(_SCHEMAS[table]).parquet(*[f"{self.path}/{table}/{x}" for x in folders]).select(names)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table as it is, or as it was after a commit whose folders weren't removed since."""
+        if table in _ADDED_TO:
+            return self._read_added(table, self._added(table, version))
+        return self._merged(table, self._segments(table, version))
+
+    def _merged(self, table: str, segments: Sequence[Segment]) -> DataFrame:
+        """The rows of the segments that no later one of them touches. Keys alone are joined, and there are few of them."""
+        parts = [self._rows(table, s.folder).withColumn("__at", F.lit(s.upto)) for s in segments if s.folder]
+        if not parts:
+            return self.spark.createDataFrame([], _SCHEMAS[table])
+        rows = reduce(DataFrame.unionByName, parts)
+        later = [s for s in segments if not s.base and s.upto > min(x.upto for x in segments)]
+        if later:
+            key, scope = _KEYS[table]
+            keys = reduce(DataFrame.unionByName, [self._touched(s.touched).where(F.col("scope") == scope).select(F.col("key").alias("__key"), F.lit(s.upto).alias("__later")) for s in later])
+            rows = rows.join(keys, (F.col(key) == F.col("__key")) & (F.col("__at") < F.col("__later")), "left_anti")
+        return rows.drop("__at")
+
+    def _read_added(self, table: str, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _SCHEMAS[table])
+        if table != "snapshots":
+            return self._rows(table, *folders)
+        # A snapshot's number is its place among the commits, whichever writer made it.
+        at = self.spark.createDataFrame([(x, i + 1) for i, x in enumerate(folders)], "__folder STRING, __seq LONG")
+        rows = self.spark.read.schema(SNAPSHOTS).parquet(*[f"{self.path}/{table}/{x}" for x in folders])
+        rows = rows.withColumn("__folder", F.element_at(F.split("_metadata.file_path", "/"), -2)).join(F.broadcast(at), "__folder")  # a row a snapshot
+        return rows.withColumn("seq", F.col("__seq")).drop("__folder", "__seq")
 
     @property
     def nodes(self) -> DataFrame:
@@ -121,57 +226,88 @@ class GraphStore:
     def text(self) -> DataFrame:
         return text_rows(self.nodes)
 
-    def _words(self, fresh: DataFrame, gone: DataFrame | None) -> list[tuple]:
-        """Records of the index of words with nodes put in or replaced, and ids (id) taken out; without gone it is made anew."""
-        rows = text_rows(fresh)
-        words, sizes = postings(rows), lengths(rows)
-        if gone is not None:
-            out = fresh.select("id").union(gone.select("id")).distinct()
-            words, sizes = (self.read(t).join(out, "id", "left_anti").unionByName(new) for t, new in (("postings", words), ("lengths", sizes)))
-        return [self._put("postings", words), self._put("lengths", sizes)]
-
     def search(self, query: str, **options) -> DataFrame:
         """The page of text_search.search(), from the words that are kept."""
         return search_stored(self.read("postings"), self.read("lengths"), query, **options)
 
+    # Writing
+
+    def _put(self, table: str, df: DataFrame, folder: str | None = None) -> tuple[str, int]:
+        """Writes rows into a new folder that no reader sees yet; returns it and its bytes."""
+        folder, part = folder or uuid.uuid4().hex, _PARTS.get(table)
+        rows = df.select(self.spark.createDataFrame([], _SCHEMAS[table]).columns)
+        rows = rows.hint("rebalance", part) if part else rows.hint("rebalance")  # files of a fair size, whatever the input's partitions
+        (rows.write.partitionBy(part) if part else rows.write).parquet(f"{self.path}/{table}/{folder}")
+        return folder, self._folder.size(f"{table}/{folder}")
+
+    def _with_words(self, fresh: DataFrame) -> dict[str, tuple[str, int]]:
+        """Nodes, and the words of their texts."""
+        rows = text_rows(fresh)
+        return {"nodes": self._put("nodes", fresh), "postings": self._put("postings", postings(rows)), "lengths": self._put("lengths", lengths(rows))}
+
     def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """Rows replace those of the same id; of several in one call one is taken, of edges the last by constraint name."""
-        records = []
+        delta, keys, done = {}, [], []
         if nodes is not None:
-            fresh = staged(_merged(nodes.limit(0), nodes))
-            records += [self._put("nodes", _merged(self.nodes, fresh)), *self._words(fresh, fresh.limit(0))]
-            discard(fresh)
+            done.append(fresh := staged(one_each(nodes)))
+            delta |= self._with_words(fresh)
+            keys.append(_keys("nodes", fresh))
         if edges is not None:
-            records.append(self._put("edges", _merged(self.edges, edges)))
-        self._commit(*records)
+            done.append(fresh := staged(one_each(edges)))
+            delta["edges"] = self._put("edges", fresh)
+            keys += [_keys("edges", fresh), _keys("ends", fresh, "src"), _keys("ends", fresh, "dst")]
+        if keys:
+            self._commit(delta=delta, touched=reduce(DataFrame.unionByName, keys))
+        discard(*done)
 
     def replace(self, nodes: DataFrame, edges: DataFrame) -> None:
-        record = self._put("nodes", _merged(nodes.limit(0), nodes))
-        self._commit(record, self._put("edges", _merged(edges.limit(0), edges)), *self._words(self._read("nodes", [record[2]]), None))
+        fresh = staged(one_each(nodes))
+        self._commit(base=self._with_words(fresh) | {"edges": self._put("edges", one_each(edges))}, whole=True)
+        discard(fresh)
 
     def delete(self, ids: DataFrame) -> int:
         """Nodes of ids (id) go, and all edges at them; returns how many nodes went."""
         return self.apply(self.nodes.limit(0), ids)[1]
 
     def apply(self, fresh: DataFrame, gone: DataFrame) -> tuple[int, int]:
-        """Upserts nodes and deletes those of ids (id) with their edges, in one commit; returns how many of each."""
-        fresh, gone = staged(fresh), staged(gone.select("id").distinct())
-        upserted, deleted = fresh.count(), self.nodes.join(gone, "id", "left_semi").count()
+        """Upserts nodes and deletes those of ids (id) with their edges, in one commit; returns how many of each.
+
+        What is written is in proportion to the change: the nodes, their words, and the keys of what goes.
+        """
+        fresh = staged(one_each(fresh))
+        gone = staged(self.nodes.join(gone.select("id").distinct(), "id", "left_semi").select("id"))
+        upserted, deleted = fresh.count(), gone.count()
         if upserted or deleted:
-            records = [self._put("nodes", _merged(self.nodes.join(gone, "id", "left_anti"), fresh)), *self._words(fresh, gone)]
+            keys = [_keys("nodes", fresh), _keys("nodes", gone)]
             if deleted:
-                records.append(self._put("edges", without_ends(self.edges, gone)))
-            self._commit(*records)
+                keys += [_keys("gone", gone), _keys("edges", at_ends(self.edges, gone))]
+            self._commit(delta=self._with_words(fresh), touched=reduce(DataFrame.unionByName, keys))
         discard(fresh, gone)
         return upserted, deleted
 
+    def advance(self, fresh: DataFrame, gone: DataFrame, edges: DataFrame, engine: str, engine_version: str | None, fingerprint: str, include_payload: bool = False) -> str:
+        """Upserts nodes, deletes those of ids (id), makes the edges those given, and takes a snapshot: one commit.
+
+        Of the edges only those that differ are written.
+        """
+        fresh, edges, old = staged(fresh), staged(one_each(edges)), self.edges
+        told = F.xxhash64(F.to_json(F.struct(*edges.columns))).alias("__told")
+        other = staged(edges.join(old.select("id", told), ["id"], "left").where(~told.eqNullSafe(F.col("__told"))).select(edges.columns))
+        stale = old.join(edges, "id", "left_anti")
+        keys = [_keys("nodes", fresh), _keys("nodes", gone), _keys("gone", gone), _keys("edges", other), _keys("edges", stale)]
+        after = self.nodes.join(gone.select("id").unionByName(fresh.select("id")), "id", "left_anti").unionByName(fresh)
+        ident, add = self._snapshot(after, engine, engine_version, fingerprint, None, include_payload)
+        self._commit(delta=self._with_words(fresh) | {"edges": self._put("edges", other)}, add=add, touched=reduce(DataFrame.unionByName, keys), whole=True)
+        discard(fresh, edges, other)
+        return ident
+
     def meta(self, key: str) -> str | None:
         row = self.read("meta").where(F.col("key") == key).first()
         return row.value if row else None
 
     def set_meta(self, key: str, value: str) -> None:
-        old = self.read("meta").where(F.col("key") != key)
-        self._write(meta=old.unionByName(self.spark.createDataFrame([(key, value)], _META)))
+        row = self.spark.createDataFrame([(key, value)], _META)
+        self._commit(delta={"meta": self._put("meta", row)}, touched=_keys("meta", row, "key"))
 
     def snapshots(self) -> DataFrame:
         """Oldest first."""
@@ -179,33 +315,79 @@ class GraphStore:
 
     def snapshot_objects(self, snapshot_id: str) -> DataFrame:
         """A snapshot's manifest has a folder of its own."""
-        own = [x for x in self._folders("snapshot_objects") if x == snapshot_id]
-        return self._read("snapshot_objects", own).orderBy("qname", "node_id")
+        return self._read_added("snapshot_objects", [x for x in self._added("snapshot_objects") if x == snapshot_id]).orderBy("qname", "node_id")
 
     def take_snapshot(self, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None = None, include_payload: bool = False) -> str:
         """Writes a snapshot and its manifest of visible nodes in one commit."""
-        ident, records = self._snapshot(self.nodes, engine, engine_version, fingerprint, taken_at, include_payload)
-        self._commit(*records)
+        ident, add = self._snapshot(self.nodes, engine, engine_version, fingerprint, taken_at, include_payload)
+        self._commit(add=add, whole=True)
         return ident
 
-    def _snapshot(self, nodes: DataFrame, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None, include_payload: bool) -> tuple[str, list[tuple]]:
+    def _snapshot(self, nodes: DataFrame, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None, include_payload: bool) -> tuple[str, dict[str, list[str]]]:
         at = taken_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         ident = uuid.uuid4().hex
         counts = {r.kind: r.n for r in nodes.where("NOT missing AND NOT excluded").groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, len(self._folders("snapshots")) + 1)], SNAPSHOTS)
-        return ident, [self._put("snapshots", row), self._put("snapshot_objects", manifest(nodes, ident, include_payload), ident)]
-
-    def advance(self, fresh: DataFrame, gone: DataFrame, edges: DataFrame, engine: str, engine_version: str | None, fingerprint: str, include_payload: bool = False) -> str:
-        """Upserts nodes, deletes those of ids (id), replaces edges, and takes a snapshot: one commit, so all of it or nothing."""
-        records = [self._put("nodes", _merged(self.nodes.join(gone, "id", "left_anti"), fresh)), self._put("edges", edges), *self._words(fresh, gone)]
-        ident, more = self._snapshot(self._read("nodes", [records[0][2]]), engine, engine_version, fingerprint, None, include_payload)
-        self._commit(*records, *more)
-        return ident
+        row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, None)], SNAPSHOTS)
+        return ident, {"snapshots": [self._put("snapshots", row)[0]], "snapshot_objects": [self._put("snapshot_objects", manifest(nodes, ident, include_payload), ident)[0]]}
 
     def last_snapshot(self, oldest: bool = False):
         """The newest snapshot; oldest gives the first one, which is what comparing with "the last" did at times."""
         return self.read("snapshots").orderBy(F.asc("seq") if oldest else F.desc("seq")).first()
 
+    # Upkeep
+
+    def _tidy(self) -> None:
+        for table in _KEYS:
+            if len(self._segments(table)) > MOST_CHANGES:
+                self.compact(table)
+
+    def compact(self, table: str, whole: bool = False) -> None:
+        """Puts the newest changes of a table together, and with its base where that isn't much larger, or on request.
+
+        Older changes join as long as they are at most GROWTH times as large as what is put together already, so a row is
+        written anew a number of times that grows with the logarithm of the table's size alone.
+        """
+        segments = self._segments(table)
+        taken = segments[-2:]
+        for s in segments[-3::-1]:
+            if not whole and s.size > GROWTH * sum(x.size for x in taken):
+                break
+            taken = [s, *taken]
+        if len(taken) < 2:
+            return
+        folder, size = self._put(table, self._merged(table, taken))
+        scope = F.col("scope") == _KEYS[table][1]
+        touched = [] if taken[0].base else [self._put_touched(self._touched([x for s in taken for x in s.touched]).where(scope))]
+        self._commit(merged={table: {"folder": folder, "size": size, "touched": touched, "replaces": [s.upto for s in taken]}})
+
+    def vacuum(self, hours: float = 168) -> int:
+        """Removes folders that no table needs any more and that are older than some hours; returns how many.
+
+        That should be longer than any writer or reader takes, as folders of a commit still to come aren't named yet. What
+        tables were at earlier versions can't be read after that.
+        """
+        self.refresh()
+        live = {t: {x for s in self._segments(t) for x in [s.folder]} for t in _KEYS} | {t: {*self._added(t)} for t in _ADDED_TO}
+        live["touched"] = {x for t in _KEYS for s in self._segments(t) for x in s.touched}
+        n, before = 0, (time.time() - 3600 * hours) * 1000
+        for table, named in live.items():
+            for name, changed in self._folder.names(table).items():
+                if name not in named and changed <= before:
+                    self._folder.delete(f"{table}/{name}")
+                    n += 1
+        return n
+
+
+def _keys(scope: str, rows: DataFrame, column: str = "id") -> DataFrame:
+    return rows.select(F.lit(scope).alias("scope"), F.col(column).alias("key"))
+
+
+def at_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges that have an end among ids (id)."""
+    gone = ids.select(F.col("id").alias("__end")).distinct()
+    at = lambda end: edges.join(gone, F.col(end) == F.col("__end"), "left_semi")
+    return at("src").unionByName(at("dst")).dropDuplicates(["id"])
+
 
 def without_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """The edges that have no end among ids (id)."""
@@ -213,7 +395,13 @@ def without_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
-def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    order = [F.desc("__new")] + ([F.desc("attrs.constraint_name")] if "attrs" in new.columns else [F.desc(content_hash())])
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("__n = 1").drop("__n", "__new")
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each id: of edges the last by constraint name, of nodes by content."""
+    order = F.desc("attrs.constraint_name") if "attrs" in rows.columns else F.desc(content_hash())
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("__n = 1").drop("__n")
+
+
+def put_over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with the rows of new in place of those of the same id."""
+    fresh = one_each(new)
+    return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.model import Scope
 from lattica.operators.normalize import normalize
 from lattica.operators.snapshot import delta, diff
-from lattica.operators.store import GraphStore, _merged, without_ends
+from lattica.operators.store import GraphStore, put_over, without_ends
 from lattica.plans.cut import discard, staged
 
 
@@ -26,8 +26,8 @@ class SyncResult:
 def sync(store: GraphStore, objects: DataFrame, engine: str, fingerprint: str, scope: Scope = Scope(), engine_version: str | None = None, force: bool = False, include_payload: bool = False, keep_stale_edges: bool = False) -> SyncResult:
     """Brings the store to the catalog's state and takes a snapshot; does nothing if the fingerprint is the last one's.
 
-    Only new and changed nodes are written, gone ones deleted with their edges. Edges are replaced as a whole, so none
-    outlives its reason; keep_stale_edges adds the fresh ones to the old instead, and only if a node changed. Nodes, edges,
+    Only new and changed nodes and edges are written, gone nodes deleted with their edges. Edges that the catalog no longer
+    gives go, so none outlives its reason; keep_stale_edges adds the fresh ones to the old instead, and only if a node changed. Nodes, edges,
     snapshot and manifest become visible by one commit, so a sync that dies leaves the store as it was.
     """
     last = store.last_snapshot()
@@ -37,10 +37,10 @@ def sync(store: GraphStore, objects: DataFrame, engine: str, fingerprint: str, s
     gone, fresh = delta(store.nodes, graph.nodes, include_payload)
     gone, fresh = staged(gone), staged(fresh)
     upserted, deleted = fresh.count(), gone.count()
-    edges = _merged(graph.edges.limit(0), graph.edges)
+    edges = graph.edges
     if keep_stale_edges:
         kept = without_ends(store.edges, gone)
-        edges = _merged(kept, graph.edges) if upserted else kept
+        edges = put_over(kept, graph.edges) if upserted else kept
     ident = store.advance(fresh, gone, edges, engine, engine_version, fingerprint, include_payload)
     discard(gone, fresh)
     counts = {r.kind: r.n for r in store.nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}

@@ -6,6 +6,7 @@ and names, bodies and types are built from columns, so the same plans run at any
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,8 @@ from lattica.functions.ids import canonical_qname, edge_id, node_id
 from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, INDEX, PAYLOAD, REF, TRIGGER, Scope
 from lattica.operators import graph, infer, normalize as norm, precheck, sampling, scoring, search as text_search, shape, snapshot
 from lattica.operators.normalize import struct_of
-from lattica.operators.store import _merged
-from lattica.plans.cut import staged
+from lattica.operators.store import GraphStore
+from lattica.plans.cut import shared_folder, staged
 from lattica.sources import catalog, mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_store(spark: SparkSession) -> GraphStore:
+    return GraphStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
 def node_rows(df: DataFrame, kind: str, qname: Column, name: Column | None = None, schema: Column | None = None, body_hash: Column | None = None, level: str = "full", missing: Column | None = None, **payload: Column) -> DataFrame:
     q = F.lower(qname)
     return df.select(
@@ -160,35 +165,65 @@ def impact_column_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.join(names, "node").groupBy(how.alias("how")).agg(F.count("*").alias("n"))
 
 
-TABLE_LINKS = (("nation", "region", "n_regionkey", "r_regionkey"), ("customer", "nation", "c_nationkey", "n_nationkey"), ("supplier", "nation", "s_nationkey", "n_nationkey"), ("orders", "customer", "o_custkey", "c_custkey"), ("lineitem", "orders", "l_orderkey", "o_orderkey"), ("lineitem", "part", "l_partkey", "p_partkey"), ("lineitem", "supplier", "l_suppkey", "s_suppkey"))
-
-
-def table_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    links = spark.createDataFrame(TABLE_LINKS, "a STRING, b STRING, x STRING, y STRING")
-    tables = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "t")
-    nodes = node_rows(tables, "table", F.concat(F.lit("main."), "t"))
-    ends = ("table", F.concat(F.lit("main."), "a")), ("table", F.concat(F.lit("main."), "b"))
-    edges = edge_rows(links, "references", *ends, src_column=F.col("x"), dst_column=F.col("y"), constraint_name=F.concat(F.lit("fk_"), "a", F.lit("_"), "b"))
-    return nodes, edges.unionByName(edge_rows(links, "references", *ends, aggregate=F.lit(True), constraint_name=F.concat(F.lit("fk_"), "a", F.lit("_"), "b")))
+def row_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers and orders as tables, each with a reference to the one above it."""
+    r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    nodes, edges = node_rows(r, "table", named("region", "r_regionkey")), None
+    for df, child, key, parent, up, to in ((n, "nation", "n_nationkey", "region", "n_regionkey", "r_regionkey"), (c, "customer", "c_custkey", "nation", "c_nationkey", "n_nationkey"), (o, "orders", "o_orderkey", "customer", "o_custkey", "c_custkey")):
+        nodes = nodes.unionByName(node_rows(df, "table", named(child, key)))
+        ends = ("table", named(child, key)), ("table", named(parent, up))
+        for extra in ({"aggregate": F.lit(True)}, {"src_column": F.lit(up), "dst_column": F.lit(to)}):
+            rows = edge_rows(df, "references", *ends, **extra)
+            edges = rows if edges is None else edges.unionByName(rows)
+    return nodes, edges
 
 
-_LINKS_SQL = "l(a, b, x, y) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{x}', '{y}')" for a, b, x, y in TABLE_LINKS) + ")"
+def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and parts as tables, with a reference for each line item."""
+    objects = order_objects(spark, sf_dir)
+    parts = node_rows(table(spark, sf_dir, "part"), "table", named("part", "p_partkey"))
+    found, _ = norm.resolve(norm.references_of(objects), parts, parts.select("qname").limit(0))
+    orders = node_rows(table(spark, sf_dir, "lineitem").select("l_orderkey").distinct(), "table", named("orders", "l_orderkey"))
+    return orders.unionByName(parts), norm.reference_edges(found).distinct()
 
 
-@query(f"""
-WITH RECURSIVE {_LINKS_SQL}, u AS (SELECT a, b, x, y FROM l UNION ALL SELECT b, a, y, x FROM l),
-p(node, path, hops) AS (SELECT 'region', ['region'], []::VARCHAR[] UNION ALL SELECT u.b, list_append(path, u.b), list_append(hops, u.a || '.' || u.x || '=' || u.b || '.' || u.y)
-  FROM p JOIN u ON u.a = p.node WHERE NOT list_contains(path, u.b) AND len(path) < 7),
-best AS (SELECT hops FROM p WHERE node = 'part' ORDER BY len(hops), path[3], hops LIMIT 1)
-SELECT unnest(range(len(hops)))::INT AS hop, unnest(hops) AS columns FROM best""")
+@query("""
+WITH o AS (SELECT min(o_orderkey) AS k FROM orders), w AS (SELECT o_orderkey AS k, c_custkey AS c, c_nationkey AS n, n_regionkey AS r FROM orders JOIN o ON o_orderkey = k JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT 0 AS hop, 'region.' || r || '.r_regionkey=nation.' || n || '.n_regionkey' AS columns FROM w UNION ALL SELECT 1, 'nation.' || n || '.n_nationkey=customer.' || c || '.c_nationkey' FROM w
+UNION ALL SELECT 2, 'customer.' || c || '.c_custkey=orders.' || k || '.o_custkey' FROM w""")
 def join_path_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join path from region to part; of the two shortest ways the one over customers is longer, so suppliers win."""
-    nodes, edges = table_graph(spark)
-    ids = {r.qname: r.id for r in nodes.select("qname", "id").collect()}
-    names = {v: k.removeprefix("main.") for k, v in ids.items()}
-    found = graph.join_path(nodes, edges, ids["main.region"], ids["main.part"])
-    rows = [(i, f"{names[a]}.{x}={names[b]}.{y}") for i, (a, b, cols) in enumerate(found.hops) for x, y in cols]
-    return spark.createDataFrame(rows, "hop INT, columns STRING")
+    """The join path from a region down to the first order of its customers."""
+    nodes, edges = row_links(spark, sf_dir)
+    first = table(spark, sf_dir, "orders").agg(F.min_by(F.struct("o_orderkey", "o_custkey"), "o_orderkey").alias("o")).select("o.*")
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    ends = first.join(c, first.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey).select(node_id(F.lit("table"), named("region", "n_regionkey")), node_id(F.lit("table"), named("orders", "o_orderkey"))).first()
+    found = graph.join_path(nodes, edges, *ends)
+    hops = spark.createDataFrame([(i, a, b, x, y) for i, (a, b, cols) in enumerate(found.hops) for x, y in cols], "hop INT, a STRING, b STRING, x STRING, y STRING")
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("qname").alias(f"{c}_name"))
+    return hops.join(of("a"), "a").join(of("b"), "b").select("hop", F.concat("a_name", F.lit("."), "x", F.lit("="), "b_name", F.lit("."), "y").alias("columns"))
+
+
+@query("""
+WITH RECURSIVE up AS (SELECT 'customer.' || c_custkey AS a, 'nation.' || c_nationkey AS b, 'c_nationkey=n_nationkey' AS x, 'n_nationkey=c_nationkey' AS y FROM customer UNION ALL SELECT 'nation.' || n_nationkey, 'region.' || n_regionkey, 'n_regionkey=r_regionkey', 'r_regionkey=n_regionkey' FROM nation),
+link AS (SELECT a, b, x FROM up UNION ALL SELECT b, a, y FROM up),
+walk(start, node, trail, seen, n) AS (SELECT 'customer.' || c_custkey, 'customer.' || c_custkey, '', ['customer.' || c_custkey], 0 FROM customer
+  UNION ALL SELECT start, b, trail || ' ' || a || '>' || b || ':' || x, list_append(seen, b), n + 1 FROM walk JOIN link ON a = node WHERE n < 3 AND NOT list_contains(seen, b) AND b NOT LIKE 'customer.%'),
+best AS (SELECT start, node, min(n) AS n, arg_min(trail, n) AS trail FROM walk WHERE node LIKE 'nation.%' GROUP BY start, node)
+SELECT 'customer.' || c_custkey AS start, 'nation.' || n_nationkey AS finish, coalesce(n, 0)::INT AS hops, coalesce(trim(trail), 'none') AS trail
+FROM customer CROSS JOIN nation LEFT JOIN best ON start = 'customer.' || c_custkey AND node = 'nation.' || n_nationkey""")
+def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join paths of every customer with every nation, with their columns, in one run; nations of other regions are out of reach."""
+    nodes, edges = row_links(spark, sf_dir)
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    pairs = c.select(named("customer", "c_custkey").alias("start")).crossJoin(n.select(named("nation", "n_nationkey").alias("finish")))  # the pairs that are asked for
+    ids = [node_id(F.lit("table"), F.col(x)).alias(y) for x, y in (("start", "start"), ("finish", "end"))]
+    found = graph.join_paths(nodes, edges, pairs.select(*ids))
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("qname").alias(f"{c}_name"))
+    hops = found.columns(edges).join(of("a"), "a").join(of("b"), "b")
+    said = F.concat("a_name", F.lit(">"), "b_name", F.lit(":"), F.concat_ws("&", F.transform("columns", lambda p: F.concat(p["from"], F.lit("="), p["to"]))))
+    trails = hops.groupBy("start", "end").agg(F.count("*").cast("int").alias("hops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop", said.alias("said")))), lambda h: h["said"]), " ").alias("trail"))
+    trails = trails.unionByName(found.apart.select("start", "end", F.lit(0).alias("hops"), F.lit("none").alias("trail")))
+    return trails.join(of("start"), "start").join(of("end"), "end").select(F.col("start_name").alias("start"), F.col("end_name").alias("finish"), "hops", "trail")
 
 
 @query("""
@@ -325,10 +360,18 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(of, "src").join(real.select(F.col("id").alias("dst"), F.col("name").cast("long").alias("l_suppkey")), "dst").select("kind", "l_orderkey", "l_suppkey")
 
 
-@query("SELECT unnest(['function', 'index', 'procedure', 'sequence']) AS kind, 'not indexed by configuration' AS reason")
+@query("""
+SELECT ['view', 'procedure', 'function', 'sequence'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 4 >= 2 THEN 'not indexed by configuration' ELSE '' END AS reason,
+  CASE WHEN o_orderkey % 4 >= 2 THEN 0 ELSE count(*) END::BIGINT AS n FROM orders GROUP BY o_orderkey % 4 UNION ALL SELECT 'index', 'not indexed by configuration', 0""")
 def omitted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = Scope(levels=dict.fromkeys(("functions", "procedures", "sequences", "indexes", "sampling"), "off"))
-    return spark.createDataFrame(list(norm.omitted_kinds(scope)), "kind STRING, reason STRING")
+    """Orders as objects of four kinds, of which two are off: what the graph has of each, and what it says it left out."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.get(F.array(*[F.lit(x) for x in ("view", "procedure", "function", "sequence")]), (k % 4).cast("int"))
+    objects = mapping.as_objects(o, kind=kind, schema=F.lit("s"), name=k.cast("string")).withColumn("pos", F.col("name").cast("long")).drop("__in")
+    g = norm.normalize(objects, "test", Scope(levels=dict.fromkeys(("functions", "sequences", "indexes", "sampling"), "off")))
+    there = g.nodes.groupBy("kind").agg(F.count("*").alias("n"))
+    out = spark.createDataFrame(list(g.omitted), "kind STRING, reason STRING")
+    return there.join(out, "kind", "full_outer").select("kind", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Inference
@@ -520,8 +563,10 @@ SELECT CASE WHEN o_orderkey % 10 <> 2 THEN 'new' ELSE 'old' END AS version, coun
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the second state replace those of the first with the same id."""
     before, after = order_states(spark, sf_dir)
-    merged = _merged(before.withColumn("level", F.lit("old")), after.withColumn("level", F.lit("new")))
-    return merged.groupBy(F.col("level").alias("version")).agg(F.count("*").alias("n"))
+    store = new_store(spark)
+    store.upsert(before.withColumn("level", F.lit("old")))
+    store.upsert(after.withColumn("level", F.lit("new")))
+    return store.nodes.groupBy(F.col("level").alias("version")).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -533,8 +578,10 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = data_graph(spark, sf_dir)
     gone = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(named("nation", "n_nationkey").alias("qname")).union(spark.range(1).select(F.lit("region.0")))
     ids = nodes.join(gone, "qname", "left_semi").select("id")
-    left = edges.join(ids.select(F.col("id").alias("src")), "src", "left_anti").join(ids.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return left.groupBy("kind").agg(F.count("*").alias("n"))
+    store = new_store(spark)
+    store.replace(nodes, edges)
+    store.delete(ids)
+    return store.edges.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -676,17 +723,18 @@ def viewer_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.data_block(nodes, edges)[0].drop("id")
 
 
-@query(f"WITH {_LINKS_SQL} SELECT DISTINCT 'main.' || b AS parent, 'main.' || a AS child FROM l")
+@query("SELECT DISTINCT 'part.' || l_partkey AS parent, 'orders.' || l_orderkey AS child FROM lineitem")
 def entity_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.entity_relations(*table_graph(spark))
+    """Orders as tables with a reference for each of their parts."""
+    return shape.entity_relations(*order_graph(spark, sf_dir))
 
 
 # Questions and scores
 
 
-@query(f"WITH {_LINKS_SQL} SELECT 'fk_' || a || '_' || b AS constraint_name, 'main.' || a AS src, 'main.' || b AS dst, x || '=' || y AS pairs FROM l")
+@query("SELECT DISTINCT 'FK_' || l_linenumber AS constraint_name, 'orders.' || l_orderkey AS src, 'part.' || l_partkey AS dst, 'L_' || l_linenumber || '=id' AS pairs FROM lineitem")
 def fk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.fk_questions(*table_graph(spark)).withColumn("pairs", F.array_join("pairs", "|"))
+    return scoring.fk_questions(*order_graph(spark, sf_dir)).withColumn("pairs", F.array_join("pairs", "|"))
 
 
 @query("""

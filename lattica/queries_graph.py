@@ -4,27 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import io
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.ids import node_id, stable_json
+from lattica.functions.ids import node_id, stable_text
 from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, PARAMETER, REF, TRIGGER, GraphError, Scope
 from lattica.operators import graph, infer, normalize as norm, precheck, search as text_search, shape, sync as syncing
 from lattica.operators.normalize import struct_of
 from lattica.operators.store import SCHEMA_VERSION, GraphStore
 from lattica.plans import api
-from lattica.plans.cut import shared_folder, staged
+from lattica.plans.cut import staged
 from lattica.plans.numbering import number_sorted
-from lattica.queries import data_graph, edge_rows, named, node_rows, order_objects, query, table
+from lattica.queries import data_graph, edge_rows, named, new_store, node_rows, order_objects, query, table
 from lattica.sources import mapping
 
 
-def new_store(spark: SparkSession) -> GraphStore:
-    return GraphStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-
-
 def numbered(sorted_rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of a sorted frame with their place in it."""
     return number_sorted(sorted_rows, "place").select("place", *columns)
@@ -155,11 +150,13 @@ def edges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(norm.ordered_edges(norm.reference_edges(found).distinct()), "src", "dst", "attrs").select("place", "src", "dst", F.col("attrs.constraint_name").alias("con"), F.coalesce("attrs.src_column", F.lit("")).alias("col"))
 
 
-@query("""SELECT n_nationkey, '{"a":[' || n_nationkey || ',null],"b":{"x":"é' || n_name || '","y":true}}' AS text FROM nation""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE '{"a":[' || o_orderkey || ',null,{"p":"' || o_orderpriority || '","q":false}],"b":{"x":"é' || o_orderstatus || '","y":true},"ba":-1}' END AS text FROM orders""")
 def stable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys sorted at every depth, no blanks, letters as they are."""
-    rows = [(r.n_nationkey, stable_json({"b": {"y": True, "x": f"é{r.n_name}"}, "a": [r.n_nationkey, None]})) for r in table(spark, sf_dir, "nation").collect()]
-    return spark.createDataFrame(rows, "n_nationkey INT, text STRING")
+    """Keys sorted at every depth, no blanks, letters as they are; what isn't JSON gives nothing."""
+    k = F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit('{ "ba": -1, "b" :{"y":true ,"x":"\\u00e9'), "o_orderstatus", F.lit('"},\n"a":['), k, F.lit(', null, {"q":false,"p":"'), "o_orderpriority", F.lit('"}]}'))
+    cut = F.when(F.col("o_orderkey") % 9 == 0, F.substring(said, 1, 30)).otherwise(said)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(stable_text(cut), F.lit("none")).alias("text"))
 
 
 # Graph
@@ -295,10 +292,11 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for name, version in (("newer", SCHEMA_VERSION + 1), ("same", SCHEMA_VERSION), ("none yet", None), ("older", 2)):
         store, words = new_store(spark), 0
-        if name == "older":
-            store._commit((*store._put("nodes", place_graph(spark, sf_dir)[0].where("kind = 'table'"))[:3], version))
+        if name == "older":  # of before the log, where a table of records named folders
+            place_graph(spark, sf_dir)[0].where("kind = 'table'").write.partitionBy("kind").parquet(f"{store.path}/nodes/first")
+            spark.createDataFrame([("nodes", 1, "first", version)], "table STRING, version LONG, folder STRING, schema_version INT").write.parquet(f"{store.path}/_commits")
         elif version is not None:
-            store._commit(("meta", 1, "x", version))
+            store._log.put(1, {"schema": version, "base": {}, "delta": {}, "add": {}, "merged": {}, "touched": None, "scopes": [], "whole": False})
         try:
             opened = GraphStore(spark, store.path)
             words = opened.read("lengths").count() if name == "older" else 0
@@ -325,6 +323,39 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "query STRING, hits LONG, unlike LONG")
 
 
+@query("""
+WITH n AS (SELECT o_orderkey AS k FROM orders), v AS (SELECT unnest(range(1, 5)) AS version)
+SELECT version::INT AS version, part, count(*)::BIGINT AS nodes, sum(k)::BIGINT AS keys FROM (
+  SELECT version, CASE WHEN version >= 2 AND k % 7 = 0 AND NOT (version >= 4 AND k % 5 = 0) THEN 'changed' WHEN version >= 4 AND k % 5 = 0 THEN 'again' ELSE 'first' END AS part, k FROM v, n WHERE NOT (version >= 3 AND k % 11 = 0) OR (version >= 4 AND k % 5 = 0)) GROUP BY version, part
+UNION ALL SELECT version, 'edges', count(*), sum(k) FROM v, n WHERE NOT (version >= 3 AND k % 11 = 0) GROUP BY version
+UNION ALL SELECT 5, CASE WHEN k % 5 = 0 THEN 'again' WHEN k % 7 = 0 THEN 'changed' ELSE 'first' END AS part, count(*), sum(k) FROM n WHERE k % 11 <> 0 OR k % 5 = 0 GROUP BY part
+UNION ALL SELECT 5, 'edges', count(*), sum(k) FROM n WHERE k % 11 <> 0""")
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after each of four changes, of which each wrote its own rows alone, and after those were put together."""
+    store, k = new_store(spark), F.substring_index("qname", ".", -1).cast("long")
+    o = table(spark, sf_dir, "orders")
+    nodes = node_rows(o, "view", named("orders", "o_orderkey"), comment=F.lit("first"))
+    edges = edge_rows(o, "depends_on", ("view", named("orders", "o_orderkey")), ("table", named("customer", "o_custkey")))
+    said = lambda x: nodes.withColumn("payload", F.col("payload").withField("comment", F.lit(x)))
+    store.upsert(nodes, edges)
+    store.upsert(said("changed").where(k % 7 == 0))
+    store.delete(nodes.where(k % 11 == 0).select("id"))
+    store.upsert(said("again").where(k % 5 == 0))
+    names = nodes.select(F.col("id").alias("src"), k.alias("k"))
+
+    def state(version: int, at: int | None) -> DataFrame:
+        parts = store.read("nodes", at).groupBy(F.col("payload.comment").alias("part")).agg(F.count("*").alias("nodes"), F.sum(k).alias("keys"))
+        links = store.read("edges", at).join(names, "src").groupBy(F.lit("edges").alias("part")).agg(F.count("*").alias("nodes"), F.sum("k").alias("keys"))
+        return parts.unionByName(links).select(F.lit(version).alias("version"), "part", "nodes", "keys")
+
+    out = [state(v, v) for v in range(1, 5)]
+    for t in ("nodes", "edges"):
+        store.compact(t, whole=True)
+    for more in (*out[1:], state(5, None)):
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
 def view_objects(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
     """Orders as raw views over customers' tables; later some are gone, some new, some changed."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -345,9 +376,9 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first sync, one after changes and one without any: what each did, and what the store holds then."""
     store = new_store(spark)
     first = syncing.sync(store, view_objects(spark, sf_dir, False), "test", "a")
-    before = spark.read.parquet(f"{store.path}/_commits").select(F.input_file_name()).distinct().count()
+    before = store.version
     second = syncing.sync(store, view_objects(spark, sf_dir, True), "test", "b")
-    after = spark.read.parquet(f"{store.path}/_commits").select(F.input_file_name()).distinct().count()
+    after = store.version
     third = syncing.sync(store, view_objects(spark, sf_dir, True), "test", "b")
     rows = [("first: upserted", first.upserted), ("second: upserted", second.upserted), ("second: deleted", second.deleted), ("same state: changed", int(third.changed)), ("snapshots", store.snapshots().count()), ("commits of a sync", after - before)]
     rows += [("edges", store.edges.count()), ("views", store.nodes.where("NOT missing").count()), ("stubs", store.nodes.where("missing").count())]
