@@ -14,10 +14,11 @@ the test tables, 250 of 15 million), and all more frequent ones have their own w
 Similarity is the weighted Jaccard similarity, the sum of the smaller weights over the sum of the larger ones. It is
 computed exactly for every pair that sampling proposes: texts that agree in all samples of a band are in one bucket.
 Texts with the same words are one from the start. In a bucket all others are compared with the one of the smallest id.
-That settles groups of copies. Where some aren't similar to it, as where texts share a passage only, each of those is
-compared with all of the bucket that aren't in its class by then. That is done tile by tile, a tile being two parts of a
-bucket, of bounded size and dealt by a hash; a tile gives a few links that connect what its similar texts connect, so
-pairs are neither listed nor cut off.
+That settles groups of copies. Where some aren't similar to it, as where texts share a passage only, the bucket's texts are
+dealt anew by the rarest of their shingles, as many as two similar texts must have one in common of; so a passage of many
+texts brings none of them together. What meets there is compared with the first of it, for some rounds, and what is of
+several classes after that tile by tile, a tile being two parts of bounded size, dealt by a hash, that gives a few links
+that connect what its similar texts connect. Pairs are neither listed nor cut off.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from lattica.plans.components import components
 from lattica.plans.cut import discard
 
 THRESHOLD, BANDS, ROWS = 0.8, 12, 4
+#: Rounds in which texts that failed their bucket's first meet the first of those that they share rare items with.
+ROUNDS = 2
 #: Places of the table of document frequencies, a power of two; parts that it is summed in, and tables summed at once.
 PLACES, PARTS, FAN_IN = 1 << 21, 64, 64
 #: Texts on a side of a tile, in expectation, and shared shingles that are compared at once.
@@ -254,24 +257,76 @@ def similarities(a: Shingles, b: Shingles, weights: Weights) -> np.ndarray:
     return np.divide(low, total, out=np.zeros_like(low), where=total > 0)
 
 
+def _prefix(s: Shingles, weights: Weights, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, item): the items by which a text meets every one that is similar to it.
+
+    Items go by falling weight, so rare ones first, then by hash, in all texts alike. Similar texts share items of a
+    threshold's part of either's weight; so the first item that they share has at most the rest of the weight before it.
+    """
+    text, item, w = _items(s, weights)
+    order = np.lexsort((item, -w, text))
+    text, item, w = text[order], item[order], w[order]
+    whole = np.bincount(text, w, len(s.edges) - 1)
+    before = np.cumsum(w) - w - (np.cumsum(whole) - whole)[text]
+    keep = before <= (1 - threshold + 1e-9) * whole[text]
+    return text[keep], item[keep]
+
+
+def _open_sets(rows: DataFrame) -> DataFrame:
+    """(token, n): of tokens whose texts (rep, c) are of several classes, one for each set of texts."""
+    own = F.xxhash64("rep")
+    sets = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 32)).alias("y")).where("low < high")
+    return staged(sets.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n"))
+
+
 def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links: DataFrame, weights: Weights, threshold: float, tile: int) -> DataFrame:
-    """Links (a, b) between texts of one bucket and of different classes, of which one wasn't similar to the bucket's first."""
-    classes = components(links.toDF("u", "v")).select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    flags = failed.select("band", "h", "rep", F.lit(1).alias("bad")).distinct()
-    rows = buckets.select("band", "h", "rep").join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").join(flags, ["band", "h", "rep"], "left")
-    kept = staged(rows.join(classes, "rep", "left").select("band", "h", "rep", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("c", "rep").alias("c")))
-    parts = staged(kept.groupBy("band", "h").agg(F.ceil(F.sum("bad") / tile).cast("int").alias("pa"), F.ceil(F.count("*") / tile).cast("int").alias("pb")))
-    rows = kept.join(parts, ["band", "h"])
-    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = rows.where("bad = 1").select("band", "h", "rep", "c", F.lit(True).alias("left"), part("pa").alias("i"), upto("pb").alias("j"))
-    b = rows.select("band", "h", "rep", "c", F.lit(False).alias("left"), upto("pa").alias("i"), part("pb").alias("j"))
-    dealt = a.unionByName(b).join(texts, F.col("rep") == F.col("id")).drop("id")
+    """Links (a, b) between texts of buckets in which some weren't similar to the bucket's first.
+
+    Such buckets are of texts that share a passage, so their texts are dealt anew, by the rare items that similar ones must
+    have in common; a passage of many texts isn't among them. Sets that are of one class already are left out. In each of
+    the others all are compared with the first, in a second round with the next; what is of several classes after that,
+    which is little, is compared as a whole in tiles.
+    """
+    some = buckets.join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").select("rep", "w").distinct()
+    near = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("c"))  # enough to leave out most of what is linked
+    members = staged(some.join(near, "rep", "left").select("rep", "w", F.coalesce("c", "rep").alias("c")))
+
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, item = _prefix(shingles_of(words_of(batch.column("text"))), weights, threshold)
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), pa.array(item.view(np.int64))], names=["rep", "token"])
+
+    met = staged(map_batches(texts.join(members.select(F.col("rep").alias("id")), "id").select("id", "text"), tokens, "rep long, token long"))
+    left = met.join(members, "rep")
+    found = links.limit(0)
+    for _ in range(ROUNDS):
+        sets = _open_sets(left)
+        if sets.isEmpty():
+            discard(members, met)
+            return found
+        left = staged(left.join(sets.select("token"), "token"))
+        first = staged(left.groupBy("token").agg(F.min_by(F.struct("rep", "w", "c"), "rep").alias("first")).select("token", F.col("first.rep").alias("b"), F.col("first.w").alias("lw"), F.col("first.c").alias("lc")))
+        other = left.join(first, "token").where("rep <> b")
+        pairs = other.where((F.col("c") != F.col("lc")) & _plausible("w", "lw", threshold)).select(F.col("rep").alias("a"), "b").distinct()
+        pairs = staged(pairs.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b"))
+        found = staged(found.unionByName(_verified(pairs, texts, weights, threshold, tile)))
+        left = other.select("token", "rep", "w", "c")
+    classes = components(links.unionByName(found).toDF("u", "v")).select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    left = left.drop("c").join(classes, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    sets = _open_sets(left)
+    if not sets.isEmpty():
+        found = found.unionByName(_tiled_links(left.join(sets.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "token"), texts, weights, threshold))
+    discard(members, met)
+    return found
+
+
+def _tiled_links(rows: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links between similar texts of a token (token, rep, c, parts) and of different classes, two parts at a time."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = rows.select("token", "rep", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(texts, F.col("rep") == F.col("id")).drop("id")
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
-        x, y = t.filter(t["left"]), t.filter(pc.invert(t["left"]))
-        if not len(x) or not len(y):
-            return None
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        x, y = t.filter(pc.equal(t["part"], i)), t.filter(pc.equal(t["part"], j))
         open_ = x["c"].to_numpy()[:, None] != y["c"].to_numpy()
         if not open_.any():
             return None
@@ -279,9 +334,7 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
         u, v = spanning(ok, x["rep"].to_numpy(), y["rep"].to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"]) if len(u) else None
 
-    found = staged(map_groups(dealt, ["band", "h", "i", "j"], compare, "a long, b long"))
-    discard(kept, parts)
-    return found
+    return staged(map_groups(dealt, ["token", "i", "j"], compare, "a long, b long"))
 
 
 def _key() -> Column:

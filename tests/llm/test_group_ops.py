@@ -123,6 +123,55 @@ def test_second_round_finds_links_past_the_leader(spark):
     assert got == dict(enumerate(want))
 
 
+def passage_texts(n, seed=0):
+    """n texts of which all share a passage of half their length, and a near copy of every fifth."""
+    shared, rows = prose(7_000 + seed, 60), []
+    for i in range(n):
+        own = prose(8_000 + 100 * seed + i, 64).split()
+        rows.append((i, f"{shared} {' '.join(own)}"))
+        if i % 5 == 0:
+            rows.append((10_000 + i, f"{shared} {' '.join([*own[:30], 'other', *own[31:]])}"))
+    return rows
+
+
+def test_a_bucket_that_a_passage_fills_is_settled_without_tiles(spark, monkeypatch):
+    met = []
+    real = minhash._verified
+    monkeypatch.setattr(minhash, "_tiled_links", lambda *a: 1 / 0)
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    seen = []
+    for n in (60, 120):
+        met.clear()
+        # One sample a band, so that the passage brings nearly all texts into one bucket.
+        got = minhash.near_duplicates(spark.createDataFrame(passage_texts(n), "doc_id LONG, text STRING"), bands=24, rows=1).collect()
+        assert {r.doc_id: r.class_id for r in got} == {i: i % 10_000 for i, _ in passage_texts(n)}
+        seen.append(sum(met[1:]))  # behind the first, which meets the buckets' first texts
+    assert seen[1] < 3 * max(1, seen[0])  # all pairs would be four times as many
+
+
+def test_what_two_rounds_leave_is_compared_in_tiles(spark):
+    base = prose(91, 200).split()
+    rows = []
+    for i in range(12):  # a ring of versions, each near the next ones only
+        rows.append((i, " ".join(base[: 200 - 12 * i] + prose(92, 400).split()[: 12 * i])))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING"), bands=40, rows=1, tile=4).collect()
+    near = plain_similarity([t for _, t in rows])
+    want = classes_of(12, [(i, j) for i in range(12) for j in range(i) if near(rows[i][1], rows[j][1]) >= 0.8])
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
+def test_similar_texts_share_an_item_of_their_prefixes():
+    texts = [t for _, t in near_texts() if t and t.strip("?!")]
+    s = words.shingles_of(words.words_of(pa.array(texts)))
+    weights = minhash.Weights(np.bincount(minhash.places_of(s.hashes), minlength=minhash.PLACES), len(texts))
+    for threshold in (0.5, 0.8, 0.95):
+        text, item = minhash._prefix(s, weights, threshold)
+        own = [set(item[text == i].tolist()) for i in range(len(texts))]
+        high = minhash.similarities(s, s, weights) >= threshold
+        assert all(own[i] & own[j] for i, j in zip(*np.nonzero(high), strict=True)) and high.sum() >= len(texts)
+        assert sum(map(len, own)) < (1.1 - threshold) * len(minhash._items(s, weights)[0]) + 2 * len(texts)
+
+
 def test_similarities_of_many_are_those_of_each(monkeypatch):
     monkeypatch.setattr(minhash, "WIDTH", 7)
     rng = random.Random(8)
