@@ -18,6 +18,29 @@ def manifest(nodes: DataFrame, snapshot_id: str, include_payload: bool = False)
     return nodes.where("NOT missing AND NOT excluded").select(F.lit(snapshot_id).alias("snapshot_id"), F.col("id").alias("node_id"), "kind", "qname", content_hash(include_payload).alias("body_hash"))
 
 
+#: Buckets of a manifest, and its rows in one, in expectation, before there are more.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 16, 4096, 4096
+
+
+def buckets_for(rows: int, before: int = 0) -> int:
+    """A power of two; the number that the manifest before had, unless its buckets have grown too large."""
+    if before and (rows <= 4 * BUCKET_ROWS * before or before >= MOST_BUCKETS):
+        return before
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, rows // BUCKET_ROWS).bit_length()))
+
+
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets)).cast("int"))
+
+
+def bucket_hashes(rows: DataFrame) -> DataFrame:
+    """(bucket, hash): the same whatever the order of rows, and whichever snapshot they are of."""
+    own = F.xxhash64("node_id", "kind", "qname", "body_hash")
+    other = F.xxhash64("qname", "body_hash", "node_id", F.lit(1))
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(other).alias("y"))
+    return sums.select("bucket", F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "x", "y")]).alias("hash"))
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(change, node_id, kind, qname): added, removed and changed between two manifests."""
     a = before.select("node_id", F.struct("kind", "qname", "body_hash").alias("a"))

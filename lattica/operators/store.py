@@ -7,13 +7,16 @@ the next number if that has nothing to do with its own change, else it fails and
 newest changes are put together, and with the base where they have grown beyond a part of it, so that a read meets few of
 them and what is written stays in proportion to what changes.
 
-Snapshots and their manifests are added to. Nodes and edges are partitioned by kind. The words of all texts are kept by term
+Snapshots are added to. A manifest is kept in buckets by id with a hash of each: a snapshot writes the buckets whose hashes
+differ from the last one's and names the others where they are, and a difference of snapshots reads buckets with unlike
+hashes alone. Nodes and edges are partitioned by kind. The words of all texts are kept by term
 and changed by the commit that changes their nodes, so a search reads its own words alone. A job that dies before its
 commit leaves folders that no commit names; vacuum() removes those.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
 from lattica.operators.search import lengths, postings, search_stored, text_rows
-from lattica.operators.snapshot import content_hash, manifest
+from lattica.operators.snapshot import bucket_hashes, buckets_for, content_hash, diff, in_buckets, manifest
 from lattica.plans.cut import discard, staged
 from lattica.plans.log import CommitLog, Folder
 
@@ -313,9 +316,35 @@ class GraphStore:
         """Oldest first."""
         return self.read("snapshots").orderBy("seq")
 
+    def _manifest(self, snapshot_id: str) -> dict | None:
+        """{buckets, at: {bucket: [folder, hash]}}; None for snapshots of before there were buckets."""
+        name = f"{snapshot_id}.json"
+        return json.loads(self._folder.text(f"manifests/{name}")) if name in self._folder.names("manifests") else None
+
+    def _manifest_rows(self, snapshot_id: str, at: dict[str, list[str]]) -> DataFrame:
+        """The rows of some buckets, wherever they were written."""
+        if not at:
+            return self.spark.createDataFrame([], SNAPSHOT_OBJECTS)
+        rows = self.spark.read.schema(SNAPSHOT_OBJECTS).parquet(*[f"{self.path}/snapshot_objects/{folder}/bucket={b}" for b, (folder, _) in at.items()])
+        return rows.withColumn("snapshot_id", F.lit(snapshot_id))
+
     def snapshot_objects(self, snapshot_id: str) -> DataFrame:
-        """A snapshot's manifest has a folder of its own."""
-        return self._read_added("snapshot_objects", [x for x in self._added("snapshot_objects") if x == snapshot_id]).orderBy("qname", "node_id")
+        """A snapshot's manifest."""
+        found = self._manifest(snapshot_id)
+        if found is None:
+            return self._read_added("snapshot_objects", [x for x in self._added("snapshot_objects") if x == snapshot_id]).orderBy("qname", "node_id")
+        return self._manifest_rows(snapshot_id, found["at"]).orderBy("qname", "node_id")
+
+    def difference(self, before: str, after: str) -> DataFrame | None:
+        """(change, node_id, kind, qname) between two snapshots, by buckets whose hashes differ; None if one has no manifest."""
+        a, b = self._manifest(before), self._manifest(after)
+        if a is None or b is None or a["buckets"] != b["buckets"]:
+            rows = [self.snapshot_objects(x) for x in (before, after)]
+            return None if any(x.isEmpty() for x in rows) else diff(*rows)
+        if not a["at"] or not b["at"]:
+            return None
+        unlike = {k for k in {*a["at"], *b["at"]} if a["at"].get(k, [0, 0])[1] != b["at"].get(k, [0, 0])[1]}
+        return diff(*[self._manifest_rows(i, {k: x for k, x in m["at"].items() if k in unlike}) for i, m in ((before, a), (after, b))])
 
     def take_snapshot(self, engine: str, engine_version: str | None, fingerprint: str, taken_at: str | None = None, include_payload: bool = False) -> str:
         """Writes a snapshot and its manifest of visible nodes in one commit."""
@@ -328,7 +357,20 @@ class GraphStore:
         ident = uuid.uuid4().hex
         counts = {r.kind: r.n for r in nodes.where("NOT missing AND NOT excluded").groupBy("kind").agg(F.count("*").alias("n")).collect()}
         row = self.spark.createDataFrame([(ident, at, engine, engine_version, fingerprint, counts, None)], SNAPSHOTS)
-        return ident, {"snapshots": [self._put("snapshots", row)[0]], "snapshot_objects": [self._put("snapshot_objects", manifest(nodes, ident, include_payload), ident)[0]]}
+        last = self.last_snapshot()
+        old = (self._manifest(last.id) if last is not None else None) or {"buckets": 0, "at": {}}
+        buckets = buckets_for(sum(counts.values()), old["buckets"])
+        known = old["at"] if buckets == old["buckets"] else {}
+        rows = in_buckets(manifest(nodes, ident, include_payload), buckets)
+        found = {str(r.bucket): r.hash for r in bucket_hashes(rows).collect()}  # as many as there are buckets
+        fresh = [b for b, h in found.items() if known.get(b, [0, 0])[1] != h]
+        add = {"snapshots": [self._put("snapshots", row)[0]]}
+        if fresh:
+            rows = rows.where(F.col("bucket").isin([int(b) for b in fresh])).hint("rebalance", "bucket")
+            rows.write.partitionBy("bucket").parquet(f"{self.path}/snapshot_objects/{ident}")
+            add["snapshot_objects"] = [ident]
+        self._folder.make(f"manifests/{ident}.json", json.dumps({"buckets": buckets, "at": {b: [ident, h] if b in fresh else known[b] for b, h in found.items()}}))
+        return ident, add
 
     def last_snapshot(self, oldest: bool = False):
         """The newest snapshot; oldest gives the first one, which is what comparing with "the last" did at times."""

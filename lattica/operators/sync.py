@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.model import Scope
 from lattica.operators.normalize import normalize
-from lattica.operators.snapshot import delta, diff
+from lattica.operators.snapshot import delta
 from lattica.operators.store import GraphStore, put_over, without_ends
 from lattica.plans.cut import discard, staged
 
@@ -52,10 +52,8 @@ def diff_last(store: GraphStore) -> tuple[str, DataFrame | None]:
     two = store.read("snapshots").orderBy(F.desc("seq")).limit(2).collect()
     if len(two) < 2:
         return "too_few", None
-    after, before = (store.snapshot_objects(s.id) for s in two)
-    if before.isEmpty() or after.isEmpty():
-        return "no_manifest", None
-    return "ok", diff(before, after)
+    found = store.difference(two[1].id, two[0].id)
+    return ("no_manifest", None) if found is None else ("ok", found)
 
 
 def drift(store: GraphStore, fingerprint: str) -> bool:

@@ -16,7 +16,7 @@ from lattica.operators.store import SCHEMA_VERSION, GraphStore
 from lattica.plans import api
 from lattica.plans.cut import staged
 from lattica.plans.numbering import number_sorted
-from lattica.queries import data_graph, edge_rows, named, new_store, node_rows, order_objects, query, table
+from lattica.queries import ORACLE_SQL, data_graph, edge_rows, named, new_store, node_rows, order_objects, order_states, query, table
 from lattica.sources import mapping
 
 
@@ -356,6 +356,17 @@ def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0]
 
 
+@query(ORACLE_SQL["manifest_diff"])
+def stored_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What manifest_diff finds, between two snapshots of a store; buckets that are alike aren't read."""
+    before, after = order_states(spark, sf_dir)
+    store = new_store(spark)
+    store.upsert(before)
+    first = store.take_snapshot("test", None, "a")
+    store.apply(after, before.join(after, "id", "left_anti").select("id"))
+    return store.difference(first, store.take_snapshot("test", None, "b")).select("qname", "change")
+
+
 def view_objects(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
     """Orders as raw views over customers' tables; later some are gone, some new, some changed."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import store as stores
+from lattica.operators import snapshot, store as stores
 from lattica.operators.store import ConflictError, GraphStore
 from lattica.plans.log import CommitLog, Folder
 from lattica.queries import edge_rows, node_rows
@@ -148,3 +148,32 @@ def test_a_number_is_given_once(spark, tmp_path):
     for n in range(3, 50):
         log.put(n, {"a": n})
     assert [c["a"] for c in log.after(0)] == [1, 3, *range(3, 50)]  # many are read as a table
+
+
+def test_snapshots_share_buckets_and_differences_read_unlike_ones(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "s"))
+    store.upsert(some_nodes(spark, range(200)).withColumn("body_hash", F.lit("x")))
+    first = store.take_snapshot("t", None, "1")
+    again = store.take_snapshot("t", None, "2")
+    assert not (tmp_path / "s" / "snapshot_objects" / again).exists() and store.difference(first, again).count() == 0
+    store.apply(some_nodes(spark, [3, 999]).withColumn("body_hash", F.lit("y")), some_nodes(spark, [5]).select("id"))
+    third = store.take_snapshot("t", None, "3")
+    written = {x for x in os.listdir(tmp_path / "s" / "snapshot_objects" / third) if x.startswith("bucket=")}
+    assert 1 <= len(written) <= 3 < len([x for x in os.listdir(tmp_path / "s" / "snapshot_objects" / first) if x.startswith("bucket=")])
+    found = store.difference(first, third)
+    assert {(r.change, r.qname) for r in found.collect()} == {("changed", "s.n3"), ("added", "s.n999"), ("removed", "s.n5")}
+    assert {x.split("/")[-2] for x in found.inputFiles()} == written
+    assert [store.snapshot_objects(x).count() for x in (first, again, third)] == [200, 200, 200]
+    assert {r.snapshot_id for r in store.snapshot_objects(third).collect()} == {third}
+    assert store.vacuum(-1) >= 0 and store.snapshot_objects(again).count() == 200
+
+
+def test_manifests_get_more_buckets_as_they_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "BUCKET_ROWS", 4)
+    assert snapshot.buckets_for(10) == 16 and snapshot.buckets_for(300) == 128 and snapshot.buckets_for(200, 16) == 16 and snapshot.buckets_for(10**9) == 4096 == snapshot.buckets_for(10**12, 4096)
+    store = GraphStore(spark, str(tmp_path / "s"))
+    store.upsert(some_nodes(spark, range(20)))
+    first = store.take_snapshot("t", None, "1")
+    store.upsert(some_nodes(spark, range(400)))
+    second = store.take_snapshot("t", None, "2")
+    assert store.difference(first, second).groupBy("change").count().collect()[0][1] == 380
