@@ -1,7 +1,11 @@
-"""A table of hostile documents, with column names that operators use inside."""
+"""A table of hostile documents, with column names that operators use inside, and SQL run on such tables."""
 
 import random
 
+import duckdb
+
+from tests.test_queries import rows
+
 DOCS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, id LONG, w DOUBLE, rep STRING, rank INT, __x0 STRING"
 
 
@@ -18,3 +22,15 @@ def words(seed, n):
 
 def prose(seed, n):
     return " ".join(words(seed, n))
+
+
+def same_as_sql(spark, tmp_path, own, sql, **tables):
+    """The frame has the rows that DuckDB gives for the tables."""
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    theirs = con.execute(sql).df()
+    own = own.toPandas()
+    assert sorted(own.columns) == sorted(theirs.columns)
+    assert rows(own) == rows(theirs)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import capfilters, minhash, mixing, sharding, topk, words
 from lattica.plans.components import components
-from tests.llm.helpers import DOCS, hostile, prose
+from tests.llm.helpers import DOCS, hostile, prose, same_as_sql
 
 
 def classes_of(n, links):
@@ -377,6 +377,33 @@ def test_resharding(spark):
     assert sharding.reshard(docs.limit(0), F.lit(0), 3, 4)[0].count() == 0
 
 
+def test_sizes_are_near_equal_with_some_very_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, "y" * int(200 * rng.paretovariate(1.3))) for i in range(4000)] + [(9000, "z" * 60_000)]
+    sizes = Counter()
+    moved, _ = sharding.reshard(spark.createDataFrame(rows, "doc_id LONG, text STRING"), F.col("doc_id") % 8, 8, 10)
+    for r in moved.select("shard", "size").collect():
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 10
+    assert len(sizes) == 10 and max(sizes.values()) < 1.01 * mean and min(sizes.values()) > 0.99 * mean
+
+
+def test_ranges_do_not_change_the_result(spark):
+    docs = spark.createDataFrame([(i, prose(i, 5 + i % 40)) for i in range(300)] + [(7, "same")] * 200, "doc_id LONG, text STRING")
+    found = [sorted(map(tuple, sharding.reshard(docs.repartition(n), F.coalesce(F.col("doc_id") % 3, F.lit(0)), 3, 5, lines=lines, line_rows=n * 30)[0].collect()), key=repr) for lines, n in ((1, 2), (16, 3), (7, 90))]
+    assert found[0] == found[1] == found[2]
+
+
+def test_resharding_same_as_sql(spark, tmp_path):
+    texts = [(i, prose(i, 5 + i % 60)) for i in range(400)] + [(600, None), (601, ""), (602, prose(9, 4000)), (None, "x"), (None, None), *[(5, prose(5, 10))] * 150]
+    docs = spark.createDataFrame(hostile(texts), DOCS)
+    old = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(6))
+    for old_shards, shards in ((6, 9), (6, 4)):
+        moved, _ = sharding.reshard(docs, old, old_shards, shards, lines=8, line_rows=100)
+        own = moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+        same_as_sql(spark, tmp_path / str(shards), own, sharding.sql(old_shards, shards), documents=docs)
+
+
 def test_shards_that_neither_lose_nor_gain_are_left_alone(spark):
     docs = spark.createDataFrame([(i, "x" * 84) for i in range(60)], "doc_id LONG, text STRING")
     old = F.when(F.col("doc_id") < 20, 0).when(F.col("doc_id") < 30, 1).otherwise(2)  # 2,000, 1,000 and 3,000 bytes

@@ -7,13 +7,12 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import quality, resampling, vectorcodes
-from tests.llm.helpers import DOCS, hostile, prose
+from tests.llm.helpers import DOCS, hostile, prose, same_as_sql
 from tests.test_queries import rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -25,17 +24,6 @@ TEXTS = [
 TEXTS += [(20 + i, prose(50 + i, 25 + i)) for i in range(30)]
 
 
-def same_as_sql(spark, tmp_path, own, sql, **tables):
-    con = duckdb.connect()
-    for name, df in tables.items():
-        df.write.parquet(str(tmp_path / name))
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
-    theirs = con.execute(sql).df()
-    own = own.toPandas()
-    assert sorted(own.columns) == sorted(theirs.columns)
-    assert rows(own) == rows(theirs)
-
-
 def counts_plain(text, buckets, run):
     ws = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return len(ws), Counter(zlib.crc32(" ".join(ws[i : i + k]).encode()) % buckets for k in range(1, run + 1) for i in range(len(ws) - k + 1))
