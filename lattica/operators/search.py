@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import local_name
@@ -15,6 +15,8 @@ K1, B, LIMIT, DISTANCE, SUGGESTIONS = 1.2, 0.75, 20, 2, 5
 COLUMNS = ("qname", "comment", "body")
 #: Parts of a stored index, by term.
 BUCKETS = 64
+#: Leading letters whose deletions a name is found by.
+LEADING = 7
 
 #: Latin letters with marks and their bare letters, by decomposition.
 _MARKED = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1]
@@ -161,3 +163,37 @@ def suggestions(nodes: DataFrame, term: str, distance: int = DISTANCE, cap: int
     d = F.levenshtein(F.lower(local_name(F.col("qname"))), F.lit(term.lower()), distance)
     rows = nodes.where("NOT missing AND NOT excluded").select("id", "qname", d.alias("distance")).where("distance >= 0")
     return rows.orderBy("distance", "qname", "id").limit(cap)
+
+
+def deletions(word: Column, distance: int = DISTANCE) -> Column:
+    """What is left of a word's leading letters with up to so many of them deleted.
+
+    Words within an edit distance share one of these: each edit leaves at most one leading letter of either unmatched.
+    """
+    less = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    last = F.array(F.substring(word, 1, LEADING))
+    found = last
+    for _ in range(distance):
+        last = F.array_distinct(F.flatten(F.transform(last, less)))
+        found = F.array_union(found, last)
+    return found
+
+
+def typo_index(nodes: DataFrame) -> DataFrame:
+    """(bucket, part, id, qname): real nodes by the deletions of their local names; worth storing."""
+    real = nodes.where("NOT missing AND NOT excluded")
+    rows = real.select("id", "qname", F.explode(deletions(F.lower(local_name(F.col("qname"))))).alias("part"))
+    return rows.select(bucket_of(F.col("part")).alias("bucket"), "part", "id", "qname")
+
+
+def suggest(index_: DataFrame, terms: DataFrame, distance: int = DISTANCE, cap: int = SUGGESTIONS) -> DataFrame:
+    """(term, id, qname, distance): for each of terms (term) what suggestions() gives, from typo_index().
+
+    Terms meet names that share a deletion; distances are worked out for those alone. distance is at most DISTANCE.
+    """
+    asked = terms.select("term").where("term IS NOT NULL").distinct()
+    asked = asked.select("term", F.explode(deletions(F.lower("term"))).alias("part")).withColumn("bucket", bucket_of(F.col("part")))
+    met = asked.join(index_, ["bucket", "part"]).select("term", "id", "qname").distinct()
+    rows = met.withColumn("distance", F.levenshtein(F.lower(local_name(F.col("qname"))), F.lower("term"), distance)).where("distance >= 0")
+    nth = F.row_number().over(Window.partitionBy("term").orderBy("distance", "qname", "id"))
+    return rows.withColumn("__n", nth).where(F.col("__n") <= cap).drop("__n")

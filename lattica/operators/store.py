@@ -9,9 +9,9 @@ them and what is written stays in proportion to what changes.
 
 Snapshots are added to. A manifest is kept in buckets by id with a hash of each: a snapshot writes the buckets whose hashes
 differ from the last one's and names the others where they are, and a difference of snapshots reads buckets with unlike
-hashes alone. Nodes and edges are partitioned by kind. The words of all texts are kept by term
-and changed by the commit that changes their nodes, so a search reads its own words alone. A job that dies before its
-commit leaves folders that no commit names; vacuum() removes those.
+hashes alone. Nodes and edges are partitioned by kind. The words of all texts are kept by term, and names by what is left
+of them with letters deleted, changed by the commit that changes their nodes, so a search reads its own words alone. A job
+that dies before its commit leaves folders that no commit names; vacuum() removes those.
 """
 
 from __future__ import annotations
@@ -29,18 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
-from lattica.operators.search import lengths, postings, search_stored, text_rows
+from lattica.operators.search import bucket_of, deletions, lengths, postings, search_stored, suggest, text_rows, typo_index
 from lattica.operators.snapshot import bucket_hashes, buckets_for, content_hash, diff, in_buckets, manifest
 from lattica.plans.cut import discard, staged
 from lattica.plans.log import CommitLog, Folder
 
 SCHEMA_VERSION = 4
 _META = "key STRING, value STRING"
-_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT"}
-_PARTS = {"nodes": "kind", "edges": "kind", "postings": "bucket"}
+_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT", "typos": "bucket INT, part STRING, id STRING, qname STRING"}
+_PARTS = {"nodes": "kind", "edges": "kind", "postings": "bucket", "typos": "bucket"}
 _ADDED_TO = ("snapshots", "snapshot_objects")
 #: By table, its key and the scope of keys that commits tell as touched.
-_KEYS = {"nodes": ("id", "nodes"), "edges": ("id", "edges"), "postings": ("id", "nodes"), "lengths": ("id", "nodes"), "meta": ("key", "meta")}
+_KEYS = {"nodes": ("id", "nodes"), "edges": ("id", "edges"), "postings": ("id", "nodes"), "lengths": ("id", "nodes"), "typos": ("id", "nodes"), "meta": ("key", "meta")}
 #: Keys by scope. ends are nodes that edges were put at, gone those that were deleted with their edges.
 _TOUCHED = "scope STRING, key STRING"
 #: Scopes that mustn't meet in two changes of which neither saw the other.
@@ -93,9 +93,9 @@ class GraphStore:
         for r in sorted(old, key=lambda r: r.version):
             folders[r.table] = [*(folders.get(r.table, []) if r.table in _ADDED_TO else []), r.folder]
         base = {t: (x[-1], self._folder.size(f"{t}/{x[-1]}")) for t, x in folders.items() if t not in _ADDED_TO}
-        if newest < 3 and "nodes" in base:  # no index of words was kept
-            rows = text_rows(self._rows("nodes", base["nodes"][0]))
-            base |= {"postings": self._put("postings", postings(rows)), "lengths": self._put("lengths", lengths(rows))}
+        if "nodes" in base:  # no index of names was kept, nor of words by the oldest
+            nodes = self._rows("nodes", base["nodes"][0])
+            base |= {"typos": self._put("typos", typo_index(nodes))} | (self._words(nodes) if newest < 3 else {})
         self._commit(base=base, add={t: folders[t] for t in _ADDED_TO if t in folders}, whole=True)
 
     def refresh(self) -> None:
@@ -233,6 +233,15 @@ class GraphStore:
         """The page of text_search.search(), from the words that are kept."""
         return search_stored(self.read("postings"), self.read("lengths"), query, **options)
 
+    def suggest(self, terms: Sequence[str] | DataFrame, **options) -> DataFrame:
+        """(term, id, qname, distance): the nearest real nodes of each term; of few terms, only their parts of the index are read."""
+        index_ = self.read("typos")
+        if not isinstance(terms, DataFrame):
+            terms = self.spark.createDataFrame([(t,) for t in terms], "term STRING")
+            parts = terms.select(F.explode(deletions(F.lower("term"))).alias("part")).select(bucket_of(F.col("part")).alias("b")).distinct()
+            index_ = index_.where(F.col("bucket").isin([r.b for r in parts.collect()]))
+        return suggest(index_, terms, **options)
+
     # Writing
 
     def _put(self, table: str, df: DataFrame, folder: str | None = None) -> tuple[str, int]:
@@ -243,10 +252,13 @@ class GraphStore:
         (rows.write.partitionBy(part) if part else rows.write).parquet(f"{self.path}/{table}/{folder}")
         return folder, self._folder.size(f"{table}/{folder}")
 
-    def _with_words(self, fresh: DataFrame) -> dict[str, tuple[str, int]]:
-        """Nodes, and the words of their texts."""
+    def _words(self, fresh: DataFrame) -> dict[str, tuple[str, int]]:
         rows = text_rows(fresh)
-        return {"nodes": self._put("nodes", fresh), "postings": self._put("postings", postings(rows)), "lengths": self._put("lengths", lengths(rows))}
+        return {"postings": self._put("postings", postings(rows)), "lengths": self._put("lengths", lengths(rows))}
+
+    def _with_words(self, fresh: DataFrame) -> dict[str, tuple[str, int]]:
+        """Nodes, the words of their texts, and what their names are found by in spite of typos."""
+        return {"nodes": self._put("nodes", fresh), "typos": self._put("typos", typo_index(fresh)), **self._words(fresh)}
 
     def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """Rows replace those of the same id; of several in one call one is taken, of edges the last by constraint name."""

@@ -213,7 +213,7 @@ class GraphApi:
         rows = hits.join(self.store.nodes.select("id", "kind", "qname"), "id").orderBy(F.desc("score"), "id").collect()
         if rows:
             return present.search([r.asDict() for r in rows], rows[0].total, offset, detail)
-        near = text_search.suggestions(self.store.nodes, query).join(self.store.nodes.select("id", "kind"), "id").orderBy("distance", "qname", "id").collect()
+        near = self.store.suggest([query]).join(self.store.nodes.select("id", "kind"), "id").orderBy("distance", "qname", "id").collect()
         return present.search([{**r.asDict(), "matched": "qname"} for r in near], len(near), 0, detail)
 
     def status(self, fingerprint: str | None = None, detail: str = "normal", scope: Scope = Scope()) -> str:

@@ -612,6 +612,20 @@ def typo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_search.suggestions(nodes, term).select("qname", "distance")
 
 
+@query("""
+WITH q AS (SELECT DISTINCT replace(lower(p_name), 'e', 'i') AS term FROM part JOIN supplier ON p_partkey = s_suppkey),
+n AS (SELECT lower(p_name) AS name, sha1('table part.' || lower(p_name)) AS id FROM part),
+d AS (SELECT DISTINCT term, 'part.' || name AS qname, id, levenshtein(name, term)::INT AS distance FROM q JOIN n ON abs(length(name) - length(term)) <= 2 WHERE levenshtein(name, term) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY distance, qname, id) AS n FROM d)
+SELECT term, qname, distance FROM r WHERE n <= 5""")
+def typos_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names near many misspelt ones at once, from the index that a store keeps."""
+    p, store = table(spark, sf_dir, "part"), new_store(spark)
+    store.upsert(node_rows(p, "table", F.concat(F.lit("part."), "p_name")))
+    terms = p.join(table(spark, sf_dir, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left_semi").select(F.replace(F.lower("p_name"), F.lit("e"), F.lit("i")).alias("term"))
+    return store.suggest(terms).select("term", "qname", "distance")
+
+
 def _tokens_sql(column: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(strip_accents({column})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
