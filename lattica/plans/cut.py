@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 
 
+@cache
+def _stand_in() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
 
@@ -21,8 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
-        at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _stand_in()
     return at.rstrip("/")
 
 
@@ -60,6 +67,19 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     return _delete(spark, gone)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """What is staged within is deleted at its end, so results are to be written or collected before.
+
+    A result read later would miss its rows; that is why no operator deletes what its result still rests on.
+    """
+    since = mark()
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def _delete(spark: SparkSession, gone: list[str]) -> int:
     jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), 0
     for at in gone:
