@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.llm import capfilters, minhash, mixing, sharding, topk, words
+from lattica.llm.queries import ORACLE_SQL
 from lattica.plans.components import components
 from tests.llm.helpers import DOCS, hostile, prose, same_as_sql
 
@@ -259,6 +260,23 @@ def at_cosine(rng, x, cosine):
     return cosine * x + math.sqrt(1 - cosine**2) * capfilters.unit_vectors(y)
 
 
+def test_planted_embeddings_same_as_sql(spark, tmp_path):
+    """Chains, dense groups, repeated vectors and pairs on either side of the threshold."""
+    rng = np.random.default_rng(21)
+    v = rng.standard_normal((900, 24))
+    v[100:150] = at_cosine(rng, v[:50], 0.93)
+    v[150:200] = at_cosine(rng, v[:50], 0.87)
+    v[200:260] = at_cosine(rng, np.repeat(v[60:61], 60, 0), 0.97)
+    for i in range(300, 312):
+        v[i + 1] = at_cosine(rng, v[i : i + 1], 0.96)[0]
+    rows = [(int(i), [float(np.float32(x)) for x in r], 1) for i, r in enumerate(v)]
+    rows += [(5, rows[5][1], 2), (2000, [x * 3.0 for x in rows[7][1]], 0), (2001, [0.0] * 24, 0), (2002, None, 0), (2003, [None] * 24, 0), (2004, [float("nan")] * 24, 0), (2005, rows[9][1][:20], 0)]
+    table = spark.createDataFrame(rows[:900] + rows[901:], "vec_id LONG, embedding ARRAY<FLOAT>, label INT")
+    found = capfilters.near_embeddings(table, 0.9)
+    same_as_sql(spark, tmp_path, found, ORACLE_SQL["op2_embedding_dedup"], embeddings=table)
+    assert found.where("n_links > 0").count() > 150
+
+
 def test_planted_embedding_pairs_against_all_pairs(spark):
     rng = np.random.default_rng(11)
     v = rng.standard_normal((3000, 64))
