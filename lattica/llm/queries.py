@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "op2_embedding_dedup": """
 WITH RECURSIVE e AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL
-), ok AS (
+), ok AS MATERIALIZED (
   SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), pairs AS (
