@@ -101,7 +101,7 @@ class GraphApi:
 
     def _names(self, ids: Sequence[str]) -> dict[str, str]:
         want = self.store.spark.createDataFrame([(i,) for i in set(ids)], "id STRING")
-        return {r.id: r.qname for r in self.store.nodes.join(F.broadcast(want), "id").select("id", "qname").collect()}  # an answer's ids
+        return {r.id: r.qname for r in self.store.nodes.join(want, "id").select("id", "qname").collect()}
 
     def groups(self, node_id: str) -> present.Groups:
         near = graph.neighbors(self.store.nodes, self.store.edges, node_id).select("edge_kind", "direction", "edge_id", F.col("id").alias("other"))

@@ -57,6 +57,15 @@ def test_without_the_optional_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
     n, left = done.stdout.split(" ", 1)
     assert int(n) >= 40 and left.strip() == "[]"
+    if os.path.isdir(DATA):
+        run = f"""
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+print('rows', [e.queries()[q](spark, {DATA!r}).count() for q in ('node_ids', 'fk_edges', 'upsert')], e.entry(spark).count())
+"""
+        done = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+        assert done.returncode == 0 and "rows [" in done.stdout, done.stderr
 
 
 def test_nothing_else_imports_the_optional_subpackage():
