@@ -39,7 +39,7 @@ from lattica.plans.cut import discard
 
 THRESHOLD, BANDS, ROWS = 0.8, 12, 4
 #: Rounds in which texts that failed their bucket's first meet the first of those that they share rare items with.
-ROUNDS = 2
+ROUNDS = 1
 #: Places of the table of document frequencies, a power of two; parts that it is summed in, and tables summed at once.
 PLACES, PARTS, FAN_IN = 1 << 21, 64, 64
 #: Texts on a side of a tile, in expectation, and shared shingles that are compared at once.
@@ -66,6 +66,7 @@ class Weights:
         mean = counts.sum() / len(counts)
         df = np.maximum(1, counts - math.floor(mean + 3 * math.sqrt(mean)))
         self.eighths = np.rint(8 * np.log2(df)).clip(0, 255).astype(np.uint8)
+        self.rarity = np.rint(16 * np.log2(counts + 1.0)).clip(0, 255).astype(np.uint8)  # with all that a place counts
         self.idf = idf(np.exp2(np.arange(256) / 8), n)
 
     def of(self, s: Shingles) -> np.ndarray:
@@ -260,11 +261,11 @@ def similarities(a: Shingles, b: Shingles, weights: Weights) -> np.ndarray:
 def _prefix(s: Shingles, weights: Weights, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(text, item): the items by which a text meets every one that is similar to it.
 
-    Items go by falling weight, so rare ones first, then by hash, in all texts alike. Similar texts share items of a
-    threshold's part of either's weight; so the first item that they share has at most the rest of the weight before it.
+    Items go by what their places count, so rare ones first, then by hash, in all texts alike. Similar texts share items of
+    a threshold's part of either's weight; so the first item that they share has at most the rest of the weight before it.
     """
     text, item, w = _items(s, weights)
-    order = np.lexsort((item, -w, text))
+    order = np.lexsort((item, np.repeat(weights.rarity[places_of(s.hashes)], s.times), text))
     text, item, w = text[order], item[order], w[order]
     whole = np.bincount(text, w, len(s.edges) - 1)
     before = np.cumsum(w) - w - (np.cumsum(whole) - whole)[text]
@@ -284,8 +285,8 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
 
     Such buckets are of texts that share a passage, so their texts are dealt anew, by the rare items that similar ones must
     have in common; a passage of many texts isn't among them. Sets that are of one class already are left out. In each of
-    the others all are compared with the first, in a second round with the next; what is of several classes after that,
-    which is little, is compared as a whole in tiles.
+    the others all are compared with the first. Sets that are of several classes after that are compared in tiles: as one
+    where they and what they overlap with have few texts, so that these aren't met in each set again, and else each by itself.
     """
     some = buckets.join(failed.select("band", "h").distinct(), ["band", "h"], "left_semi").select("rep", "w").distinct()
     near = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("c"))  # enough to leave out most of what is linked
@@ -314,15 +315,23 @@ def _failed_links(buckets: DataFrame, failed: DataFrame, texts: DataFrame, links
     left = left.drop("c").join(classes, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     sets = _open_sets(left)
     if not sets.isEmpty():
-        found = found.unionByName(_tiled_links(left.join(sets.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "token"), texts, weights, threshold))
+        left = staged(left.join(sets, "token").select("token", "n", "rep", "c"))
+        first = left.groupBy("token").agg(F.min("rep").alias("first"))
+        family = components(left.join(first, "token").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+        size = family.groupBy("component").agg(F.count("*").alias("size"))
+        family = staged(family.join(size, "component").select(F.col("node").alias("rep"), "component", "size"))
+        rows = left.join(family, "rep")
+        whole = rows.where(F.col("size") <= tile).select(F.lit(True).alias("whole"), F.col("component").alias("token"), "rep", "c", F.lit(1).alias("parts")).distinct()
+        each = rows.where(F.col("size") > tile).select(F.lit(False).alias("whole"), "token", "rep", "c", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+        found = found.unionByName(_tiled_links(whole.unionByName(each), texts, weights, threshold))
     discard(members, met)
     return found
 
 
 def _tiled_links(rows: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """Links between similar texts of a token (token, rep, c, parts) and of different classes, two parts at a time."""
+    """Links between similar texts of a set (whole, token, rep, c, parts) and of different classes, two parts at a time."""
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = rows.select("token", "rep", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(texts, F.col("rep") == F.col("id")).drop("id")
+    dealt = rows.select("whole", "token", "rep", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(texts, F.col("rep") == F.col("id")).drop("id")
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
@@ -334,7 +343,7 @@ def _tiled_links(rows: DataFrame, texts: DataFrame, weights: Weights, threshold:
         u, v = spanning(ok, x["rep"].to_numpy(), y["rep"].to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"]) if len(u) else None
 
-    return staged(map_groups(dealt, ["token", "i", "j"], compare, "a long, b long"))
+    return staged(map_groups(dealt, ["whole", "token", "i", "j"], compare, "a long, b long"))
 
 
 def _key() -> Column:

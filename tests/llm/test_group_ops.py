@@ -150,7 +150,7 @@ def test_a_bucket_that_a_passage_fills_is_settled_without_tiles(spark, monkeypat
     assert seen[1] < 3 * max(1, seen[0])  # all pairs would be four times as many
 
 
-def test_what_two_rounds_leave_is_compared_in_tiles(spark):
+def test_what_the_first_round_leaves_is_compared_in_tiles(spark):
     base = prose(91, 200).split()
     rows = []
     for i in range(12):  # a ring of versions, each near the next ones only
