@@ -68,6 +68,11 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
     small_batches(table.sparkSession)
     rows = vectors(table.withColumn("__is_query", F.coalesce(is_query, F.lit(False))), id_col, vector_col, "__is_query")
     rows = staged(rows.withColumn("dim", F.size("v")))
+    # Floored components are shuffled in as few bytes as they need; beyond 32 bits they stay what they are.
+    most = (rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0) * abs(scale) + 1
+    kind = "short" if most < 1 << 15 else "int" if most < 1 << 31 else None
+    if kind is not None:
+        rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast(kind)))
     sizes = {r.dim: (-(-r.q // queries), -(-r.n // shard)) for r in rows.groupBy("dim").agg(F.sum(F.col("__is_query").cast("int")).alias("q"), F.count("*").alias("n")).collect()}
     if not any(q for q, _ in sizes.values()):
         return rows.where(F.lit(False)).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
@@ -81,7 +86,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
         ask, have = t.filter(t["q"]), t.filter(pc.invert(t["q"])).sort_by("id")
         if not len(ask) or not len(have):
             return None
-        q, c = (np.floor(np.clip(matrix(x["v"]) * scale, -1.7e308, 1.7e308)) for x in (ask, have))
+        q, c = (matrix(x["v"]).astype(np.float64) if kind is not None else np.floor(np.clip(matrix(x["v"]) * scale, -1.7e308, 1.7e308)) for x in (ask, have))
         ids, own, keys = have["id"].to_numpy(), ask["id"].to_numpy(), ask["key"].to_numpy()
         out: list[tuple] = []
         for at in range(0, len(own), 512):
