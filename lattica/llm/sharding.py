@@ -21,7 +21,9 @@ from lattica.plans.cut import discard
 #: Ranges that an old shard's order is cut into, at least, and rows of one, in expectation at most. They don't change the result.
 LINES, LINE_ROWS = 256, 100_000
 #: A row of this part of a new shard is large.
-LARGE = 256
+LARGE = 64
+#: Entries of a table that is sent to all executors; larger ones are joined by a shuffle.
+SENT = 1 << 18
 _HASH_BITS = 60
 
 
@@ -76,8 +78,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
     The rows of a shard that loses or gains some are written into a folder of its own, and come from there; the others are
     left where they are. Rows are shuffled once, by ranges of their order, so that a task writes for few shards. Equal rows
     have one hash; where those are many, they are dealt to ranges of their own, in any order, as they can't be told apart.
-    Large rows are at most LARGE x shards; what is joined to the rows has an entry for each range, and which join that is
-    goes by its size.
+    Large rows are at most LARGE x shards; what is joined to the rows has an entry for each of those or for each range, and is
+    sent to executors only up to SENT entries.
     """
     text = F.col(text_col).cast("string")
     whole = F.coalesce(text, F.lit(""))
@@ -93,17 +95,17 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
         supply[r.old] = r["size"] - held.get(r.old, 0)
     flow = cheapest_flow(supply, [c - held.get(j, 0) for j, c in enumerate(room)], lambda i, j: int(i != j))
     affected = sorted({x for pair in flow if pair[0] != pair[1] for x in pair})
-    key = ["old", "line", "sub", "part"]
-    rest = _ranged(rows.join(fixed.select("nr"), "nr", "left_anti"), lines, max(line_rows // 25, 4 * sum(r.n for r in found) // max(1, old_shards * lines)))
+    stays = _sent(fixed.select("nr", "nth"), LARGE * shards)
+    rest, key = _ranged(rows.join(stays, "nr", "left_anti"), lines, max(line_rows // 25, 4 * sum(r.n for r in found) // max(1, old_shards * lines)))
     before = rest.groupBy(*key).agg(F.sum("size").alias("s"))
-    before = staged(before.withColumn("before", F.sum("s").over(Window.partitionBy("old").orderBy("line", "sub", "part")) - F.col("s")).drop("s"))
+    before = staged(before.withColumn("before", F.sum("s").over(Window.partitionBy("old").orderBy(*key[1:])) - F.col("s")).drop("s"))
     along = Window.partitionBy(*key).orderBy("h", "__id", "crc", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = rest.repartitionByRange(*key).withColumn("upto", F.sum("size").over(along)).join(before, key)
+    dealt = rest.repartitionByRange(*key).withColumn("upto", F.sum("size").over(along)).join(_sent(before, before.count()), key)
     goes = rows.sparkSession.createDataFrame(_pieces(flow), "old int, low long, high long, shard int")
     placed = dealt.withColumn("middle", F.col("before") + F.col("upto") - F.floor(F.col("size") / 2) - 1).join(F.broadcast(goes), "old").where("low <= middle AND middle < high")  # goes: some entries a shard
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "shard").orderBy("middle", "nr")) - 1)
     columns = ["__id", "size", "crc", *key, "nth", *own, "shard"]
-    home = rows.join(fixed.select("nr", "nth"), "nr").select("*", F.lit(-1).alias("line"), F.lit(0).alias("sub"), F.lit(0).alias("part"), F.col("old").alias("shard"))
+    home = rows.join(stays, "nr").select("*", F.lit(-1).alias("line"), *[F.lit(0).alias(c) for c in key[2:]], F.col("old").alias("shard"))
     placed = placed.select(columns).unionByName(home.select(columns))
     rewritten = staged(placed.where(F.col("shard").isin(affected)), "shard", compression="zstd")
     if set(affected) >= set(range(shards)):
@@ -112,11 +114,17 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
         rewritten = rewritten.unionByName(placed.where(~F.col("shard").isin(affected)))
     offset = rewritten.groupBy("shard", *key).agg(F.count("*").alias("n"))
     offset = offset.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy(*key)) - F.col("n")).drop("n")
-    out = rewritten.join(staged(offset), ["shard", *key])
+    offset = staged(offset)
+    out = rewritten.join(_sent(offset, offset.count()), ["shard", *key])
     slot = (F.col("offset") + F.col("nth")).cast("long").alias("slot")
     return out.select(F.col("__id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", slot, F.col("__text").alias(text_col), *[F.col(f"__x{i}").alias(c) for i, c in enumerate(keep)]), affected
 
 
+def _sent(df: DataFrame, entries: int) -> DataFrame:
+    """df, of that many rows at most, for a join with all rows: sent to executors if it is small."""
+    return F.broadcast(df) if entries <= SENT else df
+
+
 def _fixed(rows: DataFrame, total: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
     """((nr, nth) of the large rows that stay, largest first, as long as they fit a shard's capacity; their bytes by shard)."""
     least, over = divmod(total, shards)
@@ -128,19 +136,20 @@ def _fixed(rows: DataFrame, total: int, shards: int) -> tuple[DataFrame, dict[in
     return fixed, {r.old: r["size"] for r in fixed.groupBy("old").agg(F.sum("size").alias("size")).collect()}
 
 
-def _ranged(rows: DataFrame, lines: int, usual: int) -> DataFrame:
-    """rows with their range (line, sub, part) in the order of h; rows of one h that are more than usual have parts of their own."""
+def _ranged(rows: DataFrame, lines: int, usual: int) -> tuple[DataFrame, list[str]]:
+    """rows with their range in the order of h, and the columns that tell it; rows of one h that are more than usual have parts of their own."""
     rows = rows.withColumn("line", F.shiftright(F.shiftright("h", _HASH_BITS // 2) * lines, _HASH_BITS // 2).cast("int"))
     full = rows.groupBy("old", "line").agg(F.count("*").alias("n")).where(F.col("n") > usual).select("old", "line")
     heavy = rows.join(full, ["old", "line"], "left_semi").groupBy("old", "line", "h").agg(F.count("*").alias("n")).where(F.col("n") > usual)
     heavy = staged(heavy.groupBy("old", "line").agg(F.collect_list(F.struct("h", F.ceil(F.col("n") / usual).alias("parts"))).alias("heavy")))  # few: each has a large part of a range
     if heavy.isEmpty():
-        return rows.select("*", F.lit(0).alias("sub"), F.lit(0).alias("part"))
+        return rows, ["old", "line"]  # constants beside them would be folded away in some places and not in others
     rows = rows.join(heavy, ["old", "line"], "left")
     lower, same = F.filter("heavy", lambda x: x.h < F.col("h")), F.filter("heavy", lambda x: x.h == F.col("h"))
     sub = F.coalesce(2 * F.size(lower) + F.size(same), F.lit(0)).cast("int")
     part = F.coalesce(F.pmod(F.xxhash64("nr"), F.get(same, F.lit(0)).getField("parts")), F.lit(0)).cast("int")
-    return rows.withColumn("sub", F.when(F.col("heavy").isNull(), 0).otherwise(sub)).withColumn("part", F.when(F.col("heavy").isNull(), 0).otherwise(part)).drop("heavy")
+    rows = rows.withColumn("sub", F.when(F.col("heavy").isNull(), 0).otherwise(sub)).withColumn("part", F.when(F.col("heavy").isNull(), 0).otherwise(part))
+    return rows.drop("heavy"), ["old", "line", "sub", "part"]
 
 
 def _pieces(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
