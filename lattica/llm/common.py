@@ -19,6 +19,8 @@ __all__ = ["arrow_schema", "map_batches", "map_groups", "slices", "small_batches
 
 #: Bytes that Spark hands to a worker at once, and rows and bytes of a slice that an operator works on; one row is a slice, however long.
 BATCH_BYTES, SLICE_ROWS, SLICE_BYTES = 4 << 20, 128, 1 << 20
+#: Rows of a table of texts or arrays that a scan decodes at once; Spark's own 4,096 are gigabytes where rows are large.
+SCAN_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch. All operators set the one value, so it doesn't matter when a plan runs."""
+    """Bounds the bytes of an Arrow batch, and the rows of a scan's. All operators set the same values, so it doesn't matter when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,8 @@ from lattica.plans.cut import discard
 from lattica.plans.numbering import with_row_numbers
 
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
+#: Documents of a block at most. A scan decodes SCAN_ROWS blocks at once, so they are kept small.
+BLOCK_ROWS = 32
 #: Bytes of a text whose words are in memory at once; a longer word is held whole.
 WINDOW = 1 << 20
 _TWO_32 = 4_294_967_296.0
@@ -79,7 +81,7 @@ def blocks(docs: DataFrame, buckets: int = BUCKETS, run: int = RUN, id_col: str
 
     text = text_column(text_col)
     own = F.col(id_col).cast("long")
-    return staged(map_batches(docs.select(own.alias("id"), F.xxhash64(own, text).alias("key"), text.alias("text")), pack, _BLOCK), compression="zstd")
+    return staged(map_batches(docs.select(own.alias("id"), F.xxhash64(own, text).alias("key"), text.alias("text")), pack, _BLOCK, BLOCK_ROWS), compression="zstd")
 
 
 def _matrix(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

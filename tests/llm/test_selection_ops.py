@@ -212,3 +212,9 @@ def test_vector_codes_of_nothing(spark):
 def test_vector_codes_same_as_sql(spark, tmp_path):
     table = embeddings(spark, BAD + [(10 + i % 300 if i % 50 else None, v, [1, 2, None][i % 3]) for i, v in enumerate(vectors(9, 320, 8))])
     same_as_sql(spark, tmp_path, vectorcodes.compress(table)[0], vectorcodes.sql(), embeddings=table)
+
+
+def test_what_a_scan_of_blocks_decodes_at_once_is_bounded(spark):
+    docs = spark.createDataFrame([(i, prose(i, 3000)) for i in range(128)], "doc_id LONG, text STRING").coalesce(1)
+    largest = resampling.blocks(docs).agg(F.max(8 * F.size("buckets"))).first()[0]
+    assert largest * int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) < 256 << 20
