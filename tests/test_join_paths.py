@@ -50,3 +50,22 @@ def test_a_long_chain_is_met_in_the_middle(spark):
     assert [(name[r.a], name[r.b]) for r in found.hops.where(F.col("start") == at["s.t4"]).orderBy("hop").collect()] == [(f"s.t{i}", f"s.t{i - 1}") for i in (4, 3, 2, 1)]
     assert [(name[r.start], name[r.end]) for r in found.apart.collect()] == [("s.t3", "s.t11")]
     assert graph.join_paths(nodes, edges, asked.limit(0)).hops.collect() == []
+
+
+def test_starts_around_a_hub_dont_each_meet_the_others(spark, monkeypatch):
+    n = 60
+    pairs = spark.createDataFrame([*[(i, 100) for i in range(n)], *[(100 + i, 101 + i) for i in range(4)], (200, 201)], "a INT, b INT")
+    nodes = node_rows(pairs.selectExpr("explode(array(a, b)) AS k").distinct(), "table", F.concat(F.lit("s.t"), "k"))
+    edges = staged(edge_rows(pairs, "references", ("table", F.concat(F.lit("s.t"), "a")), ("table", F.concat(F.lit("s.t"), "b")), aggregate=F.lit(True)))
+    at = {r.qname: r.id for r in nodes.collect()}
+    sizes = []
+
+    def counted(df):
+        out = staged(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "staged", counted)
+    found = graph.join_paths(nodes, edges, spark.createDataFrame([(at[f"s.t{i}"], at[end]) for i in range(n) for end in ("s.t104", "s.t200")], "start STRING, end STRING"))
+    assert found.hops.count() == 5 * n and found.apart.count() == n
+    assert max(sizes) <= 6 * n
