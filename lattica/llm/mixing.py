@@ -46,11 +46,20 @@ def tokens_of(texts: pa.Array, vocabulary: tuple[str, str]) -> list[np.ndarray]:
     if vocabulary not in _loaded:
         with open(vocabulary[0], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _loaded[vocabulary] = tiktoken.Encoding("mixing", pat_str=vocabulary[1], mergeable_ranks=ranks, special_tokens={})
+        # The library looks for special tokens first; without any it stops at every place of a text. This one is never allowed.
+        _loaded[vocabulary] = tiktoken.Encoding("mixing", pat_str=vocabulary[1], mergeable_ranks=ranks, special_tokens={"\0none\0": max(ranks.values()) + 1})
     encode = _loaded[vocabulary].encode_to_numpy
     return [np.asarray(encode(t, disallowed_special=()), np.int64) for t in texts.to_pylist()]
 
 
+def _distinct(ids: np.ndarray) -> int:
+    """How many different ids there are; small ones are sorted by their digits."""
+    if not len(ids):
+        return 0
+    x = np.sort(ids.astype(np.uint16) if int(ids.max()) < 1 << 16 else ids, kind="stable")
+    return 1 + int(np.count_nonzero(x[1:] != x[:-1]))
+
+
 def style(texts: pa.Array, ids: list[np.ndarray]) -> np.ndarray:
     """Of each text: shares of non-letters, digits, upper case and repeated tokens, and the logarithm of its length."""
     out = []
@@ -58,7 +67,7 @@ def style(texts: pa.Array, ids: list[np.ndarray]) -> np.ndarray:
         b = np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) if t else np.zeros(256)
         n = max(1, int(b.sum()))
         letters = b[65:91].sum() + b[97:123].sum() + b[128:].sum() + b[32] + b[10]
-        out.append((1 - letters / n, b[48:58].sum() / n, b[65:91].sum() / n, 1 - len(np.unique(x)) / max(1, len(x)), np.log1p(len(x)) / 10))
+        out.append((1 - letters / n, b[48:58].sum() / n, b[65:91].sum() / n, 1 - _distinct(x) / max(1, len(x)), np.log1p(len(x)) / 10))
     return np.array(out, float).reshape(-1, 5)
 
 
@@ -78,16 +87,16 @@ class Classifier:
     """Softmax regression on evidence of tokens (mean and greatest log-likelihoods by domain) and style."""
 
     vocabulary: tuple[str, str]
-    words: np.ndarray  # (buckets, domains)
+    words: np.ndarray  # (buckets, domains): log-likelihoods less their mean over domains
     weights: np.ndarray  # (features, domains)
     centre: np.ndarray
     spread: np.ndarray
 
-    def raw(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Features, and the number of tokens."""
-        ids = tokens_of(texts, self.vocabulary)
+    def raw(self, texts: pa.Array, ids: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Features, and the number of tokens; ids are the texts' tokens, if they are known."""
+        ids = tokens_of(texts, self.vocabulary) if ids is None else ids
         at, count = _places(ids)
-        odds = (self.words - self.words.mean(1, keepdims=True))[at]
+        odds = self.words.take(at, axis=0)
         some = count > 0
         first = np.cumsum(count) - count
         mean, peak = np.zeros((2, len(ids), odds.shape[1]))
@@ -106,32 +115,44 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labels: DataFrame, vocabulary: tuple[str, str], domains: int = len(DOMAINS), labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fitted on at most `labelled` rows of labels (id, domain), null ones left out; without any, posteriors are even.
 
-    Of an id with several labels the smallest domain counts. Token counts are summed by task and bucket, a table of fixed
-    size; the features of the labelled documents, as many rows as the bound says, go to the driver.
+    Of an id with several labels the smallest domain counts. The labelled documents' tokens are worked out once and written
+    with them. Token counts are summed by task and bucket, a table of fixed size; the features of the labelled documents, as
+    many rows as the bound says, go to the driver.
     """
     known = labels.select(F.col("id").cast("long").alias("__id"), F.col("domain").alias("__d")).where("__id IS NOT NULL AND __d IS NOT NULL")
     chosen = known.groupBy("__id").agg(F.min("__d").alias("__d")).orderBy(F.xxhash64("__id"), "__id").limit(labelled)
-    rows = staged(docs.select(F.col(id_col).cast("long").alias("__id"), text_column(text_col).alias("__text")).join(F.broadcast(staged(chosen)), "__id").select("__d", "__text"))
+    found = staged(docs.select(F.col(id_col).cast("long").alias("__id"), text_column(text_col).alias("__text")).join(F.broadcast(staged(chosen)), "__id").select("__d", "__text"))
+
+    def tokenise(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = pa.array([x.astype("<u4").tobytes() for x in tokens_of(batch.column("__text"), vocabulary)], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, "__ids"])
+
+    def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("__ids").to_pylist()]
+
+    rows = staged(map_batches(found, tokenise, "__d int, __text string, __ids binary"))
+    discard(found)
     empty = Classifier(vocabulary, np.zeros((BUCKETS, domains)), np.zeros((2 * domains + 6, domains)), np.zeros(2 * domains + 5), np.ones(2 * domains + 5))
 
     def count(batches):
         total = np.zeros(domains * BUCKETS, np.int64)
         for batch in slices(batches):
-            at, n = _places(tokens_of(batch.column("__text"), vocabulary))
+            at, n = _places(unpacked(batch))
             total += np.bincount(np.repeat(batch.column("__d").to_numpy(), n) * BUCKETS + at, minlength=len(total))
         d, b = np.nonzero(total.reshape(domains, BUCKETS))
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(b, pa.int32()), pa.array(total[d * BUCKETS + b])], names=["d", "b", "n"])
 
-    counted = rows.mapInArrow(count, "d int, b int, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("__d", "__ids").mapInArrow(count, "d int, b int, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()
     if not counted:
         return empty
     total = np.full((BUCKETS, domains), 0.1)
     for r in counted:
         total[r.b, r.d] += r.n
-    empty.words = np.log(total / total.sum(0))
+    words = np.log(total / total.sum(0))
+    empty.words = words - words.mean(1, keepdims=True)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, _ = empty.raw(batch.column("__text"))
+        x, _ = empty.raw(batch.column("__text"), unpacked(batch))
         return pa.RecordBatch.from_arrays([batch.column("__d"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["d", "x"])
 
     table = sorted((r.d, tuple(r.x)) for r in map_batches(rows, features, "d int, x array<double>").collect())

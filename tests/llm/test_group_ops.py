@@ -463,6 +463,21 @@ def test_mixing_meets_targets(spark):
     assert np.abs(even[0].misfit).max() > 0.1  # documents that are all alike can't be mixed to that
 
 
+def test_features_from_known_tokens():
+    """Tokens are worked out once; a text that holds the string put in for a special token is ordinary text."""
+    texts = pa.array(["a b\0none\0c", "", prose(3, 60), "é 12 12 !!"])
+    ids = mixing.tokens_of(texts, VOCABULARY)
+    lib = mixing._loaded[VOCABULARY]
+    assert [x.tolist() for x in ids] == [lib.encode_ordinary(t) for t in texts.to_pylist()] and max(map(max, filter(len, ids))) < len(lib._mergeable_ranks)
+    rng = np.random.default_rng(1)
+    model = mixing.Classifier(VOCABULARY, rng.normal(size=(mixing.BUCKETS, 3)), np.zeros((12, 3)), np.zeros(11), np.ones(11))
+    (x, n), (y, m) = model.raw(texts), model.raw(texts, ids)
+    assert (x == y).all() and (n == m).all() and n.tolist() == [len(i) for i in ids]
+    for top in (9, 70_000, 1 << 40):
+        some = rng.integers(0, top, 500)
+        assert mixing._distinct(some) == len(np.unique(some))
+
+
 def test_rates_are_those_of_plain_least_squares(spark):
     """Against plain projected gradient over documents, with tiny steps: where targets can be met, and where not."""
     rng = np.random.default_rng(6)
