@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.cut import large
+
 
 def content_hash(include_payload: bool = False) -> Column:
     """What tells a change: the body's hash; with include_payload also the payload's, so that types count."""
@@ -52,9 +54,9 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def delta(stored: DataFrame, fresh: DataFrame, include_payload: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ids to delete, nodes to upsert): gone ones; new ones and those whose hash differs."""
-    gone = stored.select("id").join(fresh.select("id"), "id", "left_anti")
+    gone = stored.select("id").join(large(fresh.select("id")), "id", "left_anti")
     old = stored.select("id", content_hash(include_payload).alias("__old"), F.lit(True).alias("__known"))
-    rows = fresh.join(old, "id", "left").where(F.col("__known").isNull() | ~content_hash(include_payload).eqNullSafe(F.col("__old")))
+    rows = fresh.join(large(old), "id", "left").where(F.col("__known").isNull() | ~content_hash(include_payload).eqNullSafe(F.col("__old")))
     return gone, rows.select(fresh.columns)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lattica.model import EDGES, NODES, SNAPSHOT_OBJECTS, SNAPSHOTS, GraphError
 from lattica.operators.search import bucket_of, deletions, lengths, postings, search_stored, suggest, text_rows, typo_index
 from lattica.operators.snapshot import bucket_hashes, buckets_for, content_hash, diff, in_buckets, manifest
-from lattica.plans.cut import discard, staged
+from lattica.plans.cut import discard, large, staged
 from lattica.plans.log import CommitLog, Folder
 
 SCHEMA_VERSION = 4
@@ -290,7 +290,7 @@ class GraphStore:
         What is written is in proportion to the change: the nodes, their words, and the keys of what goes.
         """
         fresh = staged(one_each(fresh))
-        gone = staged(self.nodes.join(gone.select("id").distinct(), "id", "left_semi").select("id"))
+        gone = staged(self.nodes.join(large(gone.select("id").distinct()), "id", "left_semi").select("id"))
         upserted, deleted = fresh.count(), gone.count()
         if upserted or deleted:
             keys = [_keys("nodes", fresh), _keys("nodes", gone)]
@@ -307,10 +307,10 @@ class GraphStore:
         """
         fresh, edges, old = staged(fresh), staged(one_each(edges)), self.edges
         told = F.xxhash64(F.to_json(F.struct(*edges.columns))).alias("__told")
-        other = staged(edges.join(old.select("id", told), ["id"], "left").where(~told.eqNullSafe(F.col("__told"))).select(edges.columns))
-        stale = old.join(edges, "id", "left_anti")
+        other = staged(edges.join(large(old.select("id", told)), ["id"], "left").where(~told.eqNullSafe(F.col("__told"))).select(edges.columns))
+        stale = old.join(large(edges.select("id")), "id", "left_anti")
         keys = [_keys("nodes", fresh), _keys("nodes", gone), _keys("gone", gone), _keys("edges", other), _keys("edges", stale)]
-        after = self.nodes.join(gone.select("id").unionByName(fresh.select("id")), "id", "left_anti").unionByName(fresh)
+        after = self.nodes.join(large(gone.select("id").unionByName(fresh.select("id"))), "id", "left_anti").unionByName(fresh)
         ident, add = self._snapshot(after, engine, engine_version, fingerprint, None, include_payload)
         self._commit(delta=self._with_words(fresh) | {"edges": self._put("edges", other)}, add=add, touched=reduce(DataFrame.unionByName, keys), whole=True)
         discard(fresh, edges, other)
@@ -458,4 +458,4 @@ def one_each(rows: DataFrame) -> DataFrame:
 def put_over(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with the rows of new in place of those of the same id."""
     fresh = one_each(new)
-    return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+    return old.join(large(fresh.select("id")), "id", "left_anti").unionByName(fresh)
