@@ -42,12 +42,18 @@ def index(rows: DataFrame) -> DataFrame:
 
 def postings(rows: DataFrame) -> DataFrame:
     """(bucket, term, id, col, positions): where each word stands in each column of text rows."""
-    docs = index(rows)
-    words = reduce(DataFrame.unionByName, [docs.select("id", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in COLUMNS])
-    listed = words.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    docs = index(rows.repartition(_tasks(rows), "id"))  # texts are shuffled, not their words with an id each
+    of = lambda c: F.transform(c, lambda w, i: F.struct(F.lit(c).alias("col"), w.alias("term"), i.cast("int").alias("pos")))
+    words = docs.select("id", F.explode(F.concat(*map(of, COLUMNS))).alias("w")).select("id", "w.col", "w.term", "w.pos")
+    listed = words.groupBy("id", "term", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     return listed.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "col", "positions")
 
 
+def _tasks(rows: DataFrame) -> int:
+    """As many as there are for any shuffle: rows that grow after one mustn't be put together by their size before."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -179,21 +185,33 @@ def deletions(word: Column, distance: int = DISTANCE) -> Column:
     return found
 
 
+def lead(qname: Column) -> Column:
+    """The leading letters that a name is found by."""
+    return F.substring(F.lower(local_name(qname)), 1, LEADING)
+
+
 def typo_index(nodes: DataFrame) -> DataFrame:
-    """(bucket, part, id, qname): real nodes by the deletions of their local names; worth storing."""
-    real = nodes.where("NOT missing AND NOT excluded")
-    rows = real.select("id", "qname", F.explode(deletions(F.lower(local_name(F.col("qname"))))).alias("part"))
-    return rows.select(bucket_of(F.col("part")).alias("bucket"), "part", "id", "qname")
+    """(bucket, part, lead): the leading letters of real nodes' names by their deletions, each once; worth storing.
+
+    It holds no ids: names are met by their leads, so what is stored doesn't repeat a node for each deletion, and leads that
+    no name has any more find nothing.
+    """
+    leads = nodes.where("NOT missing AND NOT excluded").select(lead(F.col("qname")).alias("lead"))
+    leads = leads.repartition(_tasks(leads), "lead").distinct()
+    parts = leads.select("lead", F.explode(deletions(F.col("lead"))).alias("part"))
+    return parts.select(bucket_of(F.col("part")).alias("bucket"), "part", "lead")
 
 
-def suggest(index_: DataFrame, terms: DataFrame, distance: int = DISTANCE, cap: int = SUGGESTIONS) -> DataFrame:
-    """(term, id, qname, distance): for each of terms (term) what suggestions() gives, from typo_index().
+def suggest(index_: DataFrame, nodes: DataFrame, terms: DataFrame, distance: int = DISTANCE, cap: int = SUGGESTIONS) -> DataFrame:
+    """(term, id, qname, distance): for each of terms (term) what suggestions() gives, by typo_index() of the nodes.
 
     Terms meet names that share a deletion; distances are worked out for those alone. distance is at most DISTANCE.
     """
     asked = terms.select("term").where("term IS NOT NULL").distinct()
     asked = asked.select("term", F.explode(deletions(F.lower("term"))).alias("part")).withColumn("bucket", bucket_of(F.col("part")))
-    met = asked.join(index_, ["bucket", "part"]).select("term", "id", "qname").distinct()
+    leads = asked.join(index_, ["bucket", "part"]).select("term", "lead").distinct()
+    real = nodes.where("NOT missing AND NOT excluded").select(lead(F.col("qname")).alias("lead"), "id", "qname")
+    met = leads.join(real, "lead").select("term", "id", "qname")
     rows = met.withColumn("distance", F.levenshtein(F.lower(local_name(F.col("qname"))), F.lower("term"), distance)).where("distance >= 0")
     nth = F.row_number().over(Window.partitionBy("term").orderBy("distance", "qname", "id"))
     return rows.withColumn("__n", nth).where(F.col("__n") <= cap).drop("__n")

@@ -9,9 +9,10 @@ them and what is written stays in proportion to what changes.
 
 Snapshots are added to. A manifest is kept in buckets by id with a hash of each: a snapshot writes the buckets whose hashes
 differ from the last one's and names the others where they are, and a difference of snapshots reads buckets with unlike
-hashes alone. Nodes and edges are partitioned by kind. The words of all texts are kept by term, and names by what is left
-of them with letters deleted, changed by the commit that changes their nodes, so a search reads its own words alone. A job
-that dies before its commit leaves folders that no commit names; vacuum() removes those.
+hashes alone. Nodes and edges are partitioned by kind. The words of all texts are kept by term, changed by the commit that
+changes their nodes, so a search reads its own words alone. Leading letters of names are kept by what is left of them with
+some deleted; they are added to alone, as those of names that went find nothing, until they are made anew with their base.
+A job that dies before its commit leaves folders that no commit names; vacuum() removes those.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ from lattica.operators.snapshot import bucket_hashes, buckets_for, content_hash,
 from lattica.plans.cut import discard, large, staged
 from lattica.plans.log import CommitLog, Folder
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 _META = "key STRING, value STRING"
-_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT", "typos": "bucket INT, part STRING, id STRING, qname STRING"}
+_SCHEMAS = {"nodes": NODES, "edges": EDGES, "snapshots": SNAPSHOTS, "snapshot_objects": SNAPSHOT_OBJECTS, "meta": _META, "postings": "bucket INT, term STRING, id STRING, col STRING, positions ARRAY<INT>", "lengths": "id STRING, len INT", "typos": "bucket INT, part STRING, lead STRING"}
 _PARTS = {"nodes": "kind", "edges": "kind", "postings": "bucket", "typos": "bucket"}
 _ADDED_TO = ("snapshots", "snapshot_objects")
-#: By table, its key and the scope of keys that commits tell as touched.
-_KEYS = {"nodes": ("id", "nodes"), "edges": ("id", "edges"), "postings": ("id", "nodes"), "lengths": ("id", "nodes"), "typos": ("id", "nodes"), "meta": ("key", "meta")}
+#: By table, its key and the scope of keys that commits tell as touched. Without a key rows are added, none is replaced.
+_KEYS = {"nodes": ("id", "nodes"), "edges": ("id", "edges"), "postings": ("id", "nodes"), "lengths": ("id", "nodes"), "typos": (None, "nodes"), "meta": ("key", "meta")}
 #: Keys by scope. ends are nodes that edges were put at, gone those that were deleted with their edges.
 _TOUCHED = "scope STRING, key STRING"
 #: Scopes that mustn't meet in two changes of which neither saw the other.
@@ -75,6 +76,8 @@ class GraphStore:
         newest = max((c["schema"] for c in self._commits), default=0)
         if newest > SCHEMA_VERSION:
             raise GraphError(f"the store has schema version {newest}; this library knows {SCHEMA_VERSION}")
+        if 0 < newest < SCHEMA_VERSION:  # its index of names held ids
+            self._commit(base={"typos": self._put("typos", typo_index(self.nodes))}, whole=True)
 
     # The log
 
@@ -186,8 +189,8 @@ class GraphStore:
             return self.spark.createDataFrame([], _SCHEMAS[table])
         rows = reduce(DataFrame.unionByName, parts)
         later = [s for s in segments if not s.base and s.upto > min(x.upto for x in segments)]
-        if later:
-            key, scope = _KEYS[table]
+        key, scope = _KEYS[table]
+        if later and key:
             keys = reduce(DataFrame.unionByName, [self._touched(s.touched).where(F.col("scope") == scope).select(F.col("key").alias("__key"), F.lit(s.upto).alias("__later")) for s in later])
             rows = rows.join(keys, (F.col(key) == F.col("__key")) & (F.col("__at") < F.col("__later")), "left_anti")
         return rows.drop("__at")
@@ -240,7 +243,7 @@ class GraphStore:
             terms = self.spark.createDataFrame([(t,) for t in terms], "term STRING")
             parts = terms.select(F.explode(deletions(F.lower("term"))).alias("part")).select(bucket_of(F.col("part")).alias("b")).distinct()
             index_ = index_.where(F.col("bucket").isin([r.b for r in parts.collect()]))
-        return suggest(index_, terms, **options)
+        return suggest(index_, self.nodes, terms, **options)
 
     # Writing
 
@@ -249,7 +252,8 @@ class GraphStore:
         folder, part = folder or uuid.uuid4().hex, _PARTS.get(table)
         rows = df.select(self.spark.createDataFrame([], _SCHEMAS[table]).columns)
         rows = rows.hint("rebalance", part) if part else rows.hint("rebalance")  # files of a fair size, whatever the input's partitions
-        (rows.write.partitionBy(part) if part else rows.write).parquet(f"{self.path}/{table}/{folder}")
+        out = rows.write.option("compression", "zstd")  # ids are hex, which only an entropy coder makes smaller
+        (out.partitionBy(part) if part else out).parquet(f"{self.path}/{table}/{folder}")
         return folder, self._folder.size(f"{table}/{folder}")
 
     def _words(self, fresh: DataFrame) -> dict[str, tuple[str, int]]:
@@ -409,7 +413,8 @@ class GraphStore:
             taken = [s, *taken]
         if len(taken) < 2:
             return
-        folder, size = self._put(table, self._merged(table, taken))
+        rows = self._merged(table, taken) if _KEYS[table][0] else typo_index(self.nodes) if taken[0].base else self._merged(table, taken).distinct()
+        folder, size = self._put(table, rows)
         scope = F.col("scope") == _KEYS[table][1]
         touched = [] if taken[0].base else [self._put_touched(self._touched([x for s in taken for x in s.touched]).where(scope))]
         self._commit(merged={table: {"folder": folder, "size": size, "touched": touched, "replaces": [s.upto for s in taken]}})
