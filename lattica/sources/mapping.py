@@ -270,24 +270,37 @@ def pg_parameters(types: Column, modes: Column, names: Column, defaults: Column)
     return F.transform(rows, param)
 
 
+def with_column_names(rows: DataFrame, positions: str, table: tuple[str, str], name: str, names: DataFrame, to: str) -> DataFrame:
+    """rows with the names of the columns at positions of a table, by names (ns, nt, attnum, column_name); none for null.
+
+    Every position meets its name by a join, as a look-up in a map of the table's columns reads half of that map each time.
+    """
+    key = ["schema_name", "table_name", name, "__of"]
+    rows = rows.withColumn("__of", F.xxhash64(*table, positions))
+    lists = rows.select(*key, *[F.col(c).alias(a) for c, a in zip(table, ("ns", "nt"), strict=True)], positions).distinct()
+    each = lists.select(*key, "ns", "nt", F.posexplode(positions).alias("i", "attnum")).join(names, ["ns", "nt", "attnum"], "left")
+    named = F.coalesce("column_name", F.concat(F.lit("col_"), F.col("attnum").cast("string")))
+    found = each.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(ordered_list(["i"], named).alias("__names"))
+    met = rows.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]), "left")
+    return met.withColumn(to, F.coalesce("__names", F.array().cast("array<string>"))).drop("__names", "__of", *[f"__{k}" for k in key])
+
+
 def map_pg(f: Families, scope: Scope = Scope()) -> DataFrame:
     require(f, "tables", "columns", "column-names", "constraints", "indexes", "views", "routines", "triggers", "sequences")
     s, t = F.col("schema_name").alias("schema"), F.col("table_name").alias("table")
     columns = f["columns"].select(s, t, F.col("column_name").alias("name"), "data_type", F.col("is_nullable").alias("nullable"), F.col("default_expr").alias("default"), "ordinal", "comment")
-    names = f["column-names"].groupBy(F.col("schema_name").alias("ns"), F.col("table_name").alias("nt")).agg(F.map_from_entries(F.collect_set(F.struct("attnum", "column_name"))).alias("names"))
-    name_of = lambda names, pos: F.coalesce(names[pos], F.concat(F.lit("col_"), pos.cast("string")))
-    own = lambda df: df.join(names, (F.col("schema_name") == F.col("ns")) & (F.col("table_name") == F.col("nt")), "left").withColumn("own", F.coalesce("names", F.create_map().cast("map<int,string>"))).drop("ns", "nt", "names")
-    cons = own(f["constraints"]).join(names.select(F.col("ns").alias("fk_ref_schema"), F.col("nt").alias("fk_ref_table"), F.col("names").alias("theirs")), ["fk_ref_schema", "fk_ref_table"], "left")
-    here = F.transform(F.coalesce("column_positions", F.array().cast("array<int>")), lambda p: name_of(F.col("own"), p))
-    there = F.transform(F.coalesce("fk_ref_positions", F.array().cast("array<int>")), lambda p: name_of(F.coalesce("theirs", F.create_map().cast("map<int,string>")), p))
+    names = f["column-names"].where("attnum IS NOT NULL").groupBy(F.col("schema_name").alias("ns"), F.col("table_name").alias("nt"), "attnum").agg(F.min("column_name").alias("column_name"))
     kind = F.col("constraint_type")
-    cons = cons.where(kind.isin("p", "u", "f", "c")).select(
+    cons = f["constraints"].where(kind.isin("p", "u", "f", "c")).withColumn("own", F.when(kind != "c", F.col("column_positions"))).withColumn("far", F.when(kind == "f", F.col("fk_ref_positions")))
+    cons = with_column_names(cons, "own", ("schema_name", "table_name"), "constraint_name", names, "here")
+    cons = with_column_names(cons, "far", ("fk_ref_schema", "fk_ref_table"), "constraint_name", names, "there").select(
         s, t, F.col("constraint_name").alias("name"), F.when(kind == "p", "PK").when(kind == "u", "UNIQUE").when(kind == "f", "FK").otherwise("CHECK").alias("type"),
-        F.when(kind == "c", F.array().cast("array<string>")).otherwise(here).alias("columns"),
-        F.when(kind == "f", F.struct(F.col("fk_ref_schema").alias("schema"), F.coalesce("fk_ref_table", F.lit("")).alias("table"), there.alias("columns"))).alias("references"), F.when(kind == "c", F.col("constraint_def")).alias("definition"),
+        F.col("here").alias("columns"),
+        F.when(kind == "f", F.struct(F.col("fk_ref_schema").alias("schema"), F.coalesce("fk_ref_table", F.lit("")).alias("table"), F.col("there").alias("columns"))).alias("references"), F.when(kind == "c", F.col("constraint_def")).alias("definition"),
     )
     key = F.filter(F.slice("key_columns", F.lit(1), F.col("n_key_atts")), lambda p: p != 0)
-    index = own(f["indexes"].where("NOT is_primary")).select(s, t, F.col("index_name").alias("name"), F.col("is_unique").alias("unique"), F.transform(key, lambda p: name_of(F.col("own"), p)).alias("columns"))
+    index = with_column_names(f["indexes"].where("NOT is_primary").withColumn("own", key), "own", ("schema_name", "table_name"), "index_name", names, "here")
+    index = index.select(s, t, F.col("index_name").alias("name"), F.col("is_unique").alias("unique"), F.when(F.col("own").isNotNull(), F.col("here")).alias("columns"))
     parts = []
     if scope.level("table") != "off":
         parts.append(assemble_tables(f["tables"].select(s, t, "comment"), columns, constraints_list(cons), indexes_list(index)))
