@@ -17,6 +17,7 @@ STRUCTURAL = ("database", "schema", "table", "view", "procedure", "function", "s
 GRAIN = ("column", "field")
 HEAVY = ("constraint", "index", "trigger")
 ROUNDS = 100
+_SHA1 = r"\A[0-9a-f]{40}\z"
 
 
 def kept_kinds(kinds: Sequence[str] | None = None, columns: bool = False, full: bool = False) -> tuple[str, ...]:
@@ -86,7 +87,12 @@ def min_degree_core(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[Dat
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable."""
-    found = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("node", "id")
+    ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    if ends.agg(F.bool_and(F.col("u").rlike(_SHA1) & F.col("v").rlike(_SHA1))).first()[0]:  # half the bytes, in the same order
+        found = components(ends.select(F.unhex("u").alias("u"), F.unhex("v").alias("v")))
+        found = found.select(F.lower(F.hex("node")).alias("id"), F.lower(F.hex("component")).alias("component"))
+    else:
+        found = components(ends).withColumnRenamed("node", "id")
     return staged(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
