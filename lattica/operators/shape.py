@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.components import components
-from lattica.plans.cut import staged
+from lattica.plans.cut import discard, large, staged
+from lattica.plans.labels import propagated
 from lattica.plans.numbering import with_row_numbers
 
 # Kinds that stay on top by default, those of columns, and the heavy ones.
 STRUCTURAL = ("database", "schema", "table", "view", "procedure", "function", "sequence", "collection")
 GRAIN = ("column", "field")
 HEAVY = ("constraint", "index", "trigger")
-ROUNDS = 100
 _SHA1 = r"\A[0-9a-f]{40}\z"
 
 
@@ -96,44 +95,21 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
-def _propagate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Labels of one connected component: nodes in the order of their ids take the commonest label around them.
-
-    Labels are node ids, so the smaller label is that of the node that comes first. A label changes at once, and rounds
-    go on until none does.
-    """
-    around = {n: [m for m in links if m != n] for n, links in zip(pdf["id"], pdf["links"], strict=True)}
-    label = {n: n for n in sorted(around)}
-    for _ in range(ROUNDS):
-        moved = False
-        for n in label:
-            votes: dict[str, int] = {}
-            for m in around[n]:
-                votes[label[m]] = votes.get(label[m], 0) + 1
-            if votes:
-                most = max(votes.values())
-                new = min(x for x, v in votes.items() if v == most)
-                moved |= new != label[n]
-                label[n] = new
-        if not moved:
-            break
-    return pd.DataFrame({"id": list(label), "label": list(label.values())})
-
-
 def communities(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, community) and (community, name, count), by label propagation.
 
-    The propagation is sequential by definition, so a connected component is one task's; components are spread. A
+    The propagation is sequential by definition; `plans/labels.py` works out together what doesn't depend on one another. A
     community's number is its place by its smallest member id; its name the commonest schema of its members, or if all
     share one schema the commonest first part of their names, ties to the smaller.
     """
-    real = nodes.select("id")
-    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("m")).union(edges.select("dst", "src")).where("id <> m")
-    ends = ends.join(real, "id", "left_semi").join(real.select(F.col("id").alias("m")), "m", "left_semi")
-    links = ends.groupBy("id").agg(F.collect_list("m").alias("links"))
-    rows = connected(nodes, edges).join(links, "id", "left").select("component", "id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
-    labels = staged(rows.groupBy("component").applyInPandas(_propagate, "id STRING, label STRING"))
-    first = labels.groupBy("label").agg(F.min("id").alias("first"))
+    order = with_row_numbers(nodes.select("id"), ["id"], "v")  # as ids do, so the smaller label is that of the node that comes first
+    ends = edges.where("src <> dst").join(large(order.select(F.col("id").alias("src"), F.col("v").alias("a"))), "src").select("dst", "a")
+    ends = ends.join(large(order.select(F.col("id").alias("dst"), F.col("v").alias("b"))), "dst").groupBy("a", "b").agg(F.count("*").alias("w"))
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy(F.col("a").alias("v"), F.col("b").alias("u"))
+    links = staged(both.agg(F.sum("w").alias("w")))
+    labels = staged(order.join(large(propagated(links)), "v", "left").select("id", "v", F.coalesce("label", "v").alias("label")))
+    discard(links)
+    first = labels.groupBy("label").agg(F.min("v").alias("first"))
     number = with_row_numbers(first, ["first"], "community").select("label", "community")
     of = labels.join(number, "label").select("id", "community")
     several = nodes.select(F.count_distinct("schema") > 1).first()[0]
