@@ -12,10 +12,14 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 
 from lattica.sources import families
 
+#: Rows decoded at once, whatever the size of files and row groups.
+ROWS = 1000
 _CALL = re.compile(r"dm_sql_referenced_entities\(N'\[((?:[^\]]|\]\])*)\]\.\[((?:[^\]]|\]\])*)\]',")
 
 
@@ -23,6 +27,21 @@ def _files(folder: str) -> list[str]:
     return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
 
 
+def _rows(data: ds.Dataset, columns: list[str], where: ds.Expression | None = None) -> Iterator[tuple]:
+    """Rows by a fixed number at a time; nothing is read ahead, as several such readers share an executor.
+
+    Row groups whose statistics rule out a hit are left out.
+    """
+    for fragment in data.get_fragments(filter=where):
+        groups = [g.id for g in (fragment if where is None else fragment.subset(filter=where)).row_groups]
+        with pq.ParquetFile(fragment.path, buffer_size=1 << 20) as file:
+            read = columns if where is None else None  # a condition may be on other columns
+            for batch in file.iter_batches(batch_size=ROWS, row_groups=groups, columns=read, use_threads=False):
+                part = pa.Table.from_batches([batch])
+                part = (part if where is None else part.filter(where)).select(columns)
+                yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 class Cursor:
     def __init__(self, folder: str, statements: dict[str, str]) -> None:
         self._folder, self._families = folder, {sql: family for family, sql in statements.items()}
@@ -46,7 +65,7 @@ class Cursor:
         data = ds.dataset(f"{self._folder}/{family}", format="parquet", exclude_invalid_files=False)
         names = columns or [c for c in data.schema.names if c != "pos"]
         self.description = [(c,) for c in names]
-        self._rows = (tuple(r[c] for c in names) for batch in data.to_batches(columns=names, filter=where) for r in batch.to_pylist())
+        self._rows = _rows(data, names, where)
 
     def fetchmany(self, n: int) -> list[tuple]:
         return [row for _, row in zip(range(n), self._rows, strict=False)]
@@ -81,7 +100,7 @@ class Collection:
     def aggregate(self, stages: list[dict]) -> Iterator[dict]:
         """The first documents, as many as the sample has."""
         (stage,) = stages
-        rows = (json.loads(r["document"]) for batch in ds.dataset(self._folder, format="parquet").to_batches(columns=["document"]) for r in batch.to_pylist())
+        rows = (json.loads(document) for (document,) in _rows(ds.dataset(self._folder, format="parquet"), ["document"]))
         return (doc for _, doc in zip(range(stage["$sample"]["size"]), rows, strict=False))
 
 
