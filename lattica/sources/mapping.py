@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import text
 from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, FIELD, INDEX, KIND_RANK, PARAMETER, RAW_OBJECTS, REF, TRIGGER, Scope
 from lattica.operators.normalize import struct_of
+from lattica.plans import hot
 from lattica.sources.catalog import Families, raw_schema, require, with_positions
 
 _UNICODE = "COLLATE UNICODE"
@@ -67,7 +68,7 @@ def body_dependencies(bodies: DataFrame, candidates: DataFrame, dialect: str, st
     """(schema, name, dependencies) of bodies (schema, name, kind, body) that mention candidates (schema, name, kind, rank).
 
     A candidate is only looked at for a body that has the first word of its name as a word, which a mention needs; that is
-    an equi-join of words, which carries no bodies. Each body then meets the list of its own candidates once. An object
+    an equi-join of words, which carries no bodies, and words that most bodies have go to no one task. Each body then meets the list of its own candidates once. An object
     isn't its own candidate. Candidates keep their rank's order.
     """
     masked = text.mask_strings(F.col("body"))
@@ -77,7 +78,7 @@ def body_dependencies(bodies: DataFrame, candidates: DataFrame, dialect: str, st
     words = F.array_distinct(F.regexp_extract_all("m", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
     qname = text.canonical(F.concat("schema", F.lit("."), "name"), dialect)
     named = candidates.where("schema <> '' AND name <> ''").withColumn("q", qname).withColumn("word", F.regexp_extract(text.simple_name(F.col("q")), "[A-Za-z0-9_]+", 0))
-    met = rows.select("s", "n", "k", F.explode(words).alias("word")).join(named, "word").where(~((F.col("s") == F.col("schema")) & (F.col("n") == F.col("name"))))
+    met = hot.met(rows.select("s", "n", "k", F.explode(words).alias("word")), named, ["word"]).where(~((F.col("s") == F.col("schema")) & (F.col("n") == F.col("name"))))
     lists = met.groupBy("s", "n", "k").agg(F.collect_list(F.struct("rank", "schema", "name", "kind", "q")).alias("near"))
     said = F.filter("near", lambda c: F.contains(F.col("m"), F.lower(text.simple_name(c["q"]))) & text.mentions(F.col("m"), c["q"]))
 
