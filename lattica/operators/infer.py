@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.ids import edge_id
 from lattica.functions.naming import candidate_names, entity, type_family
 from lattica.functions.text import local_name
+from lattica.plans import hot
 
 # Weights of convention, type and key, and the least score.
 BY_NAME, BY_TYPE, BY_KEY, LEAST = 0.5, 0.3, 0.2, 0.5
@@ -51,7 +52,7 @@ def infer_references(nodes: DataFrame, edges: DataFrame, threshold: float = LEAS
     src = src.select("src", "src_column", type_family(F.col("src_type")).alias("family"), F.col("m.conv").alias("conv"), F.explode(candidate_names(F.col("m.entity"))).alias("table"))
     to = targets(nodes).withColumn("family", type_family(F.col("dst_type")))
     score = F.lit(BY_NAME) * F.col("conv") + F.lit(BY_TYPE) + F.lit(BY_KEY) * F.col("is_pk").cast("double")
-    rows = src.join(to, ["table", "family"]).withColumn("score", score).where(F.col("score") >= threshold)
+    rows = hot.met(src, to, ["table", "family"]).withColumn("score", score).where(F.col("score") >= threshold)
     kind = F.lit("inferred_reference")
     none = F.lit(None)
     attrs = F.struct(

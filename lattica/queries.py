@@ -18,6 +18,7 @@ from lattica.model import COLUMN, CONSTRAINT, DEPENDENCY, INDEX, PAYLOAD, REF, T
 from lattica.operators import graph, infer, normalize as norm, precheck, sampling, scoring, search as text_search, shape, snapshot
 from lattica.operators.normalize import struct_of
 from lattica.operators.store import GraphStore
+from lattica.plans import hot
 from lattica.plans.cut import shared_folder, staged
 from lattica.sources import catalog, mapping
 
@@ -414,7 +415,8 @@ def infer_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes.unionByName(node_rows(one, "constraint", F.lit("main.customers.pk"), type=F.lit("PK"), columns=F.array(F.lit("ID"))))
     edges = infer.infer_references(nodes, spark.createDataFrame([], norm.EDGES))
     a, b = (nodes.select(F.col("id").alias(c), F.col("qname").alias(f"{c}_name")) for c in ("src", "dst"))
-    return edges.join(a, "src").join(b, "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), F.round("score", 6).alias("score"))
+    rows = hot.met(edges.select("src", "dst", "score"), b, ["dst"]).join(a, "src")  # all point to a column or two
+    return rows.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), F.round("score", 6).alias("score"))
 
 
 # Text
