@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.components import components
@@ -71,17 +71,28 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def _packed(id_: str) -> Column:
+    """A hash in half its bytes; other ids are made longer than those, so that different ones stay different."""
+    return F.when(F.col(id_).rlike(_SHA1), F.unhex(id_)).otherwise(F.concat(F.encode(F.col(id_), "UTF-8"), F.lit(bytes(21))))
+
+
 def min_degree_core(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes of at least that many edge ends, again and again until none goes."""
-    count = nodes.count()
+    """Nodes of at least that many edge ends, again and again until none goes; only the ends of edges are written meanwhile."""
+    count, alive = nodes.count(), nodes.select(_packed("id").alias("id"))
+    links, core = staged(edges.select(_packed("src").alias("src"), _packed("dst").alias("dst"))), None
     while True:
-        left = staged(degrees(nodes, edges).where(F.col("degree") >= least).select("id"))
+        left = staged(degrees(alive, links).where(F.col("degree") >= least).select("id"))
         n = left.count()
         if n == count:
-            return nodes, edges
-        nodes = nodes.join(left, "id", "left_semi")
-        edges = staged(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        count = n
+            break
+        old, alive, core, count = links, left, left, n
+        links = staged(links.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        discard(old)
+    discard(links)
+    if core is None:
+        return nodes, edges
+    within = lambda df, c: df.join(core.select(F.col("id").alias("__in")), _packed(c) == F.col("__in"), "left_semi")
+    return within(nodes, "id"), within(within(edges, "src"), "dst")
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
