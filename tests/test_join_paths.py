@@ -69,3 +69,27 @@ def test_starts_around_a_hub_dont_each_meet_the_others(spark, monkeypatch):
     found = graph.join_paths(nodes, edges, spark.createDataFrame([(at[f"s.t{i}"], at[end]) for i in range(n) for end in ("s.t104", "s.t200")], "start STRING, end STRING"))
     assert found.hops.count() == 5 * n and found.apart.count() == n
     assert max(sizes) <= 6 * n
+
+
+def test_dead_ends_that_no_pair_asks_for_are_not_searched(spark, monkeypatch):
+    """Two hubs between the ends, with dead ends around both; those that are asked for stay."""
+    n = 50
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), *[(hub, 100 * hub + i) for hub in (1, 2) for i in range(n)]], "a INT, b INT")
+    nodes = node_rows(pairs.selectExpr("explode(array(a, b)) AS k").distinct(), "table", F.concat(F.lit("s.t"), "k"))
+    edges = staged(edge_rows(pairs, "references", ("table", F.concat(F.lit("s.t"), "a")), ("table", F.concat(F.lit("s.t"), "b")), aggregate=F.lit(True)))
+    at = {r.qname: r.id for r in nodes.collect()}
+    levels = []
+
+    def counted(df):
+        out = staged(df)
+        if {"root", "node"} <= {*out.columns}:
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "staged", counted)
+    found = graph.join_paths(nodes, edges, spark.createDataFrame([(at["s.t0"], at["s.t3"]), (at["s.t100"], at["s.t3"]), (at["s.t0"], "no node")], "start STRING, end STRING"))
+    name = {v: k for k, v in at.items()}
+    way = {x: [(name[r.a], name[r.b]) for r in found.hops.where(F.col("start") == at[x]).orderBy("hop").collect()] for x in ("s.t0", "s.t100")}
+    assert way == {x: [(x, "s.t1"), ("s.t1", "s.t2"), ("s.t2", "s.t3")] for x in way}
+    assert [(name[r.start], r.end) for r in found.apart.collect()] == [("s.t0", "no node")]
+    assert levels and max(levels) <= 6
