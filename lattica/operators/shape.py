@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.ids import SHA1, packed
 from lattica.plans.components import components
 from lattica.plans.cut import discard, large, staged
 from lattica.plans.labels import propagated
@@ -16,7 +17,6 @@ from lattica.plans.numbering import with_row_numbers
 STRUCTURAL = ("database", "schema", "table", "view", "procedure", "function", "sequence", "collection")
 GRAIN = ("column", "field")
 HEAVY = ("constraint", "index", "trigger")
-_SHA1 = r"\A[0-9a-f]{40}\z"
 
 
 def kept_kinds(kinds: Sequence[str] | None = None, columns: bool = False, full: bool = False) -> tuple[str, ...]:
@@ -71,15 +71,10 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def _packed(id_: str) -> Column:
-    """A hash in half its bytes; other ids are made longer than those, so that different ones stay different."""
-    return F.when(F.col(id_).rlike(_SHA1), F.unhex(id_)).otherwise(F.concat(F.encode(F.col(id_), "UTF-8"), F.lit(bytes(21))))
-
-
 def min_degree_core(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Nodes of at least that many edge ends, again and again until none goes; only the ends of edges are written meanwhile."""
-    count, alive = nodes.count(), nodes.select(_packed("id").alias("id"))
-    links, core = staged(edges.select(_packed("src").alias("src"), _packed("dst").alias("dst"))), None
+    count, alive = nodes.count(), nodes.select(packed("id").alias("id"))
+    links, core = staged(edges.select(packed("src").alias("src"), packed("dst").alias("dst"))), None
     while True:
         left = staged(degrees(alive, links).where(F.col("degree") >= least).select("id"))
         n = left.count()
@@ -91,14 +86,14 @@ def min_degree_core(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[Dat
     discard(links)
     if core is None:
         return nodes, edges
-    within = lambda df, c: df.join(core.select(F.col("id").alias("__in")), _packed(c) == F.col("__in"), "left_semi")
+    within = lambda df, c: df.join(core.select(F.col("id").alias("__in")), packed(c) == F.col("__in"), "left_semi")
     return within(nodes, "id"), within(within(edges, "src"), "dst")
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable."""
     ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    if ends.agg(F.bool_and(F.col("u").rlike(_SHA1) & F.col("v").rlike(_SHA1))).first()[0]:  # half the bytes, in the same order
+    if ends.agg(F.bool_and(F.col("u").rlike(SHA1) & F.col("v").rlike(SHA1))).first()[0]:  # half the bytes, in the same order
         found = components(ends.select(F.unhex("u").alias("u"), F.unhex("v").alias("v")))
         found = found.select(F.lower(F.hex("node")).alias("id"), F.lower(F.hex("component")).alias("component"))
     else:
@@ -145,9 +140,13 @@ def data_block(nodes: DataFrame, edges: DataFrame, **options) -> tuple[DataFrame
 
 def entity_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(parent, child): tables by references from the child, distinct."""
-    tables = nodes.where("kind = 'table'").select("id", "qname")
-    rows = edges.where("kind = 'references'").join(tables.select(F.col("id").alias("src"), F.col("qname").alias("child")), "src").join(tables.select(F.col("id").alias("dst"), F.col("qname").alias("parent")), "dst")
-    return rows.select("parent", "child").distinct().orderBy("parent", "child")
+    tables = nodes.where("kind = 'table'").select(packed("id").alias("id"), "qname")
+    # The edges of one pair stand together and come to one task by its child, where they are made one; only then parents are looked up.
+    ends = edges.where("kind = 'references'").select(packed("src").alias("src"), packed("dst").alias("dst")).repartition("src").distinct()
+    rows = ends.join(large(tables.select(F.col("id").alias("src"), F.col("qname").alias("child"))), "src").select("dst", "child")
+    rows = rows.join(large(tables.select(F.col("id").alias("dst"), F.col("qname").alias("parent"))), "dst").select("parent", "child")
+    # Ranges in order, sorted within: one shuffle for both what is distinct and the order.
+    return rows.repartitionByRange("parent", "child").distinct().sortWithinPartitions("parent", "child")
 
 
 def entity_diagram(nodes: DataFrame, edges: DataFrame) -> Iterator[str]:

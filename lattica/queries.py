@@ -181,11 +181,16 @@ def row_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders and parts as tables, with a reference for each line item."""
-    objects = order_objects(spark, sf_dir)
+    objects = distinct_keys(order_objects(spark, sf_dir))
     parts = node_rows(table(spark, sf_dir, "part"), "table", named("part", "p_partkey"))
     found, _ = norm.resolve(norm.references_of(objects), parts, parts.select("qname").limit(0))
     orders = node_rows(table(spark, sf_dir, "lineitem").select("l_orderkey").distinct(), "table", named("orders", "l_orderkey"))
-    return orders.unionByName(parts), norm.reference_edges(found).distinct()
+    return orders.unionByName(parts), norm.reference_edges(found)
+
+
+def distinct_keys(objects: DataFrame) -> DataFrame:
+    """Objects, each of its own name, whose line items may repeat a key: every key once, so no two edges are the same."""
+    return objects.withColumn("constraints", F.array_distinct("constraints"))
 
 
 @query("""
@@ -288,9 +293,12 @@ def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a raw table whose columns, keys and index come from its line items."""
     item = table(spark, sf_dir, "lineitem")
-    col = struct_of(COLUMN, name=F.concat(F.lit("L_"), "l_linenumber"), data_type=F.lit("INT"), nullable=F.col("l_returnflag") == "R", ordinal=F.col("l_linenumber"))
-    part = struct_of(CONSTRAINT, name=F.concat(F.lit("FK_"), "l_linenumber"), type=F.lit("FK"), columns=F.array(F.concat(F.lit("L_"), "l_linenumber")), references=F.struct(F.lit("part").alias("schema"), F.col("l_partkey").cast("string").alias("table"), F.array(F.lit("id")).alias("columns")))
-    rows = item.groupBy("l_orderkey").agg(mapping.ordered_list(["l_linenumber"], col).alias("columns"), mapping.ordered_list(["l_linenumber"], part).alias("constraints"))
+    own = lambda x: F.concat(F.lit("L_"), x["n"])
+    col = lambda x: struct_of(COLUMN, name=own(x), data_type=F.lit("INT"), nullable=x["flag"] == "R", ordinal=x["n"])
+    part = lambda x: struct_of(CONSTRAINT, name=F.concat(F.lit("FK_"), x["n"]), type=F.lit("FK"), columns=F.array(own(x)), references=F.struct(F.lit("part").alias("schema"), x["part"].cast("string").alias("table"), F.array(F.lit("id")).alias("columns")))
+    listed = lambda value: F.transform(F.array_sort(F.transform("items", lambda x: F.struct(x["n"].alias("n"), value(x).alias("v")))), lambda x: x["v"])
+    rows = item.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))).alias("items"))
+    rows = rows.select("l_orderkey", listed(col).alias("columns"), listed(part).alias("constraints"))
     names = F.transform("columns", lambda c: c["name"])
     index = F.array(struct_of(INDEX, name=F.lit("IX"), unique=F.lit(False), columns=F.concat(names, F.array(F.lit("(expr)")))))
     objects = mapping.as_objects(rows, kind=F.lit("table"), schema=F.lit("orders"), name=F.col("l_orderkey").cast("string"), columns=F.col("columns"), constraints=F.col("constraints"), indexes=index)
