@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.ids import packed
 from lattica.operators.graph import IMPACT_KINDS
+from lattica.plans.cut import large
 
 
 def answer(text: Column) -> Column:
@@ -56,9 +58,11 @@ def score(rows: DataFrame) -> DataFrame:
 def fk_questions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(constraint_name, src, dst, pairs): of each foreign key its ends and column pairs."""
     pair = edges.where("kind = 'references' AND attrs.src_column IS NOT NULL")
-    rows = pair.groupBy("attrs.constraint_name", "src", "dst").agg(F.array_sort(F.collect_list(F.concat("attrs.src_column", F.lit("="), "attrs.dst_column"))).alias("pairs"))
-    a, b = (nodes.select(F.col("id").alias(c), F.col("qname").alias(f"{c}_name")) for c in ("src", "dst"))
-    return rows.join(a, "src").join(b, "dst").select("constraint_name", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "pairs")
+    # Rows meet by their source alone, both to be grouped and to be named, with ids in half their bytes.
+    pair = pair.select(packed("src").alias("src"), packed("dst").alias("dst"), "attrs.constraint_name", F.concat("attrs.src_column", F.lit("="), "attrs.dst_column").alias("pair")).repartition("src")
+    rows = pair.groupBy("constraint_name", "src", "dst").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
+    a, b = (nodes.select(packed("id").alias(c), F.col("qname").alias(f"{c}_name")) for c in ("src", "dst"))
+    return rows.join(large(a), "src").drop("src").join(large(b), "dst").select("constraint_name", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "pairs")
 
 
 def _by_target(nodes: DataFrame, edges: DataFrame, kind: str, of: str, other: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_resolved_references_are_written_without_hashes(spark):
     edges = norm.reference_edges(found).collect()
     assert sorted((r.attrs.src_column or "", r.attrs.dst_column or "", r.attrs.aggregate or False) for r in edges) == [("", "", True), ("a", "x", False), ("b", "y", False)]
     assert len({r.id for r in edges}) == 3 and {r.dst for r in edges} == {real.first().id} and stubs.count() == 0
+
+
+def test_key_questions_are_shuffled_once_for_each_end(spark, sorted_joins):
+    nodes, edges = keyed(spark)
+    for n, e in ((nodes, edges), (nodes.withColumn("id", F.substring("id", 1, 7)), edges.withColumns({c: F.substring(c, 1, 7) for c in ("src", "dst")}))):
+        found = scoring.fk_questions(n, e)
+        assert sorted(tuple(r) for r in found.collect()) == [("fk", "s.t2", f"s.t{i}", ["a=id", "b=id"]) for i in range(2)]
+        assert exchanges(scoring.fk_questions(n, e)) == 4
