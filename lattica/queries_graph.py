@@ -16,13 +16,13 @@ from lattica.operators.store import SCHEMA_VERSION, GraphStore
 from lattica.plans import api
 from lattica.plans.cut import staged
 from lattica.plans.numbering import number_sorted
-from lattica.queries import ORACLE_SQL, data_graph, edge_rows, named, new_store, node_rows, order_objects, order_states, query, table
+from lattica.queries import ORACLE_SQL, data_graph, distinct_keys, edge_rows, named, new_store, node_rows, order_objects, order_states, query, table
 from lattica.sources import mapping
 
 
 def numbered(sorted_rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of a sorted frame with their place in it."""
-    return number_sorted(sorted_rows, "place").select("place", *columns)
+    return number_sorted(sorted_rows.select(*columns), "place").select("place", *columns)
 
 
 def lines(spark: SparkSession, text: str) -> DataFrame:
@@ -144,10 +144,10 @@ e AS (SELECT DISTINCT src, dst, 'FK_' || l_linenumber AS con, 'L_' || l_linenumb
 SELECT row_number() OVER (ORDER BY src, dst, con, col, id) - 1 AS place, src, dst, con, col FROM e""")
 def edges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References by both ends, then constraint and column."""
-    refs = norm.references_of(order_objects(spark, sf_dir))
+    refs = norm.references_of(distinct_keys(order_objects(spark, sf_dir)))
     real = node_rows(table(spark, sf_dir, "part"), "table", named("part", "p_partkey"))
     found, _ = norm.resolve(refs, real, real.select("qname").limit(0))
-    return numbered(norm.ordered_edges(norm.reference_edges(found).distinct()), "src", "dst", "attrs").select("place", "src", "dst", F.col("attrs.constraint_name").alias("con"), F.coalesce("attrs.src_column", F.lit("")).alias("col"))
+    return numbered(norm.ordered_edges(norm.reference_edges(found)), "src", "dst", "attrs").select("place", "src", "dst", F.col("attrs.constraint_name").alias("con"), F.coalesce("attrs.src_column", F.lit("")).alias("col"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE '{"a":[' || o_orderkey || ',null,{"p":"' || o_orderpriority || '","q":false}],"b":{"x":"é' || o_orderstatus || '","y":true},"ba":-1}' END AS text FROM orders""")
