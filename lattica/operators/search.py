@@ -142,7 +142,8 @@ def _nothing(docs: DataFrame) -> DataFrame:
 def _ranked(tf: DataFrame, docs: DataFrame, terms: int, limit: int | None, offset: int, exact_column: bool) -> DataFrame:
     """The page of tf (id, len, and of each column and term how often it stands there); docs (id, len) are all there are."""
     whole = lambda i: reduce(lambda a, b: a + b, [F.col(f"{c}_{i}") for c in COLUMNS])
-    counts = tf.agg(*[F.count_if(whole(i) > 0).alias(f"df{i}") for i in range(terms)])
+    any_hit = reduce(lambda a, b: a | b, [whole(i) > 0 for i in range(terms)])
+    counts = tf.agg(*[F.count_if(whole(i) > 0).alias(f"df{i}") for i in range(terms)], F.count_if(any_hit).alias("total"))
     tf = tf.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))).crossJoin(F.broadcast(counts))  # one row each
     score = F.lit(0.0)
     for i in range(terms):
@@ -150,7 +151,6 @@ def _ranked(tf: DataFrame, docs: DataFrame, terms: int, limit: int | None, offse
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         f = whole(i).cast("double")
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg"))))
-    any_hit = reduce(lambda a, b: a | b, [whole(i) > 0 for i in range(terms)])
 
     def told(c: str) -> Column:
         first = F.col(f"{c}_0") > 0
@@ -158,10 +158,8 @@ def _ranked(tf: DataFrame, docs: DataFrame, terms: int, limit: int | None, offse
         return reduce(lambda a, b: a | b, [first, *rest])
 
     matched = F.when(told("body"), F.lit("body")).when(told("comment"), F.lit("comment")).otherwise(F.lit("qname"))
-    hits = tf.where(any_hit).select("id", score.alias("score"), matched.alias("matched"))
-    total = hits.agg(F.count("*").alias("total"))
-    page = hits if limit is None else hits.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))
+    hits = tf.where(any_hit).select("id", score.alias("score"), matched.alias("matched"), "total")
+    return hits if limit is None else hits.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
 def suggestions(nodes: DataFrame, term: str, distance: int = DISTANCE, cap: int = SUGGESTIONS) -> DataFrame:
